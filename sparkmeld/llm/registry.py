@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import op9_decontamination
 from .language_id import op2_language_id
 from .quality import op10_quality
 from .toxicity import op8_toxicity
@@ -13,6 +14,7 @@ from .toxicity import op8_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op8_toxicity": op8_toxicity,
+    "op9_decontamination": op9_decontamination,
     "op10_quality": op10_quality,
 }
 
