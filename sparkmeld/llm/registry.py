@@ -8,17 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import op9_decontamination
 from .language_id import op2_language_id
+from .minhash_dedup import op4_minhash_dedup
 from .mixing import op6_mixing
 from .pii import op3_pii
 from .quality import op10_quality
+from .substring_dedup import op7_substring_dedup
 from .toxicity import op8_toxicity
 from .url_filter import op5_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_pii": op3_pii,
+    "op4_minhash_dedup": op4_minhash_dedup,
     "op5_url_filter": op5_url_filter,
     "op6_mixing": op6_mixing,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
     "op10_quality": op10_quality,

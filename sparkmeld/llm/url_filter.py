@@ -89,9 +89,9 @@ def templates(urls: DataFrame) -> DataFrame:
     tree = tree.withColumn("template", F.concat_ws("/", "t")).withColumn("open", F.concat_ws("/", F.lit("*"), F.slice("t", 2, DEPTH + 1)))
     own = _sums(tree, "host", "template", "open")
     pool = own.groupBy("host", "open").agg(F.sum("labelled").alias("pool_labelled"), F.sum("bad").alias("pool_bad"))
-    share = F.col("pool_bad") / F.col("pool_labelled")
-    error = F.sqrt(F.greatest(share * (1 - share), F.lit(0.25) / F.col("pool_labelled")) / F.col("labelled"))
-    near = (F.col("labelled") > 0) & (F.abs(F.col("bad") / F.col("labelled") - share) <= SIMILAR_Z * error)
+    share = F.try_divide("pool_bad", "pool_labelled")
+    error = F.sqrt(F.greatest(share * (1 - share), F.try_divide(F.lit(0.25), F.col("pool_labelled"))) / F.greatest("labelled", F.lit(1)))
+    near = (F.col("labelled") > 0) & (F.abs(F.col("bad") / F.greatest("labelled", F.lit(1)) - share) <= SIMILAR_Z * error)
     whole = own.agg(F.sum("bad").alias("all_bad"), F.sum("labelled").alias("all_labelled"))
     prior = F.coalesce((F.col("all_bad") + 1) / (F.col("all_labelled") + 2), F.lit(0.5))
     judged = (
