@@ -4,8 +4,9 @@ Every unit of a shingle's weight (its occurrences) is a region that darts fall i
 process drawn from the region's hash: the same darts in every document that holds the region. Only ranks up to a bound
 that yields a few hundred darts a document are thrown, each dart hashes to a coordinate, and the earliest dart of each
 coordinate is the signature. Documents with the same words are one class before anything is compared. Classes that
-share a band are compared to the band's pivot; what a first pivot leaves unconnected goes on to further pivots, or to
-all its remaining pairs once these are few, so that no link between components is missed and no group emits all pairs.
+share a band are compared to the band's pivot. Bands that still hold several components afterwards are compared whole:
+small ones pair by pair, large ones in pairs of blocks, each a task of bounded size that reports a spanning forest. So no
+link between components is missed, and no group emits all its pairs.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -28,8 +30,10 @@ COORDINATES, ROWS = 64, 4
 BANDS = COORDINATES // ROWS
 #: Darts per coordinate: coordinates stay empty in one document of fifty, which is then thrown at further.
 DARTS = np.log(COORDINATES) + 4
-#: All remaining pairs of unconnected classes are compared once they are at most so many times the band entries.
-PAIRS_PER_ENTRY = 4
+#: Classes of a band whose remaining pairs are listed; larger bands are compared in blocks of so many classes.
+LISTED, BLOCK = 12, 400
+#: Rows of ids that a join may broadcast, at most 16 MB of them.
+BROADCAST_ROWS = 1_000_000
 
 _SALT = seeded(8, 21)
 
@@ -125,6 +129,11 @@ def region_table(docs: DataFrame) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, regions binary")
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """A written table of one or two ids a row, to be broadcast if its counted rows are within the bound."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def verified(pairs: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
     """Of pairs(u, v): those whose weighted Jaccard similarity reaches the threshold, with it."""
     kind = pairs.schema["u"].dataType.simpleString()
@@ -143,10 +152,56 @@ def verified(pairs: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
             keep = pa.array(np.flatnonzero(sim >= threshold))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), pa.array(sim).take(keep)], ["u", "v", "similarity"])
 
-    full = pairs.join(table.select(F.col("id").alias("u"), F.col("regions").alias("ru")), "u").join(table.select(F.col("id").alias("v"), F.col("regions").alias("rv")), "v")
+    full = table.select(F.col("id").alias("u"), F.col("regions").alias("ru")).join(_small(pairs), "u").join(table.select(F.col("id").alias("v"), F.col("regions").alias("rv")), "v")
     return full.select("u", "v", "ru", "rv").mapInArrow(run, f"u {kind}, v {kind}, similarity double")
 
 
+def _across_blocks(bands: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
+    """bands(band, class_id, component, m) -> (u, v, similarity): links that connect all components that links within a band connect."""
+    kind = bands.schema["class_id"].dataType.simpleString()
+    blocks = bands.withColumn("blocks", F.ceil(F.col("m") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("class_id"), F.col("blocks")))
+    dealt = blocks.select("band", "class_id", "component", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("band", "component", F.col("class_id").alias("id"), "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("id").sort_values(["own", "id"])
+        sets = [np.frombuffer(x, np.uint64) for x in pdf["regions"]]
+        n = np.array([len(x) for x in sets])
+        code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
+        shared = np.cumsum(count > 1) - 1  # regions of one class only are in no intersection
+        row = np.repeat(np.arange(len(sets)), n)
+        keep = count[code] > 1
+        row, col = row[keep], shared[code[keep]]
+        same = np.zeros((len(sets), len(sets)), np.float32)
+        for lo in range(0, int(col.max(initial=-1)) + 1, 8192):
+            part = np.zeros((len(sets), 8192), np.float32)
+            own = (col >= lo) & (col < lo + 8192)
+            part[row[own], col[own] - lo] = 1
+            same += part @ part.T
+        similar = same / (n[:, None] + n[None, :] - same)
+        comp, block = np.unique(pdf["component"].to_numpy(), return_inverse=True)[1], pdf["own"].to_numpy()
+        new = np.triu((similar >= threshold - 1e-7) & (comp[:, None] != comp[None, :]), 1)
+        if pdf["p"].iloc[0] != pdf["q"].iloc[0]:
+            new &= block[:, None] != block[None, :]
+        parent = list(range(int(comp.max(initial=0)) + 1))
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        out = []
+        ids = pdf["id"].to_numpy()
+        for i, j in zip(*(x.tolist() for x in np.nonzero(new)), strict=True):
+            a, b = root(comp[i]), root(comp[j])
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                out.append((max(ids[i], ids[j]), min(ids[i], ids[j]), float(similar[i, j])))
+        return pd.DataFrame(out, columns=["u", "v", "similarity"])
+
+    return dealt.join(table, "id").groupBy("band", "p", "q").applyInPandas(link, f"u {kind}, v {kind}, similarity double").dropDuplicates(["u", "v"])
+
+
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """(key, class_id, component_id, n_links) of every row of docs(key, text).
 
@@ -160,38 +215,31 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", threshold: float =
     entries = classes.select("class_id", F.explode("bands").alias("band"))
     shared = entries.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min("class_id").alias("pivot")).where("m > 1")
     left = materialize(entries.join(shared, "band").select("band", "class_id", "pivot"), "bands")
-    n_entries = left.count()
     links = None
-    if n_entries:
+    if not left.isEmpty():
         wanted = left.select(F.col("class_id").alias(key)).distinct()
-        table = materialize(region_table(docs.join(wanted, key, "left_semi").select(F.col(key).alias("id"), "text")).groupBy("id").agg(F.any_value("regions").alias("regions")), "regions")
-        tested = None
-        last = False
-        while True:
-            if last:
-                other = left.select("band", F.col("class_id").alias("v"), F.col("component").alias("cv"))
-                pairs = left.select("band", F.col("class_id").alias("u"), F.col("component").alias("cu")).join(other, "band").where("u > v and cu <> cv").select("u", "v").distinct()
-            else:
-                pairs = left.where("class_id <> pivot").select(F.col("class_id").alias("u"), F.col("pivot").alias("v")).distinct()
-            if tested is not None:
-                pairs = pairs.join(tested, ["u", "v"], "left_anti")
-            pairs = materialize(pairs, "pairs")
-            new = materialize(verified(pairs, table, threshold), "links")
-            tested = pairs if tested is None else tested.unionByName(pairs)
-            links = new if links is None else links.unionByName(new)
-            if last:
-                break
-            found = materialize(components(links.select("u", "v")), "found")
-            rest = left.where("class_id <> pivot").select("band", "class_id").join(found.withColumnRenamed("id", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
-            rest = materialize(rest, "bands")
-            sizes = rest.groupBy("band", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("band").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("own"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-            cost = sizes.agg(F.sum((F.col("m") * F.col("m") - F.col("own")) / 2)).first()[0]
-            discard(left)
-            if not cost:
-                break
-            last = cost <= PAIRS_PER_ENTRY * n_entries
-            pivots = rest.join(sizes.select("band"), "band")
-            left = materialize(pivots.join(pivots.groupBy("band").agg(F.min("class_id").alias("pivot")), "band"), "bands")
+        wanted = materialize(wanted, "wanted")
+        table = materialize(region_table(docs.join(_small(wanted), key, "left_semi").select(F.col(key).alias("id"), "text")), "regions")
+        pairs = materialize(left.where("class_id <> pivot").select(F.col("class_id").alias("u"), F.col("pivot").alias("v")).distinct(), "pairs")
+        links = materialize(verified(pairs, table, threshold).dropDuplicates(["u", "v"]), "links")
+        found = materialize(components(links.select("u", "v")), "found")
+        # the pivot has met all others of its band; what else is unconnected has not
+        rest = left.where("class_id <> pivot").select("band", "class_id").join(found.withColumnRenamed("id", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+        rest = materialize(rest, "bands")
+        discard(left)
+        sizes = rest.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "m")
+        open_bands = materialize(rest.join(sizes, "band"), "bands")
+        discard(rest)
+        few = open_bands.where(F.col("m") <= LISTED)
+        other = few.select("band", F.col("class_id").alias("v"), F.col("component").alias("cv"))
+        listed = few.select("band", F.col("class_id").alias("u"), F.col("component").alias("cu")).join(other, "band").where("u > v and cu <> cv").select("u", "v").distinct()
+        listed = materialize(listed.join(pairs, ["u", "v"], "left_anti"), "pairs")
+        more = [verified(listed, table, threshold).dropDuplicates(["u", "v"])] if not listed.isEmpty() else []
+        many = open_bands.where(F.col("m") > LISTED)
+        if not many.isEmpty():
+            more.append(_across_blocks(many, table, threshold))
+        for x in more:
+            links = links.unionByName(materialize(x, "links"))
     member = sketched.select(F.col("id").alias(key), "k1", "k2", "n").join(classes.select("k1", "k2", "class_id"), ["k1", "k2"], "left")
     member = member.withColumn("class_id", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col(key))).select(key, "class_id")
     if links is None:

@@ -184,11 +184,27 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, *, key: str = "doc
     return docs.select(F.col(key).alias("key"), "text").mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, score double").withColumnRenamed("key", key)
 
 
+def good(spark: SparkSession, docs: DataFrame, model: Model, *, at: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose text scores `at` or more."""
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                yield part.filter(pa.array(shared.value.scores(features(texts(part))) >= at))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def training_rows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(key, text, label) of the labelled docs that the fold leaves; labels of sf_dir."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label")).where("label in (0, 1)")
+    return docs.where(crc_mod("doc_id", 3) != 1).select("doc_id", "text").join(labels, "doc_id").select(F.col("doc_id").alias("key"), "text", "label")
+
+
 def score_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, score) of all docs, learned from those that the fold leaves and the labels of sf_dir."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label")).where("label in (0, 1)")
-    train = docs.where(crc_mod("doc_id", 3) != 1).select("doc_id", "text").join(labels, "doc_id").select(F.col("doc_id").alias("key"), "text", "label")
-    return score(spark, docs.select("doc_id", "text"), fit(train))
+    return score(spark, docs.select("doc_id", "text"), fit(training_rows(spark, docs, sf_dir)))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

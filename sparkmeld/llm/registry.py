@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import op9_decontamination
+from .embedding_dedup import op1_embedding_dedup
 from .language_id import op2_language_id
 from .minhash_dedup import op4_minhash_dedup
 from .mixing import op6_mixing
@@ -17,6 +18,7 @@ from .toxicity import op8_toxicity
 from .url_filter import op5_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op2_language_id": op2_language_id,
     "op3_pii": op3_pii,
     "op4_minhash_dedup": op4_minhash_dedup,

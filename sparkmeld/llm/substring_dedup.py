@@ -6,8 +6,8 @@ that anchor: the windows of one anchor in a text form a run, and only runs that
 Runs with equal bytes are summed up first, so copies in any number cost one run. For the different runs of an anchor a
 task builds the suffix array, takes the longest previous (and following) factors from the previous and next smaller
 positions in suffix order, and reports the windows whose factor reaches L. An anchor with many different runs is split
-first: by halves of the offsets that a window can have to its anchor, keyed by the bytes that all windows of the half
-have in common; runs that are alone in a half end there, and at a single offset the key is the window itself.
+first: by parts of the offsets that a window can have to its anchor, keyed by the bytes that all windows of the part have in
+common; runs that are alone in a part end there, and at a single offset the key is the window itself.
 """
 
 from __future__ import annotations
@@ -85,30 +85,33 @@ def _span_hash(data: np.ndarray, begin: np.ndarray, end: np.ndarray, seed: int)
         return mix((total[end] - total[begin]) * back[begin] + (end - begin).astype(np.uint64))
 
 
-def suffix_array(codes: np.ndarray, length: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """Suffixes in order of their first `length` codes at least, by prefix doubling; and the ranks by 1, 2, 4 ... codes."""
-    rank = np.unique(codes, return_inverse=True)[1].astype(np.int64)
-    levels, k = [(1, rank)], 1
-    while k < length:
-        nxt = np.full(len(rank), -1, np.int64)
-        nxt[:-k] = rank[k:]
-        key = rank * (len(rank) + 2) + nxt + 1
-        rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
-        k *= 2
-        levels.append((k, rank))
-    return np.argsort(rank, kind="stable"), levels
-
-
-def common_prefix(a: np.ndarray, b: np.ndarray, levels: list[tuple[int, np.ndarray]], limit: int) -> np.ndarray:
-    """Length of the common prefix of the suffixes at a and b, up to `limit`, from the ranks of the doubling."""
-    out = np.zeros(len(a), np.int64)
-    for k, rank in reversed(levels):
-        x, y = a + out, b + out
-        ok = np.maximum(x, y) < len(rank)
-        same = ok.copy()
-        same[ok] = rank[x[ok]] == rank[y[ok]]
-        out += np.where(same, k, 0)
-    return np.minimum(out, limit)
+def suffix_array(codes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(suffixes in order of their first `length` codes, rank of each suffix: how many come before it; equals share one).
+
+    Prefix doubling from packed codes; a suffix that is alone with its rank is not sorted again. Codes are below 2**15.
+    """
+    n, k = len(codes), min(4, length)
+    key = np.zeros(n, np.int64)
+    for j in range(k):
+        key <<= 15
+        key[: n - j] += codes[j:] + 1 if j else codes + 1
+    rank, alive = np.zeros(n, np.int64), np.arange(n)
+    while True:
+        o = np.lexsort((key, rank[alive])) if k > 4 else np.argsort(key, kind="stable")
+        alive, key = alive[o], key[o]
+        old = rank[alive]
+        new_class = np.concatenate(([True], old[1:] != old[:-1]))
+        new_key = new_class | np.concatenate(([True], key[1:] != key[:-1]))
+        first_of_class = np.maximum.accumulate(np.where(new_class, np.arange(len(old)), 0))
+        first_of_key = np.maximum.accumulate(np.where(new_key, np.arange(len(old)), 0))
+        rank[alive] = old + first_of_key - first_of_class
+        size = np.diff(np.append(np.flatnonzero(new_key), len(old)))
+        alive = alive[np.repeat(size > 1, size)]
+        if k >= length or not len(alive):
+            return np.argsort(rank, kind="stable"), rank
+        step = min(k, length - k)
+        key = np.where(alive + step < n, rank[np.minimum(alive + step, n - 1)], -1)
+        k += step
 
 
 def factors(codes: np.ndarray, length: int, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -118,10 +121,10 @@ def factors(codes: np.ndarray, length: int, order: np.ndarray | None = None) ->
     next place of smaller rank are the earlier matches that can be longest; greater ranks give the following ones.
     """
     order = np.arange(len(codes)) if order is None else order
-    suffixes, levels = suffix_array(codes, length)
-    near = common_prefix(suffixes[:-1], suffixes[1:], levels, length) if len(codes) > 1 else np.empty(0, np.int64)
+    suffixes, rank = suffix_array(codes, length)
+    in_order = rank[suffixes]
     earlier, later = np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64)
-    joined = np.flatnonzero(np.diff(np.concatenate(([0], (near >= length).astype(np.int8), [0]))))
+    joined = np.flatnonzero(np.diff(np.concatenate(([0], (in_order[1:] == in_order[:-1]).astype(np.int8), [0]))))
     for lo, hi in zip(joined[::2], joined[1::2], strict=True):  # suffixes lo..hi agree in `length` codes
         own = suffixes[lo : hi + 1]
         ranks = order[own]
@@ -175,7 +178,7 @@ _CUT = "part long, anchor long, c1 long, c2 long, copies long, k long, a int, m
 
 
 def _split(rows: DataFrame, length: int) -> DataFrame:
-    """Runs with offsets lo..hi (dyadic, 0..255) to both halves, keyed by the bytes that all windows of a half have in common."""
+    """Runs with offsets lo..hi to thirds or halves of them, keyed by the bytes that all windows of a part have in common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,8 +188,8 @@ def _split(rows: DataFrame, length: int) -> DataFrame:
                 m, first = got["m"][i], got["a"][i]
                 far, close = m - first, m - (first + len(text) - length)  # offsets of the first and last window
                 lo, hi = got["lo"][i], got["hi"][i]
-                mid = (lo + hi) // 2
-                for x, y in ((lo, mid), (mid + 1, hi)):
+                cuts = np.linspace(lo, hi + 1, 4 if hi - lo > 120 else 3).astype(int)
+                for x, y in zip(cuts[:-1].tolist(), (cuts[1:] - 1).tolist(), strict=True):
                     if x > far or y < close:
                         continue
                     top = min(y, length - GRAM)
@@ -283,7 +286,7 @@ def repeated_windows(docs: DataFrame, *, length: int = LENGTH, keep_first: bool
                 rows = []
                 for k, text, runs in zip(part.column(0).to_pylist(), texts(part).to_pylist(), part.column(2).to_pylist(), strict=True):
                     data = text.encode("utf-8", "surrogateescape")
-                    rows += [(r["anchor"], r["anchor"], r["c1"], r["c2"], r["copies"], k, r["a"], r["m"], 0, 255, data[r["a"] : r["b"] + length], r["n"]) for r in runs]
+                    rows += [(r["anchor"], r["anchor"], r["c1"], r["c2"], r["copies"], k, r["a"], r["m"], 0, length - GRAM, data[r["a"] : r["b"] + length], r["n"]) for r in runs]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), cut_types, strict=True)], names)
 
