@@ -5,6 +5,442 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import exprs as X
+from ..operators import bayes, kmeans, knn, metrics, scale, select
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def r6(c, name: str):
+    return F.round(c, 6).alias(name)
+
+
+# Labels, JSON and cleaning
+
+_STEM = r"regexp_replace(regexp_extract(c_name, '[^/]+$'), '(.)\.[^.]*$', '\1')"
+
+
+@query("label_from_name", f"""
+select c_custkey, upper(left(s, 1)) || lower(substr(s, 2)) as label_a, case when b = '' then 'unknown' else b end as label_b, case when c = '' then {_STEM} else c end as label_c, lower(split_part(regexp_extract(c_name, '[^/]+$'), '_', 1)) as word
+from (select c_custkey, c_name, regexp_replace(regexp_replace({_STEM}, '[0-9]', '', 'g'), '^[_\\-. ]+|[_\\-. ]+$', '', 'g') as s, regexp_extract(regexp_extract(c_name, '[^/]+$'), '^[A-Za-z]+') as b, regexp_extract({_STEM}, '[A-Za-z]+') as c from customer)""")
+def label_from_name(spark, d):
+    n = F.col("c_name")
+    return table(spark, d, "customer").select("c_custkey", X.label_without_digits(n).alias("label_a"), X.label_leading(n).alias("label_b"), X.label_first_letters(n).alias("label_c"), X.word_before_underscore(n).alias("word"))
+
+
+@query("json_feature_scan", "select event_id, cast(json_extract(props, '$.k') as double) as k, case when json_extract(props, '$.k') is null then 'missing_feature' else 'ok' end as status from events")
+def json_feature_scan(spark, d):
+    k = F.from_json("props", "k double")["k"]
+    return table(spark, d, "events").select("event_id", k.alias("k"), F.when(k.isNull(), "missing_feature").otherwise("ok").alias("status"))
+
+
+@query("nan_sanitize", "select event_id, case when event_id % 7 = 0 or event_id % 11 = 0 then 0.0 else value end as value from events where value is not null")
+def nan_sanitize(spark, d):
+    v = F.when(F.col("event_id") % 7 == 0, F.lit(float("nan"))).when(F.col("event_id") % 11 == 0, F.lit(float("inf"))).otherwise(F.col("value"))
+    return scale.clean(table(spark, d, "events").where("value is not null").select("event_id", v.alias("value")), ["value"])
+
+
+# Scaling
+
+_COLS = ("l_quantity", "l_extendedprice", "l_discount")
+
+
+def _scale_sql(value: str) -> str:
+    parts = ", ".join("round(" + value.format(x=c) + f", 6) as z_{c}" for c in _COLS)
+    stats = ", ".join(f"avg({c}) mu_{c}, stddev_pop({c}) sd_{c}, min({c}) min_{c}, max({c}) max_{c}" for c in _COLS)
+    return f"select l_orderkey, l_linenumber, {parts} from lineitem, (select {stats} from lineitem)"
+
+
+def _scaled(kind: str) -> Query:
+    def run(spark, d):
+        rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *[F.col(c).cast("double").alias(c) for c in _COLS])
+        out = scale.scaled(rows, scale.fit(rows, _COLS, skip_nan=kind == "eps"), _COLS, kind)
+        return out.select("l_orderkey", "l_linenumber", *[r6(F.col(f"z_{c}"), f"z_{c}") for c in _COLS])
+
+    return run
+
+
+query("zscore_pop", _scale_sql("({x} - mu_{x}) / case when sd_{x} = 0 then 1.0 else sd_{x} end"))(_scaled("standard"))
+query("zscore_eps", _scale_sql("({x} - mu_{x}) / (sd_{x} + 1e-8)"))(_scaled("eps"))
+query("minmax_scale", _scale_sql("case when max_{x} = min_{x} then 0.0 else ({x} - min_{x}) / (max_{x} - min_{x}) end"))(_scaled("minmax"))
+
+
+# Group statistics
+
+
+@query("class_counts", "select event_type, count(*) as n from events group by 1")
+def class_counts(spark, d):
+    return table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("cluster_composition_pct", "select g, event_type, count(*) as n, round(count(*) * 100.0 / sum(count(*)) over (partition by g), 6) as pct from (select event_type, user_id % 5 as g from events) group by 1, 2")
+def cluster_composition_pct(spark, d):
+    rows = table(spark, d, "events").select("event_type", (F.col("user_id") % 5).alias("g"))
+    return metrics.composition(rows, "g", "event_type").withColumn("pct", F.round("pct", 6))
+
+
+@query("pool_stats", """
+select vec_id, round(avg(x), 6) as mean, round(stddev_pop(x), 6) as std, round(quantile_cont(x, 0.1), 6) as p10, round(quantile_cont(x, 0.9), 6) as p90, round(median(x), 6) as median, round(max(x) - min(x), 6) as spread
+from (select vec_id, cast(unnest(embedding) as double) as x from embeddings) group by 1""")
+def pool_stats(spark, d):
+    rows = table(spark, d, "embeddings").select("vec_id", F.explode(F.transform("embedding", lambda v: v.cast("double"))).alias("x"))
+    p = F.percentile("x", F.array(F.lit(0.1), F.lit(0.9), F.lit(0.5)))
+    out = rows.groupBy("vec_id").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"), p.alias("p"), (F.max("x") - F.min("x")).alias("w"))
+    return out.select("vec_id", r6(F.col("m"), "mean"), r6(F.col("s"), "std"), r6(F.col("p")[0], "p10"), r6(F.col("p")[1], "p90"), r6(F.col("p")[2], "median"), r6(F.col("w"), "spread"))
+
+
+@query("distance_hist10", """
+select vec_id, case when hi = lo then 5 else cast(least(floor((x - lo) / (hi - lo) * 10), 9) as int) end as bin, count(*) as n
+from (select vec_id, x, min(x) over (partition by vec_id) lo, max(x) over (partition by vec_id) hi from (select vec_id, cast(unnest(embedding) as double) as x from embeddings)) group by 1, 2""")
+def distance_hist10(spark, d):
+    e = F.transform("embedding", lambda v: v.cast("double"))
+    rows = table(spark, d, "embeddings").select("vec_id", F.array_min(e).alias("lo"), F.array_max(e).alias("hi"), F.explode(e).alias("x"))
+    return rows.select("vec_id", X.bin10(F.col("x"), F.col("lo"), F.col("hi")).alias("bin")).groupBy("vec_id", "bin").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("signal_zcr", "select vec_id, len(list_filter(range(2, 65), lambda i: (embedding[i] >= 0) <> (embedding[i - 1] >= 0))) / 64.0::double as zcr from embeddings")
+def signal_zcr(spark, d):
+    flips = F.aggregate(F.sequence(F.lit(1), F.size("embedding") - 1), F.lit(0), lambda s, i: s + ((F.get("embedding", i) >= 0) != (F.get("embedding", i - 1) >= 0)).cast("int"))
+    return table(spark, d, "embeddings").select("vec_id", (flips / F.size("embedding").cast("double")).alias("zcr"))
+
+
+@query("signal_dft_dominant", """
+with p as (select vec_id, i - 1 as t, cast(embedding[i] as double) as x from embeddings, range(1, 65) r(i)),
+m as (select vec_id, k, sqrt(power(sum(x * cos(2 * pi() * k * t / 64)), 2) + power(sum(x * sin(2 * pi() * k * t / 64)), 2)) as mag from p, range(1, 33) f(k) group by 1, 2),
+s as (select vec_id, k, round(mag, 6) as mag from m)
+select vec_id, cast(min(k) as int) as idx, any_value(s.mag) as mag from s join (select vec_id, max(mag) as mag from s group by 1) b using (vec_id) where s.mag = b.mag group by vec_id""")
+def signal_dft_dominant(spark, d):
+    """The strongest frequency of each signal; ties to the lowest. One expression a row, nothing is shuffled."""
+    import math
+
+    def magnitude(k: int):
+        part = lambda f: X.total([F.get("x", F.lit(t)) * f(2 * math.pi * k * t / 64) for t in range(64)])
+        return F.struct((-F.round(F.sqrt(F.pow(part(math.cos), F.lit(2.0)) + F.pow(part(math.sin), F.lit(2.0))), 6)).alias("mag"), F.lit(k).alias("idx"))
+
+    rows = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+    best = F.array_min(F.array(*[magnitude(k) for k in range(1, 33)]))
+    return rows.select("vec_id", best.alias("b")).select("vec_id", F.col("b.idx").alias("idx"), (-F.col("b.mag")).alias("mag"))
+
+
+@query("hu_transform", "select vec_id, case when v = 0 then 0.0 else round(-sign(v) * log10(abs(v)), 6) end as hu from (select vec_id, cast(embedding[1] as double) as v from embeddings)")
+def hu_transform(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", r6(X.hu(F.col("embedding")[0].cast("double")), "hu"))
+
+
+@query("curvature_max", """
+with p as (select vec_id, i, cast(embedding[2 * i + 1] as double) x, cast(embedding[2 * i + 2] as double) y, cast(embedding[2 * ((i + 27) % 32) + 1] as double) px, cast(embedding[2 * ((i + 27) % 32) + 2] as double) py, cast(embedding[2 * ((i + 5) % 32) + 1] as double) nx, cast(embedding[2 * ((i + 5) % 32) + 2] as double) ny from embeddings, range(0, 32) r(i))
+select vec_id, round(max(abs((x - px) * (ny - y) - (y - py) * (nx - x)) / (sqrt((x - px) * (x - px) + (y - py) * (y - py)) * sqrt((nx - x) * (nx - x) + (ny - y) * (ny - y)))), 6) as curvature_max,
+round(min(degrees(acos(greatest(-1.0, least(1.0, ((px - x) * (nx - x) + (py - y) * (ny - y)) / (sqrt((x - px) * (x - px) + (y - py) * (y - py)) * sqrt((nx - x) * (nx - x) + (ny - y) * (ny - y)))))))), 4) as angle_min from p group by 1""")
+def curvature_max(spark, d):
+    """Each embedding read as a closed polygon of 32 points; curvature proxy and corner angle over steps of 5."""
+    n, k = 32, 5
+    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("e"))
+    at = lambda i: (F.get("e", 2 * (i % n)), F.get("e", 2 * (i % n) + 1))
+
+    def corner(i):
+        (x, y), (px, py), (nx, ny) = at(i), at(i + n - k), at(i + k)
+        a, b = F.sqrt((x - px) * (x - px) + (y - py) * (y - py)), F.sqrt((nx - x) * (nx - x) + (ny - y) * (ny - y))
+        curve = F.abs((x - px) * (ny - y) - (y - py) * (nx - x)) / (a * b)
+        cosine = ((px - x) * (nx - x) + (py - y) * (ny - y)) / (a * b)
+        return F.struct(curve.alias("c"), F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))).alias("a"))
+
+    corners = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), corner)
+    return e.select("vec_id", corners.alias("c")).select("vec_id", r6(F.array_max("c.c"), "curvature_max"), F.round(F.array_min("c.a"), 4).alias("angle_min"))
+
+
+# Neighbours
+
+_DIMS = (0, 1, 2)
+_PREP = """with e as materialized (select vec_id, label, cast(embedding[1] as double) a, cast(embedding[2] as double) b, cast(embedding[3] as double) c from embeddings),
+s as materialized (select avg(a) ma, stddev_pop(a) sa, avg(b) mb, stddev_pop(b) sb, avg(c) mc, stddev_pop(c) sc from e where vec_id % 10 < 7),
+z as materialized (select vec_id, label, (a - ma) / sa a, (b - mb) / sb b, (c - mc) / sc c from e, s)"""
+_DIST = {"l1": "abs(q.a - t.a) + abs(q.b - t.b) + abs(q.c - t.c)", "l2": "sqrt((q.a - t.a) * (q.a - t.a) + (q.b - t.b) * (q.b - t.b) + (q.c - t.c) * (q.c - t.c))", "minkowski3": "power(power(abs(q.a - t.a), 3) + power(abs(q.b - t.b), 3) + power(abs(q.c - t.c), 3), 1.0 / 3)"}
+_WEIGHT = {"uniform": "1.0::double", "distance": "1.0::double / greatest(d, 1e-12)"}
+
+
+def _near_sql(metric: str, k: int = 5) -> str:
+    return f"""{_PREP}, n as materialized (select q.vec_id q, q.label truth, t.vec_id t, t.label y, {_DIST[metric]} d from z q, z t where q.vec_id % 10 >= 7 and t.vec_id % 10 < 7),
+k as materialized (select * from (select *, row_number() over (partition by q order by d, t) r from n) where r <= {k})"""
+
+
+def _pred_sql(metric: str, weights: str, k: int = 5) -> str:
+    return f"""{_near_sql(metric, k)}, v as materialized (select q, truth, y, round(sum({_WEIGHT[weights]}), 9) s from k group by 1, 2, 3),
+p as materialized (select q, truth, y as pred from (select *, row_number() over (partition by q order by s desc, y) r from v) where r = 1)"""
+
+
+def _points(spark, d, dims=_DIMS) -> DataFrame:
+    """(id, label, x): chosen dimensions scaled by the training rows' statistics."""
+    e = table(spark, d, "embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in dims])
+    names = [f"f{i}" for i in dims]
+    z = scale.scaled(e, scale.fit(e.where("vec_id % 10 < 7"), names), names)
+    return z.select(F.col("vec_id").alias("id"), "label", F.array(*[f"z_{n}" for n in names]).alias("x"))
+
+
+def _near(spark, d, metric: str, k: int = 5) -> tuple[DataFrame, DataFrame]:
+    rows = _points(spark, d)
+    train = rows.where("id % 10 < 7").select(F.col("id").alias("t"), F.col("label").alias("y"), "x")
+    asked = rows.where("id % 10 >= 7")
+    return knn.neighbours(asked.select(F.col("id").alias("q"), "x"), train, k, metric, len(_DIMS)), asked.select(F.col("id").alias("q"), F.col("label").alias("truth"))
+
+
+def _classify(metric: str, weights: str) -> Query:
+    return lambda spark, d: knn.classified(_near(spark, d, metric)[0], weights)
+
+
+for _m in _DIST:
+    for _w in _WEIGHT:
+        query(f"knn_{_m}_{_w}", _pred_sql(_m, _w) + " select q, pred from p")(_classify(_m, _w))
+
+
+def _predictions(spark, d) -> DataFrame:
+    near, truth = _near(spark, d, "l1")
+    return knn.classified(near, "distance").join(truth, "q").select(F.col("truth").alias("true"), "pred")
+
+
+@query("knn_accuracy", _pred_sql("l1", "distance") + " select round(avg(cast(truth = pred as double)), 6) as accuracy, count(*) as n from p")
+def knn_accuracy(spark, d):
+    return metrics.accuracy(_predictions(spark, d)).withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query("confusion_matrix", _pred_sql("l1", "distance") + ' select truth as "true", ' + ", ".join(f"count(*) filter (pred = {c}) as p{c}" for c in range(10)) + " from p group by 1")
+def confusion_matrix(spark, d):
+    return metrics.confusion(_predictions(spark, d), list(range(10)))
+
+
+@query("class_report", _pred_sql("l1", "distance") + """, c as (select l as label, (select count(*) from p where truth = l and pred = l) h, (select count(*) from p where pred = l) n, (select count(*) from p where truth = l) support from (select truth l from p union select pred from p))
+select label, round(pr, 6) as precision, round(re, 6) as recall, round(case when pr + re = 0 then 0 else 2 * pr * re / (pr + re) end, 6) as f1, support from (select label, support, case when n = 0 then 0.0::double else h::double / n end pr, case when support = 0 then 0.0::double else h::double / support end re from c)""")
+def class_report(spark, d):
+    return metrics.report(_predictions(spark, d)).select("label", r6(F.col("precision"), "precision"), r6(F.col("recall"), "recall"), r6(F.col("f1"), "f1"), "support")
+
+
+@query("knn_regress", _near_sql("l2") + f" select q, round(sum({_WEIGHT['distance']} * y) / sum({_WEIGHT['distance']}), 6) as pred from k group by 1")
+def knn_regress(spark, d):
+    return knn.regressed(_near(spark, d, "l2")[0], "distance").withColumn("pred", F.round("pred", 6))
+
+
+@query("knn_rmse", _near_sql("l2") + f", p as (select q, any_value(truth) truth, sum({_WEIGHT['distance']} * y) / sum({_WEIGHT['distance']}) as pred from k group by 1) select round(sqrt(avg((pred - truth) * (pred - truth))), 6) as rmse from p")
+def knn_rmse(spark, d):
+    near, truth = _near(spark, d, "l2")
+    return metrics.rmse(knn.regressed(near, "distance").join(truth, "q").select(F.col("truth").alias("true"), "pred")).withColumn("rmse", F.round("rmse", 6))
+
+
+def _grid_sql() -> str:
+    parts = [f"select {k} as k, '{w}' as weights, (select round(avg(cast(truth = y as double)), 6) from (select q, truth, y, row_number() over (partition by q order by round(sum({_WEIGHT[w]}), 9) desc, y) r from k where r <= {k} group by q, truth, y) where r = 1) as accuracy" for k in (1, 3, 5) for w in _WEIGHT]
+    return _near_sql("l1", 5) + " " + " union all ".join(parts)
+
+
+@query("grid_knn", _grid_sql())
+def grid_knn(spark, d):
+    near, truth = _near(spark, d, "l1", 5)
+    return knn.grid(near, truth.select("q", F.col("truth").alias("y")), (1, 3, 5), tuple(_WEIGHT)).withColumn("accuracy", F.round("accuracy", 6))
+
+
+def _cv_sql(fold: str) -> str:
+    return f"""with e as materialized (select vec_id, label, cast(embedding[1] as double) a, cast(embedding[2] as double) b, cast(embedding[3] as double) c, {fold} as fold from embeddings),
+f as (select distinct fold from e),
+s as materialized (select f.fold, avg(a) ma, stddev_pop(a) sa, avg(b) mb, stddev_pop(b) sb, avg(c) mc, stddev_pop(c) sc from f, e where e.fold <> f.fold group by 1),
+z as materialized (select s.fold as part, e.fold, vec_id, label, (a - ma) / sa a, (b - mb) / sb b, (c - mc) / sc c from e, s),
+n as materialized (select q.part, q.vec_id q, q.label truth, t.vec_id t, t.label y, {_DIST["l1"]} d from z q, z t where q.part = t.part and q.fold = q.part and t.fold <> t.part),
+k as materialized (select * from (select *, row_number() over (partition by q order by d, t) r from n) where r <= 5),
+v as (select part, q, truth, y, round(sum({_WEIGHT["distance"]}), 9) s from k group by 1, 2, 3, 4),
+p as (select part, truth, y pred from (select *, row_number() over (partition by q order by s desc, y) r from v) where r = 1)
+select cast(part as int) as fold, round(avg(cast(truth = pred as double)), 6) as accuracy from p group by 1"""
+
+
+def _cross_validated(spark, d, fold) -> DataFrame:
+    """Accuracy by fold; statistics and neighbours of each fold come from the other folds. One plan for each of a few folds."""
+    names = [f"f{i}" for i in _DIMS]
+    rows = table(spark, d, "embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(n) for i, n in zip(_DIMS, names, strict=True)]).withColumn("fold", fold)
+    out = None
+    for part in sorted(r.fold for r in rows.select("fold").distinct().collect()):
+        z = scale.scaled(rows, scale.fit(rows.where(F.col("fold") != part), names), names).select("vec_id", "label", "fold", F.array(*[f"z_{n}" for n in names]).alias("x"))
+        near = knn.neighbours(z.where(F.col("fold") == part).select(F.col("vec_id").alias("q"), "x"), z.where(F.col("fold") != part).select(F.col("vec_id").alias("t"), F.col("label").alias("y"), "x"), 5, "l1", len(names))
+        p = knn.classified(near, "distance").join(rows.select(F.col("vec_id").alias("q"), "label"), "q").agg(F.round(F.avg((F.col("pred") == F.col("label")).cast("double")), 6).alias("accuracy")).select(F.lit(int(part)).alias("fold"), "accuracy")
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+@query("stratified_cv_knn", _cv_sql("(row_number() over (partition by label order by vec_id) - 1) % 5"))
+def stratified_cv_knn(spark, d):
+    return _cross_validated(spark, d, select.stratified_fold("label", "vec_id", 5))
+
+
+@query("loso_cv_knn", _cv_sql("vec_id % 4"))
+def loso_cv_knn(spark, d):
+    return _cross_validated(spark, d, F.col("vec_id") % 4)
+
+
+@query("stratified_split", "select vec_id, label, (row_number() over (partition by label order by vec_id) - 1) % 10 >= 7 as is_test from embeddings")
+def stratified_split(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", "label", (select.stratified_fold("label", "vec_id", 10) >= 7).alias("is_test"))
+
+
+@query("round_robin_pick", "select vec_id, label from (select vec_id, label, row_number() over (partition by label order by vec_id) turn from embeddings) order by turn, label limit 25")
+def round_robin_pick(spark, d):
+    return select.round_robin(table(spark, d, "embeddings").select("vec_id", "label"), "label", "vec_id", 25).select("vec_id", "label")
+
+
+# Clusters
+
+_KD = 5
+_KSEL = ", ".join(f"cast(embedding[{i + 1}] as double) x{i}" for i in range(_KD))
+
+
+def _lloyd_sql(iterations: int) -> str:
+    d2 = " + ".join(f"(p.x{i} - c.x{i}) * (p.x{i} - c.x{i})" for i in range(_KD))
+    means = ", ".join(f"avg(x{i}) x{i}" for i in range(_KD))
+    out = f"with p as materialized (select vec_id, label, {_KSEL} from embeddings where label < 4), c0 as materialized (select label as k, {means} from p group by 1)"
+    for t in range(iterations + 1):
+        out += f", a{t} as materialized (select vec_id, label, {', '.join(f'x{i}' for i in range(_KD))}, k, d2 from (select p.*, c.k, {d2} d2, row_number() over (partition by vec_id order by {d2}, c.k) r from p, c{t} c) where r = 1)"
+        if t < iterations:
+            out += f", c{t + 1} as materialized (select k, {means} from a{t} group by 1)"
+    return out
+
+
+_T = 3
+
+
+def _clustered(spark, d) -> DataFrame:
+    e = table(spark, d, "embeddings").where("label < 4").select(F.col("vec_id").alias("id"), "label", X.features(F.col("embedding"), range(_KD)).alias("x"))
+    return kmeans.assigned(e, kmeans.lloyd(e, kmeans.class_means(e, "label", _KD), _KD, _T, None), _KD)
+
+
+@query("kmeans_lloyd_3", _lloyd_sql(_T) + f" select vec_id as id, cast(k as int) as cluster, round(d2, 6) as d2 from a{_T}")
+def kmeans_lloyd_3(spark, d):
+    return _clustered(spark, d).select("id", "cluster", r6(F.col("d2"), "d2"))
+
+
+@query("kmeans_inertia", _lloyd_sql(_T) + f" select round(sum(d2), 6) as inertia from a{_T}")
+def kmeans_inertia(spark, d):
+    return _clustered(spark, d).agg(r6(F.sum("d2"), "inertia"))
+
+
+_MAP = f", v as (select k, label, count(*) n, min(vec_id) first from a{_T} group by 1, 2), m as (select k, label, n, sum(n) over (partition by k) size, row_number() over (partition by k order by n desc, first) r from v)"
+
+
+@query("cluster_map", _lloyd_sql(_T) + _MAP + " select cast(k as int) as cluster, label, n as majority, cast(size as bigint) as size from m where r = 1")
+def cluster_map(spark, d):
+    return kmeans.cluster_map(_clustered(spark, d)).select("cluster", "label", "majority", "size")
+
+
+@query("kmeans_purity", _lloyd_sql(_T) + _MAP + " select round(sum(n) / sum(size)::double, 6) as purity, count(*) = 4 as complete from m where r = 1")
+def kmeans_purity(spark, d):
+    return kmeans.purity(_clustered(spark, d), 4).withColumn("purity", F.round("purity", 6))
+
+
+@query("nearest_centroid_predict", f"""with p as materialized (select vec_id, label, {_KSEL} from embeddings), c as materialized (select label as k, {", ".join(f"avg(x{i}) x{i}" for i in range(_KD))} from p group by 1)
+select vec_id as id, cast(k as int) as cluster from (select vec_id, k, row_number() over (partition by vec_id order by {" + ".join(f"(p.x{i} - c.x{i}) * (p.x{i} - c.x{i})" for i in range(_KD))}, k) r from p, c) where r = 1""")
+def nearest_centroid_predict(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", X.features(F.col("embedding"), range(_KD)).alias("x"))
+    return kmeans.assigned(e, kmeans.class_means(e, "label", _KD), _KD).select("id", "cluster")
+
+
+@query("kmeans_best_of_n")
+def kmeans_best_of_n(spark, d):
+    """k-means++ starts, three runs; draws are hashes, which SQL engines do not share."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", X.features(F.col("embedding"), range(_KD)).alias("x"))
+    centroids, _ = kmeans.best_of(e, 4, _KD, runs=2, iterations=5)
+    return kmeans.assigned(e, centroids, _KD).select("id", "cluster")
+
+
+@query("class_centroids", f"select label, {', '.join(f'round(avg(cast(embedding[{i + 1}] as double)), 6) as c{i}' for i in range(_KD))} from embeddings group by 1")
+def class_centroids(spark, d):
+    return table(spark, d, "embeddings").groupBy("label").agg(*[r6(F.avg(F.col("embedding")[i].cast("double")), f"c{i}") for i in range(_KD)])
+
+
+@query("closest_to_centroid", f"""with p as materialized (select vec_id, label, {_KSEL} from embeddings), c as (select label, {", ".join(f"avg(x{i}) x{i}" for i in range(_KD))} from p group by 1)
+select label, id, round(distance, 6) as distance, cast(r as int) as rank from (select p.label, vec_id as id, sqrt({" + ".join(f"(p.x{i} - c.x{i}) * (p.x{i} - c.x{i})" for i in range(_KD))}) distance, row_number() over (partition by p.label order by sqrt({" + ".join(f"(p.x{i} - c.x{i}) * (p.x{i} - c.x{i})" for i in range(_KD))}), vec_id) r from p join c on p.label = c.label) where r <= 5""")
+def closest_to_centroid(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", X.features(F.col("embedding"), range(_KD)).alias("x"))
+    return select.closest_to_centroid(e, "label", _KD, 5).withColumn("distance", F.round("distance", 6))
+
+
+# Feature ranking
+
+_LONG = "with l as (select label, i - 1 as feature, cast(embedding[i] as double) as value from embeddings, range(1, 65) r(i))"
+_ANOVA = _LONG + """, c as (select feature, label, count(*) n, avg(value) m, var_pop(value) v from l group by 1, 2),
+f as (select feature, ((sum(n * m * m) - power(sum(n * m), 2) / sum(n)) / (count(*) - 1)) / (sum(n * v) / (sum(n) - count(*))) as f from c group by 1)"""
+
+
+def _long(spark, d) -> DataFrame:
+    return table(spark, d, "embeddings").select("label", F.posexplode(F.transform("embedding", lambda v: v.cast("double"))).alias("feature", "value"))
+
+
+@query("anova_f", _ANOVA + " select cast(feature as int) as feature, round(f, 6) as f from f")
+def anova_f(spark, d):
+    return select.anova_f(_long(spark, d), "label").withColumn("f", F.round("f", 6))
+
+
+@query("top_features", _ANOVA + " select cast(feature as int) as feature, round(f, 6) as f from f order by round(f, 6) desc, feature desc limit 18")
+def top_features(spark, d):
+    return select.anova_f(_long(spark, d), "label").withColumn("f", F.round("f", 6)).orderBy(F.desc("f"), F.desc("feature")).limit(18)
+
+
+@query("separability_rank", _LONG + ", c as (select feature, label, avg(value) m, stddev_pop(value) s from l group by 1, 2) select cast(feature as int) as feature, round((max(m) - min(m)) / (avg(s) + 1e-6), 6) as score from c group by 1 order by 2 desc, 1 limit 18")
+def separability_rank(spark, d):
+    return select.separability(_long(spark, d), "label").withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "feature").limit(18)
+
+
+# Events and boxes
+
+_CASE = "case event_type " + " ".join(f"when '{k}' then '{v}'" for k, v in X.EVENT_CLASSES.items()) + " end"
+_SAMPLE = f"with s as (select user_id, {_CASE} as class from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) r from events) where r <= 10), n as (select u.user_id, c.class, c.class_no, (select count(*) from s where s.user_id = u.user_id and s.class = c.class) n from (select distinct user_id from s) u, (values {', '.join(f'({chr(39)}{c}{chr(39)}, {i})' for i, c in enumerate(X.CLASSES))}) c(class, class_no))"
+_BOXES = "(values " + ", ".join(f"('{b}', '{c}', {n / 1000.0}::double)" for b, ns in bayes.BOXES.items() for c, n in zip(X.CLASSES, ns, strict=True)) + ") b(model, class, p)"
+_POST = f"{_SAMPLE}, l as (select user_id, model, greatest(sum(case when n = 0 then 0 when p = 0 then -1e300 else n * ln(greatest(p, 1e-300)) end), -1e300) ll from n join {_BOXES} on n.class = b.class group by 1, 2), w as (select user_id, model, exp(ll - max(ll) over (partition by user_id)) w from l), post as (select user_id, model, w / sum(w) over (partition by user_id) as posterior from w)"
+_PROP = f"{_POST}, prop as (select user_id, b.class, sum(posterior * p) as proportion from post join {_BOXES} on post.model = b.model group by 1, 2)"
+
+
+def _sample(spark, d) -> DataFrame:
+    """(user_id, class, n): classes among each user's last ten events of any type, zeros included."""
+    e = table(spark, d, "events").withColumn("r", F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))).where("r <= 10")
+    cls = F.lit(None).cast("string")
+    for k, v in X.EVENT_CLASSES.items():
+        cls = F.when(F.col("event_type") == k, v).otherwise(cls)
+    wide = e.withColumn("class", cls).groupBy("user_id").agg(*[F.count(F.when(F.col("class") == c, 1)).alias(c) for c in X.CLASSES])
+    return wide.select("user_id", F.explode(F.array(*[F.struct(F.lit(c).alias("class"), F.col(c).alias("n")) for c in X.CLASSES])).alias("s")).select("user_id", "s.*")
+
+
+@query("rolling_sample10", _SAMPLE + " select user_id, class, n from n")
+def rolling_sample10(spark, d):
+    return _sample(spark, d)
+
+
+@query("bayes_posterior", _POST + " select user_id, model, round(posterior, 6) as posterior from post")
+def bayes_posterior(spark, d):
+    return bayes.posterior(_sample(spark, d), "user_id").withColumn("posterior", F.round("posterior", 6))
+
+
+@query("bayes_proportions", _PROP + " select user_id, class, round(proportion, 6) as proportion from prop")
+def bayes_proportions(spark, d):
+    return bayes.proportions(bayes.posterior(_sample(spark, d), "user_id"), "user_id").select("user_id", "class", r6(F.col("proportion"), "proportion"))
+
+
+@query("bayes_counts", _PROP + f""", r as (select user_id, class, round(proportion * 1000, 9) raw, case class {" ".join(f"when '{c}' then {i}" for i, c in enumerate(X.CLASSES))} end as class_no from prop),
+q as (select *, round_even(raw, 0) r, raw - floor(raw) frac from r), t as (select *, 1000 - sum(r) over (partition by user_id) miss, row_number() over (partition by user_id order by frac desc, class_no) place from q)
+select user_id, class, cast(r + case when place <= abs(miss) then sign(miss) else 0 end as bigint) as expected from t""")
+def bayes_counts(spark, d):
+    return bayes.expected_counts(bayes.proportions(bayes.posterior(_sample(spark, d), "user_id"), "user_id"), "user_id")
+
+
+@query("event_ring50", "select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) r from events) where r <= 50")
+def event_ring50(spark, d):
+    return table(spark, d, "events").withColumn("r", F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))).where("r <= 50").select("user_id", "event_id", "event_type")
