@@ -86,32 +86,29 @@ def _span_hash(data: np.ndarray, begin: np.ndarray, end: np.ndarray, seed: int)
 
 
 def suffix_array(codes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(suffixes in order of their first `length` codes, rank of each suffix: how many come before it; equals share one).
+    """(suffixes that share their first `length` codes with another, in suffix order; the rank of each, equals alike).
 
-    Prefix doubling from packed codes; a suffix that is alone with its rank is not sorted again. Codes are below 2**15.
+    Prefix doubling. Codes are ordered by a hash, so that the ranks of a power of two of codes come from one hash of all
+    of them; suffixes that are alone there share no longer prefix either and are dropped before the last step.
     """
-    n, k = len(codes), min(4, length)
-    key = np.zeros(n, np.int64)
-    for j in range(k):
-        key <<= 15
-        key[: n - j] += codes[j:] + 1 if j else codes + 1
-    rank, alive = np.zeros(n, np.int64), np.arange(n)
-    while True:
-        o = np.lexsort((key, rank[alive])) if k > 4 else np.argsort(key, kind="stable")
-        alive, key = alive[o], key[o]
-        old = rank[alive]
-        new_class = np.concatenate(([True], old[1:] != old[:-1]))
-        new_key = new_class | np.concatenate(([True], key[1:] != key[:-1]))
-        first_of_class = np.maximum.accumulate(np.where(new_class, np.arange(len(old)), 0))
-        first_of_key = np.maximum.accumulate(np.where(new_key, np.arange(len(old)), 0))
-        rank[alive] = old + first_of_key - first_of_class
-        size = np.diff(np.append(np.flatnonzero(new_key), len(old)))
-        alive = alive[np.repeat(size > 1, size)]
-        if k >= length or not len(alive):
-            return np.argsort(rank, kind="stable"), rank
-        step = min(k, length - k)
-        key = np.where(alive + step < n, rank[np.minimum(alive + step, n - 1)], -1)
-        k += step
+    k = 1 << max(int(length).bit_length() - 1, 0)
+    if len(codes) < length:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    with np.errstate(over="ignore"):
+        key, n = mix(codes.astype(np.uint64) + _STEP), 1
+        while n < k:
+            key = mix(key[:-n] * _STEP + key[n:] + np.uint64(n))
+            n *= 2
+        rank = np.zeros(len(codes), np.int64)
+        order = np.argsort(key, kind="stable")
+        new = np.concatenate(([True], key[order][1:] != key[order][:-1]))
+        size = np.diff(np.append(np.flatnonzero(new), len(order)))
+        rank[order] = np.cumsum(new)
+        alive = np.sort(order[np.repeat(size > 1, size)])
+        alive = alive[alive + length <= len(codes)]
+        both = rank[alive] * (len(codes) + 1) + rank[alive + length - k]  # two overlapping powers cover the length
+    o = np.argsort(both, kind="stable")
+    return alive[o], both[o]
 
 
 def factors(codes: np.ndarray, length: int, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -121,8 +118,7 @@ def factors(codes: np.ndarray, length: int, order: np.ndarray | None = None) ->
     next place of smaller rank are the earlier matches that can be longest; greater ranks give the following ones.
     """
     order = np.arange(len(codes)) if order is None else order
-    suffixes, rank = suffix_array(codes, length)
-    in_order = rank[suffixes]
+    suffixes, in_order = suffix_array(codes, length)
     earlier, later = np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64)
     joined = np.flatnonzero(np.diff(np.concatenate(([0], (in_order[1:] == in_order[:-1]).astype(np.int8), [0]))))
     for lo, hi in zip(joined[::2], joined[1::2], strict=True):  # suffixes lo..hi agree in `length` codes
