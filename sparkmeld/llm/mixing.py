@@ -26,16 +26,25 @@ SWEEPS, TOLERANCE = 200, 1e-9
 DRIVER_CELLS = 100_000
 
 
-def topic_of(text: Column) -> Column:
-    """A coarse topic by what a text is made of: table, symbols, capitals, records, prose; empty for none."""
-    n = F.length(text)
-    count = lambda chars: n - F.length(F.translate(text, chars, ""))
+#: Characters that topics count, and the one that stands for each of their kind.
+KINDS = {"|": "|", "#$%&*": "$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ": "A", "0123456789": "0"}
+
+
+def kinds_of(text: Column) -> Column:
+    """The text with every counted character replaced by its kind: one pass, after which a kind is a search for one byte."""
+    return F.translate(text, "".join(KINDS), "".join(stands * len(chars) for chars, stands in KINDS.items()))
+
+
+def topic_of(kinds: Column) -> Column:
+    """A coarse topic by what a text is made of: table, symbols, capitals, records, prose; empty for none. Takes kinds_of(text)."""
+    n = F.length(kinds)
+    count = lambda kind: n - F.length(F.replace(kinds, F.lit(kind), F.lit("")))
     return (
         F.when(n == 0, "empty")
         .when(count("|") > n * 0.02, "table")
-        .when(count("#$%&*") > n * 0.02, "symbols")
-        .when(count("ABCDEFGHIJKLMNOPQRSTUVWXYZ") > n * 0.3, "capitals")
-        .when(count("0123456789") > n * 0.1, "records")
+        .when(count("$") > n * 0.02, "symbols")
+        .when(count("A") > n * 0.3, "capitals")
+        .when(count("0") > n * 0.1, "records")
         .otherwise("prose")
     )
 
@@ -43,10 +52,10 @@ def topic_of(text: Column) -> Column:
 def described(docs: DataFrame) -> DataFrame:
     """docs with _source, _lang, _topic and _tokens: nulls are the value `unknown`, a null text is empty, tokens are runs of non-space."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumns({
+    return docs.withColumn("_kinds", kinds_of(text)).withColumns({
         "_source": F.coalesce("source", F.lit("unknown")), "_lang": F.coalesce("lang", F.lit("unknown")),
-        "_topic": topic_of(text), "_tokens": F.regexp_count(text, F.lit(r"\S+")).cast("long"),
-    })
+        "_topic": topic_of(F.col("_kinds")), "_tokens": F.regexp_count(text, F.lit(r"\S+")).cast("long"),
+    }).drop("_kinds")
 
 
 def targets_of(totals: dict[str, float], power: float) -> dict[str, float]:
@@ -107,13 +116,13 @@ def _lookup(spark: SparkSession, factors: dict[str, float], name: str) -> DataFr
     return spark.range(1).select(F.explode(literal).alias(f"_{name}", f"f_{name}"))
 
 
-def mixed(spark: SparkSession, docs: DataFrame, *, powers: dict[str, float] = POWERS, budget: float = BUDGET, key: str = "doc_id", driver_cells: int = DRIVER_CELLS) -> DataFrame:
-    """docs with _source, _lang, _topic, _tokens, weight (1 on average over tokens), prob and sampled.
+def weighted(spark: SparkSession, rows: DataFrame, *, powers: dict[str, float] = POWERS, budget: float = BUDGET, key: str = "doc_id", driver_cells: int = DRIVER_CELLS) -> DataFrame:
+    """rows of described(), written once so that texts are read once, with weight (1 on average over tokens), prob and sampled.
 
     prob is the weight times the budget, at most 1; a document is sampled when a hash of its key falls below it, so
     repeated keys share their fate. Documents without tokens weigh nothing in the marginals and have weight 1.
     """
-    rows = described(docs)
+    rows = materialize(rows, "described")
     cells = rows.groupBy(*[f"_{m}" for m in MARGINS]).agg(F.sum("_tokens").alias("tokens"))
     cells = materialize(cells, "cells")
     if cells.count() <= driver_cells:
@@ -136,11 +145,16 @@ def mixed(spark: SparkSession, docs: DataFrame, *, powers: dict[str, float] = PO
     return rows.withColumn("sampled", u < F.col("prob"))
 
 
+def mixed(spark: SparkSession, docs: DataFrame, **settings) -> DataFrame:
+    """docs with _source, _lang, _topic, _tokens and what weighted() adds."""
+    return weighted(spark, described(docs), **settings)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its cell, weight, probability, and whether it is in the mix.
 
     Null sources and languages are `unknown`, null texts empty; an empty table gives no rows.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
-    out = mixed(spark, docs)
+    out = weighted(spark, described(docs).drop("text"))
     return out.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"), "weight", "prob", "sampled")
