@@ -68,7 +68,7 @@ def enclosing_radius(corners: np.ndarray) -> float:
         det = 2 * (u.real * v.imag - u.imag * v.real)
         if abs(det) < 1e-12:
             return p[0], math.inf
-        centre = p[0] + 1j * (abs(v) ** 2 * u - abs(u) ** 2 * v) * -1 / det
+        centre = p[0] + 1j * (abs(v) ** 2 * u - abs(u) ** 2 * v) / det
         return centre, abs(centre - p[0])
 
     basis = [c[0]]
