@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Numbers of a searched sample at most (32 MB).
 SAMPLE_NUMBERS = 4_000_000
+#: Differences that a task holds at a time (32 MB).
+BLOCK_NUMBERS = 4_000_000
 #: Weight patterns: a factor for features whose name holds a word. The empty one leaves all alike.
 PATTERNS: dict[str, dict[str, float]] = {"none": {}}
 
@@ -112,11 +114,14 @@ def neighbour_accuracy(x: np.ndarray, y: np.ndarray, fold: np.ndarray, k: int =
         test = fold == part
         mu, sd = x[~test].mean(0), x[~test].std(0)
         z = (x - mu) / np.where(sd == 0, 1, sd)
-        d = np.abs(z[test][:, None] - z[~test][None]).sum(2)
-        near = np.argsort(d, axis=1, kind="stable")[:, :k]
-        votes = np.zeros((len(d), int(y.max()) + 1))
-        np.add.at(votes, (np.arange(len(d))[:, None], y[~test][near]), 1 / np.maximum(np.take_along_axis(d, near, 1), 1e-12))
-        scores.append(float((votes.round(9).argmax(1) == y[test]).mean()))
+        hits, step = 0, max(1, BLOCK_NUMBERS // max(1, z[~test].size))
+        for lo in range(0, int(test.sum()), step):
+            d = np.abs(z[test][lo : lo + step, None] - z[~test][None]).sum(2)
+            near = np.argsort(d, axis=1, kind="stable")[:, :k]
+            votes = np.zeros((len(d), int(y.max()) + 1))
+            np.add.at(votes, (np.arange(len(d))[:, None], y[~test][near]), 1 / np.maximum(np.take_along_axis(d, near, 1), 1e-12))
+            hits += int((votes.round(9).argmax(1) == y[test][lo : lo + step]).sum())
+        scores.append(hits / int(test.sum()))
     return float(np.mean(scores))
 
 

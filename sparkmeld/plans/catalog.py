@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators import bayes, kmeans, knn, metrics, scale, select
+from ..operators import bayes, kmeans, knn, metrics, scale, search, select
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -400,6 +400,28 @@ def separability_rank(spark, d):
     return select.separability(_long(spark, d), "label").withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "feature").limit(18)
 
 
+# Subset searches; their clusters and folds are iterated in numpy by candidate, which SQL does not express
+
+
+def _searched(spark, d) -> DataFrame:
+    e = table(spark, d, "embeddings").where("label < 4")
+    return e.select(F.col("vec_id").alias("id"), "label", F.pmod("vec_id", F.lit(5)).alias("fold"), *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(6)])
+
+
+@query("subset_search_kmeans")
+def subset_search_kmeans(spark, d):
+    """Purity of every pair and triple of six features, three norms and two weight patterns each."""
+    found = search.cluster_subsets(_searched(spark, d), [f"f{i}" for i in range(6)], "label", (2, 3), patterns={"none": {}, "first": {"f0": 2.5}})
+    return found.select("no", "norm", "pattern", F.array_join("features", "|").alias("features"), r6(F.col("purity"), "purity"), r6(F.col("inertia"), "inertia"))
+
+
+@query("subset_search_knn")
+def subset_search_knn(spark, d):
+    """The best cross-validated accuracies by subset size."""
+    found = search.best_by_size(search.neighbour_subsets(_searched(spark, d), [f"f{i}" for i in range(6)], "label", "fold", (2, 3)), "accuracy")
+    return found.select("size", "place", F.array_join("features", "|").alias("features"), r6(F.col("accuracy"), "accuracy"), "perfect")
+
+
 # Events and boxes
 
 _CASE = "case event_type " + " ".join(f"when '{k}' then '{v}'" for k, v in X.EVENT_CLASSES.items()) + " end"
