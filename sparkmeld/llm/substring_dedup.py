@@ -7,7 +7,9 @@ Runs with equal bytes are summed up first, so copies in any number cost one run.
 task builds the suffix array, takes the longest previous (and following) factors from the previous and next smaller
 positions in suffix order, and reports the windows whose factor reaches L. An anchor with many different runs is split
 first: by parts of the offsets that a window can have to its anchor, keyed by the bytes that all windows of the part have in
-common; runs that are alone in a part end there, and at a single offset the key is the window itself.
+common. A part is a shorter run: equal ones are summed up again, and one that is alone under its key ends there. So of runs
+that differ in one place, only the parts go on that hold this place, but not in all their windows; at a single offset the
+key is the window itself, and nothing goes on.
 """
 
 from __future__ import annotations
@@ -174,7 +176,10 @@ _CUT = "part long, anchor long, c1 long, c2 long, copies long, k long, a int, m
 
 
 def _split(rows: DataFrame, length: int) -> DataFrame:
-    """Runs with offsets lo..hi to thirds or halves of them, keyed by the bytes that all windows of a part have in common."""
+    """Runs with offsets lo..hi to thirds or halves of them: shorter runs, keyed by the bytes that all windows of a part have in common."""
+
+    def digest(data: bytes, size: int, *place: int) -> bytes:
+        return hashlib.blake2b(data, digest_size=size, key=":".join(map(str, place)).encode()).digest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,11 +193,13 @@ def _split(rows: DataFrame, length: int) -> DataFrame:
                 for x, y in zip(cuts[:-1].tolist(), (cuts[1:] - 1).tolist(), strict=True):
                     if x > far or y < close:
                         continue
-                    top = min(y, length - GRAM)
-                    common = text[far - x : far - top + length]  # window with offset d begins at far - d
-                    part = int.from_bytes(hashlib.blake2b(common, digest_size=8, key=f"{x}:{y}".encode()).digest(), "little", signed=True)
-                    for c in out:
-                        out[c].append({"part": part, "lo": x, "hi": y}.get(c, got[c][i]))
+                    common = text[far - x : far - y + length]  # window with offset d begins at far - d
+                    begin, last = min(y, far), max(x, close)
+                    own = text[far - begin : far - last + length]
+                    c = np.frombuffer(digest(own, 16, x, y, begin), np.int64).tolist()
+                    new = {"part": int.from_bytes(digest(common, 8, x, y), "little", signed=True), "c1": c[0], "c2": c[1], "a": m - begin, "lo": x, "hi": y, "run": own}
+                    for col in out:
+                        out[col].append(new.get(col, got[col][i]))
             yield pa.RecordBatch.from_pydict(out, schema=batch.schema)
 
     return rows.mapInArrow(run, _CUT)
@@ -202,30 +209,18 @@ def _matched(rows: DataFrame, length: int, keep_first: bool) -> DataFrame:
     """Rows of small parts -> (k, a, b): the windows of single runs that repeat, by suffix arrays of many parts at a time."""
 
     def solve(group: list[tuple]) -> Iterator[tuple]:
-        offsets: dict[tuple, list] = {}
-        runs: dict[tuple, tuple] = {}
-        for _, copies, k, a, m, lo, hi, text in group:  # the halves of a run can meet here: it is laid out once
-            offsets.setdefault((k, a, len(text)), []).append((lo, hi))
-            runs[(k, a, len(text))] = (copies, m, text)
-        info = sorted(runs)  # runs in the order of their texts, so that a place is its own rank
+        group = sorted(group, key=lambda row: row[2:4])  # in the order of their texts, so that a place is its own rank
         codes = []
-        for n, key in enumerate(info):
-            codes += [np.frombuffer(runs[key][2], np.uint8).astype(np.int64), np.array([256 + n])]  # no match runs on into the next
+        for n, row in enumerate(group):
+            codes += [np.frombuffer(row[-1], np.uint8).astype(np.int64), np.array([256 + n])]  # no match runs on into the next
         earlier, later = factors(np.concatenate(codes), length)
         found = earlier >= length if keep_first else (earlier >= length) | (later >= length)
         first = 0
-        for key in info:
-            k, a, size = key
-            copies, m, _ = runs[key]
+        for _, copies, k, a, text in group:
             if copies == 1 or keep_first:
-                flags = found[first : first + size - length + 1]
-                offset = m - a - np.arange(len(flags))
-                asked = np.zeros(len(flags), bool)
-                for lo, hi in offsets[key]:
-                    asked |= (offset >= lo) & (offset <= hi)
-                for x, y in zip(*_ranges(flags & asked), strict=True):
+                for x, y in zip(*_ranges(found[first : first + len(text) - length + 1]), strict=True):
                     yield k, a + int(x), a + int(y)
-            first += size + 1
+            first += len(text) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
@@ -251,7 +246,7 @@ def _matched(rows: DataFrame, length: int, keep_first: bool) -> DataFrame:
             out += solve(group)
         yield flush()
 
-    ordered = rows.select("part", "copies", "k", "a", "m", "lo", "hi", "run").repartition("part").sortWithinPartitions("part", "k", "a")
+    ordered = rows.select("part", "copies", "k", "a", "run").repartition("part").sortWithinPartitions("part", "k", "a")
     return ordered.mapInArrow(run, "k long, a int, b int")
 
 
@@ -293,19 +288,19 @@ def repeated_windows(docs: DataFrame, *, length: int = LENGTH, keep_first: bool
     answers = [found, _matched(cuts.where(F.col("n") <= GROUP), length, keep_first)]
     large = cuts.where(F.col("n") > GROUP).drop("n")
     while not large.isEmpty():
-        halves = materialize(_split(large, length), "halves")
-        sizes = halves.groupBy("part", "lo", "hi").agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("whole")).where("n > 1")
-        both = materialize(halves.join(sizes, ["part", "lo", "hi"]), "halves")
-        discard(halves)
-        answers.append(_matched(both.where((F.col("n") <= GROUP) & (F.col("lo") < F.col("hi"))), length, keep_first))
-        single = both.where("lo = hi")  # the key is the window
-        if keep_first:
-            least = single.groupBy("part", "lo", "hi").agg(F.min(F.struct("k", (F.col("m") - F.col("lo")).alias("at"))).alias("least"))
-            single = single.join(least, ["part", "lo", "hi"]).where((F.col("k") != F.col("least.k")) | (F.col("m") - F.col("lo") != F.col("least.at")))
-        else:
-            single = single.where("copies = 1")
-        answers.append(single.select("k", (F.col("m") - F.col("lo")).alias("a"), (F.col("m") - F.col("lo")).alias("b")))
-        large = both.where((F.col("n") > GROUP) & (F.col("lo") < F.col("hi"))).select(*halves.columns)
+        parts = materialize(_split(large, length), "parts")
+        alike = parts.groupBy("part", "c1", "c2").agg(F.count(F.lit(1)).alias("members"), F.sum("copies").alias("copies"), F.min(F.struct("k", "a", "m", "anchor", "lo", "hi", "run")).alias("first"))
+        alike = materialize(alike.select("part", "c1", "c2", "members", "copies", "first.*"), "alike")
+        several = alike.where("members > 1").select("part", "c1", "c2", F.struct("k", "a").alias("first"))
+        repeats = parts.join(several, ["part", "c1", "c2"])  # whole parts; those of summed runs are known already
+        repeats = repeats.where((F.col("k") != F.col("first.k")) | (F.col("a") != F.col("first.a"))) if keep_first else repeats.where("copies = 1")
+        answers.append(materialize(repeats.select("k", "a", (F.col("a") + F.length("run") - length).alias("b")), "windows"))
+        discard(parts)
+        sizes = alike.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        both = materialize(alike.join(sizes, "part").select(*parts.columns, "n"), "parts")
+        discard(alike)
+        answers.append(_matched(both.where(F.col("n") <= GROUP), length, keep_first))
+        large = both.where(F.col("n") > GROUP).drop("n")
     out = answers[0]
     for x in answers[1:]:
         out = out.unionByName(x)
