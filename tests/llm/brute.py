@@ -53,19 +53,23 @@ def url_row(url: str | None) -> tuple:
     return (host, path, *(max(fit)[1:] if fit else (None, None)))
 
 
-def removed_bytes(texts: list[str | None], length: int = 200) -> list[list[bool]]:
-    """For each text, which of its bytes a repeated string of that length covers."""
+def removed_bytes(texts: list[str | None], length: int = 200, keep_first: bool = False) -> list[list[bool]]:
+    """For each text, which of its bytes a repeated string of that length covers; with keep_first, one that also starts earlier."""
     seen: dict[bytes, int] = {}
     data = [(t or "").encode() for t in texts]
     for d in data:
         for i in range(len(d) - length + 1):
             seen[d[i : i + length]] = seen.get(d[i : i + length], 0) + 1
     out = []
+    before: set[bytes] = set()
     for d in data:
         flags = [False] * len(d)
         for i in range(len(d) - length + 1):
-            if seen[d[i : i + length]] > 1:
+            window = d[i : i + length]
+            if seen[window] > 1 and (not keep_first or window in before):
                 flags[i : i + length] = [True] * length
+            if keep_first and seen[window] > 1:
+                before.add(window)
         out.append(flags)
     return out
 

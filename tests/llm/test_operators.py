@@ -82,6 +82,15 @@ def test_substrings(spark, tables, monkeypatch, group):
     assert got == want
 
 
+def test_substrings_keep_first(spark, tables, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "GROUP", 2)
+    docs = sorted(read(tables, "documents"), key=lambda d: d["doc_id"])
+    out = substring_dedup.without_repeats(spark.read.parquet(f"{tables}/documents.parquet"), keep_first=True)
+    got = {r.doc_id: (r.n_bytes, r.n_removed) for r in out.collect()}
+    want = {d["doc_id"]: (len(f), sum(f)) for d, f in zip(docs, brute.removed_bytes([d["text"] for d in docs], keep_first=True), strict=True)}
+    assert got == want
+
+
 def test_near_duplicates(spark, tables):
     docs = read(tables, "documents")
     got = {r.doc_id: r.component_id for r in minhash_dedup.op4_minhash_dedup(spark, tables).collect()}
