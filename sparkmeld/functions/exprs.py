@@ -89,6 +89,14 @@ def word_before_underscore(path: Column) -> Column:
     return F.lower(F.substring_index(base_name(path), "_", 1))
 
 
+def word_and_speaker(path: Column) -> tuple[Column, Column]:
+    """Of `word_speaker_rest.wav` the word and the speaker, of `word_rest.wav` the word alone, in lower case; null where there is none."""
+    letters = "[A-Za-zÁÉÍÓÚáéíóúñÑ]"
+    word = F.regexp_extract(base_name(path), rf"(?i)^({letters}+)_.+\.wav$", 1)
+    speaker = F.regexp_extract(base_name(path), rf"(?i)^{letters}+_([A-Za-z0-9ÁÉÍÓÚáéíóúñÑ]+)_.+\.wav$", 1)
+    return tuple(F.when(x != "", F.lower(x)) for x in (word, speaker))
+
+
 def label_hint(path: Column) -> Column:
     """The first class, by priority, that the name contains."""
     name, out = F.lower(base_name(path)), F.lit("unknown")

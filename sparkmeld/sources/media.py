@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import acoustics, raster, shapes
-from ..functions.exprs import label_hint
+from ..functions import acoustics, raster, shapes, voice
+from ..functions.exprs import label_hint, word_and_speaker
 from ..operators import scale
 
 
@@ -74,6 +74,41 @@ def word_features(sounds: DataFrame) -> DataFrame:
     return _rows(sounds.select("file", "samples"), schema, lambda y: acoustics.word_features(np.array(y)), "unreadable")
 
 
+_VOICE = "file string, sample_rate int, frame_length int, hop_length int, n_fft int, feature_vector array<double>, feature_names array<string>, status string"
+
+
+def voice_features(sounds: DataFrame) -> DataFrame:
+    """sounds(file, samples) -> (file, label, speaker, the sizes used, feature_vector, feature_names, status ok, unreadable, failed or no_word).
+
+    A sound without a word in its name has its numbers and a null label; an unreadable one has null for all numbers.
+    """
+    sizes = ("sample_rate", "frame_length", "hop_length", "n_fft")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, status = [], []
+            for i in range(batch.num_rows):
+                y = batch.column(1)[i]
+                try:
+                    got = voice.features(y.values.to_numpy(zero_copy_only=False)) if y.is_valid else None
+                    rows.append(got or {})
+                    status.append("ok" if got else "unreadable")
+                except (ValueError, ArithmeticError, IndexError, np.linalg.LinAlgError) as e:
+                    rows.append({})
+                    status.append(f"failed: {type(e).__name__}")
+            vectors = [list(r["features"].values()) if r else None for r in rows]
+            names = [list(r["features"]) if r else None for r in rows]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *[pa.array([r.get(k) for r in rows], pa.int32()) for k in sizes], pa.array(vectors, pa.list_(pa.float64())), pa.array(names, pa.list_(pa.string())), pa.array(status, pa.string())],
+                ["file", *sizes, "feature_vector", "feature_names", "status"],
+            )
+
+    word, speaker = word_and_speaker(F.col("file"))
+    out = sounds.select("file", "samples").mapInArrow(run, _VOICE).withColumns({"label": word, "speaker": speaker})
+    status = F.when((F.col("status") == "ok") & F.col("label").isNull(), "no_word").otherwise(F.col("status"))
+    return out.withColumn("status", status).select("file", "label", "speaker", *sizes, "feature_vector", "feature_names", "status")
+
+
 def with_dataset_scores(features: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(features with a z-score of each, the one-row statistics): NaN is left out of the statistics and stays NaN."""
     names = list(acoustics.WORD)

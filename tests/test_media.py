@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from sparkmeld.functions import acoustics, raster, shapes
+from sparkmeld.functions import acoustics, raster, shapes, voice
 from sparkmeld.sources import media
 
 Y, X = np.mgrid[:200, :220]
@@ -93,3 +93,41 @@ def test_word_features(spark):
     assert got["sweep.wav"].zcr_std > got["tone.wav"].zcr_std and math.isnan(got["silent.wav"].mfcc_std_4)
     assert got["sweep.wav"].zcr_std_z == pytest.approx(1, abs=1e-3) and got["tone.wav"].zcr_std_z == pytest.approx(-1, abs=1e-3)
     assert media.word_features(df).where("file = 'bad.wav'").first().status == "unreadable"
+
+
+def test_voice_vector(spark):
+    rate = 16_000
+    t = np.arange(2 * rate) / rate
+    tone = np.sin(2 * math.pi * 220 * t) + 0.5 * np.sin(2 * math.pi * 440 * t)
+    sounds = [("d/Contar_Ana_01.wav", tone.tolist()), ("salir_2.WAV", [0.0] * 5000), ("9.wav", [1.0] * 300), ("bad_a_1.wav", None), ("empty_a_1.wav", []), ("nan_a_1.wav", [float("nan")] * 9)]
+    got = {r.file: r for r in media.voice_features(spark.createDataFrame(sounds, "file string, samples array<double>")).collect()}
+    r = got["d/Contar_Ana_01.wav"]
+    f = dict(zip(r.feature_names, r.feature_vector, strict=True))
+    assert (r.label, r.speaker, r.hop_length, r.n_fft, r.status, len(f)) == ("contar", "ana", 100, 2048, "ok", 286)
+    assert [r.feature_names[i] for i in (68, 214, 213, 242, 66)] == ["mfcc_dd_std_4", "zcr_std", "zcr_mean", "onset_strength_median", "mfcc_dd_std_2"]
+    assert f["f0_yin_median"] == pytest.approx(220, rel=0.01) and f["chroma_mean_10"] == max(f[f"chroma_mean_{k}"] for k in range(1, 13))
+    assert f["duration_s"] == pytest.approx(2) and f["lpc_mean_0"] == 1
+    assert (got["salir_2.WAV"].label, got["salir_2.WAV"].speaker, got["9.wav"].status) == ("salir", None, "no_word")
+    assert all(np.isfinite(got[k].feature_vector).all() for k in ("salir_2.WAV", "9.wav"))
+    assert {got[k].status for k in ("bad_a_1.wav", "empty_a_1.wav", "nan_a_1.wav")} == {"unreadable"}
+
+
+def test_voice_kernels():
+    rate = 16_000
+    clicks = np.zeros(8 * rate)
+    clicks[::8000] = 1
+    clicks = np.convolve(clicks, np.hanning(64))
+    f = voice.features(clicks)["features"]
+    assert f["tempo_bpm"] == pytest.approx(120, rel=0.02) and 13 <= f["n_beats"] <= 16
+    x = np.random.default_rng(1).standard_normal(40_000)
+    for i in range(2, len(x)):
+        x[i] += 1.2 * x[i - 1] - 0.8 * x[i - 2]
+    flat = x.copy()  # pre-emphasis turns it into x
+    for i in range(1, len(x)):
+        flat[i] += 0.97 * flat[i - 1]
+    a = voice.prediction(flat, 400, 100, order=2).mean(0)
+    assert a == pytest.approx([1, -1.2, 0.8], abs=0.05)
+    assert voice.slopes(np.arange(20.0)[None] ** 2, 2) == pytest.approx(np.full((1, 20), 2.0))
+    notes = np.zeros((12, 1))
+    notes[0] = 2
+    assert voice.tonal_centroids(notes)[:, 0] == pytest.approx([0, 1, 0, 1, 0, 0.5])
