@@ -35,7 +35,11 @@ def feature_records(spark: SparkSession, folder: str, features: Sequence[str], m
 
 def images(spark: SparkSession, folder: str, pattern: str = IMAGE_GLOB) -> DataFrame:
     """(file, height, width, gray): decoded images as one byte per pixel; unreadable files are left out."""
-    rows = spark.read.format("image").option("dropInvalid", True).option("pathGlobFilter", pattern).load(folder)
+    return decoded_images(spark.read.format("image").option("dropInvalid", True).option("pathGlobFilter", pattern).load(folder))
+
+
+def decoded_images(rows: DataFrame) -> DataFrame:
+    """Rows of the image source, of a table or a stream, to (file, height, width, gray)."""
 
     def gray(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -52,7 +56,11 @@ def images(spark: SparkSession, folder: str, pattern: str = IMAGE_GLOB) -> DataF
 
 def sounds(spark: SparkSession, folder: str, pattern: str = "*.wav", rate: int = 16_000) -> DataFrame:
     """(file, stem, samples array<double>, status): 16-bit or 8-bit PCM as mono at `rate`; broken files have a status, not an error."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "content")
+    return decoded_sounds(spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder), rate)
+
+
+def decoded_sounds(files: DataFrame, rate: int = 16_000) -> DataFrame:
+    """files(path, content), of a table or a stream, to (file, stem, samples, status)."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,7 +80,7 @@ def sounds(spark: SparkSession, folder: str, pattern: str = "*.wav", rate: int =
                     status.append(f"unreadable: {type(e).__name__}")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(samples, pa.list_(pa.float64())), pa.array(status)], ["file", "samples", "status"])
 
-    return files.mapInArrow(decode, "file string, samples array<double>, status string").withColumn("stem", stem(F.col("file")))
+    return files.select("path", "content").mapInArrow(decode, "file string, samples array<double>, status string").withColumn("stem", stem(F.col("file")))
 
 
 def write_ranked_csv(df: DataFrame, folder: str, *order: str) -> None:
