@@ -256,9 +256,11 @@ def repeated_windows(docs: DataFrame, *, length: int = LENGTH, keep_first: bool
     With keep_first, those that also start earlier (in a text with a lesser key, or before in the same text).
     """
     runs = materialize(run_table(docs, length), "runs")
-    again = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    # a table of its own: a join can split a hot anchor only where both its sides are plain shuffles
+    again = materialize(runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "again")
     some = materialize(runs.join(again, "anchor", "left_semi"), "runs")
     discard(runs)
+    discard(again)
     place = F.struct("k", "a", "b", "m")
     kinds = materialize(some.groupBy("anchor", "c1", "c2").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("first")), "kinds")
     many = kinds.where("copies > 1").select("anchor", "c1", "c2", "first")
@@ -266,7 +268,7 @@ def repeated_windows(docs: DataFrame, *, length: int = LENGTH, keep_first: bool
     if keep_first:
         copied = copied.where((F.col("k") != F.col("first.k")) | (F.col("a") != F.col("first.a")))
     found = materialize(copied.select("k", "a", "b"), "windows")
-    differ = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    differ = materialize(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "differ")
     wanted = kinds.join(differ, "anchor").select("anchor", "c1", "c2", "copies", "n", "first.*")
     per_text = wanted.groupBy("k").agg(F.collect_list(F.struct("anchor", "c1", "c2", "copies", "n", "a", "b", "m")).alias("runs"))  # as many as a text has
 
@@ -296,9 +298,10 @@ def repeated_windows(docs: DataFrame, *, length: int = LENGTH, keep_first: bool
         repeats = repeats.where((F.col("k") != F.col("first.k")) | (F.col("a") != F.col("first.a"))) if keep_first else repeats.where("copies = 1")
         answers.append(materialize(repeats.select("k", "a", (F.col("a") + F.length("run") - length).alias("b")), "windows"))
         discard(parts)
-        sizes = alike.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        sizes = materialize(alike.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
         both = materialize(alike.join(sizes, "part").select(*parts.columns, "n"), "parts")
         discard(alike)
+        discard(sizes)
         answers.append(_matched(both.where(F.col("n") <= GROUP), length, keep_first))
         large = both.where(F.col("n") > GROUP).drop("n")
     out = answers[0]
