@@ -119,8 +119,9 @@ def _lookup(spark: SparkSession, factors: dict[str, float], name: str) -> DataFr
 def weighted(spark: SparkSession, rows: DataFrame, *, powers: dict[str, float] = POWERS, budget: float = BUDGET, key: str = "doc_id", driver_cells: int = DRIVER_CELLS) -> DataFrame:
     """rows of described(), written once so that texts are read once, with weight (1 on average over tokens), prob and sampled.
 
-    prob is the weight times the budget, at most 1; a document is sampled when a hash of its key falls below it, so
-    repeated keys share their fate. Documents without tokens weigh nothing in the marginals and have weight 1.
+    prob is the weight times the budget, or times what brings the greatest weight to 1 if that is less: no weight is
+    capped, so the expected mix has the shares that raking aimed at, and a scarce value makes the mix smaller instead of
+    missing its target. A document is sampled when a hash of its key falls below prob, so repeated keys share their fate. Documents without tokens weigh nothing in the marginals and have weight 1.
     """
     rows = materialize(rows, "described")
     cells = rows.groupBy(*[f"_{m}" for m in MARGINS]).agg(F.sum("_tokens").alias("tokens"))
@@ -134,13 +135,16 @@ def weighted(spark: SparkSession, rows: DataFrame, *, powers: dict[str, float] =
                 totals[c[m]] = totals.get(c[m], 0) + c[3]
             targets.append(targets_of(totals, powers[name]))
         factors = rake(got, targets)
+        top = max((factors[0][c[0]] * factors[1][c[1]] * factors[2][c[2]] for c in got if c[3] > 0), default=None)
         for name, f in zip(MARGINS, factors, strict=True):  # as many rows as a margin has values: bounded by driver_cells
             rows = rows.join(F.broadcast(_lookup(spark, f, name)), f"_{name}", "left")
         weight = F.coalesce(F.col("f_source") * F.col("f_lang") * F.col("f_topic"), F.lit(1.0))
         rows = rows.withColumn("weight", F.when(F.col("_tokens") > 0, weight).otherwise(1.0)).drop("f_source", "f_lang", "f_topic")
     else:
-        rows = rows.join(rake_table(cells, powers), [f"_{m}" for m in MARGINS], "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
-    rows = rows.withColumn("prob", F.least(F.col("weight") * budget, F.lit(1.0)))
+        weights = rake_table(cells, powers)
+        top = weights.agg(F.max("weight")).first()[0]
+        rows = rows.join(weights, [f"_{m}" for m in MARGINS], "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
+    rows = rows.withColumn("prob", F.least(F.col("weight") * min(budget, 1 / (top or 1.0)), F.lit(1.0)))
     u = F.pmod(F.xxhash64(F.col(key), F.lit("mix")), F.lit(1 << 40)) / float(1 << 40)
     return rows.withColumn("sampled", u < F.col("prob"))
 

@@ -152,6 +152,19 @@ def test_mixing_meets_targets(spark, tables):
     assert small.keys() == table.keys() and all(abs(small[k] - table[k]) < 1e-3 * max(1, small[k]) for k in small if k < 10_000)
 
 
+@pytest.mark.parametrize("driver_cells", [mixing.DRIVER_CELLS, 0])
+def test_mixing_expects_targets(spark, driver_cells):
+    cells = {("hot", "en"): 600, ("b", "en"): 250, ("b", "es"): 60, ("hot", "es"): 40, ("rare", "en"): 6, ("rare", "es"): 4}
+    rows = [(f"{s}-{lang}-{i}", "a few plain words", lang, s) for (s, lang), n in cells.items() for i in range(n)]
+    got = mixing.mixed(spark, spark.createDataFrame(rows, "doc_id string, text string, lang string, source string"), driver_cells=driver_cells)
+    shares = got.selectExpr("_source", "_lang", "_tokens", "_tokens * prob as e", "prob").toPandas()
+    assert shares.prob.max() <= 1 and shares.e.sum() <= mixing.BUDGET * shares._tokens.sum()
+    for margin in ("source", "lang"):
+        want = mixing.targets_of(shares.groupby(f"_{margin}")._tokens.sum().to_dict(), mixing.POWERS[margin])
+        now = (shares.groupby(f"_{margin}").e.sum() / shares.e.sum()).to_dict()
+        assert now == pytest.approx(want, rel=1e-6)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 30)] + [(100, 50), (50, 75)] + [(7, 7)]
     got = {r.id: r.component for r in graph.components(spark.createDataFrame(links, "u long, v long")).collect()}
