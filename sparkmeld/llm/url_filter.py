@@ -2,7 +2,8 @@
 
 Per host, segments that look variable (numbers, hex, dates, long mixed tokens) become wildcards at once; literal
 segments whose siblings are too many and too rare become wildcards level by level; sibling branches with the same
-shape below them whose labelled shares do not differ significantly are merged. A template is rejected when its smoothed
+shape below them whose labelled shares do not differ significantly are merged, from the deepest level up; one without
+labels is merged too. A template is rejected when its smoothed
 share of labelled bad URLs reaches the threshold. Everything is DataFrame expressions over counts per template, so a
 host with a third of all URLs is summed before it is shuffled.
 """
@@ -21,7 +22,7 @@ RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www
 DEPTH = 6
 #: A literal level becomes a wildcard when a branch has this many different segments, each with fewer URLs than RARE on average.
 FANOUT, RARE = 30, 3.0
-#: Merge two siblings' labels when they differ by fewer standard errors than this.
+#: A sibling is merged when its labelled share differs from the siblings' by fewer standard errors than this.
 SIMILAR_Z = 1.96
 #: Prior strength and the least labelled URLs and bad share at which a template is rejected.
 STRENGTH, LEAST_LABELLED, REJECT_AT = 4.0, 3, 0.5
@@ -68,7 +69,7 @@ def _sums(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def templates(urls: DataFrame) -> DataFrame:
-    """urls(host, path, bad 1/0/null) -> (host, raw segments, template, n, labelled, bad, purity): one row for each shape of path."""
+    """urls(host, path, bad 1/0/null) -> (host, raw segments, template, n, labelled, bad, seen, purity): one row for each shape of path."""
     rows = urls.select("host", segments(F.col("path")).alias("raw"), F.lit(1).alias("n"), F.col("bad").isNotNull().cast("int").alias("labelled"), F.coalesce("bad", F.lit(0)).alias("bad"))
     tree = materialize(_sums(rows, "host", "raw").withColumn("t", F.col("raw")), "urls")
     deepest = tree.agg(F.max(F.size("t"))).first()[0] or 0
@@ -85,21 +86,26 @@ def templates(urls: DataFrame) -> DataFrame:
             new = materialize(new.drop("above", "wide"), "urls")
             discard(tree)
             tree = new
-    # merge siblings: the same host and shape with the first segment left open; a labelled branch near the pool joins it
-    tree = tree.withColumn("template", F.concat_ws("/", "t")).withColumn("open", F.concat_ws("/", F.lit("*"), F.slice("t", 2, DEPTH + 1)))
-    own = _sums(tree, "host", "template", "open")
-    pool = own.groupBy("host", "open").agg(F.sum("labelled").alias("pool_labelled"), F.sum("bad").alias("pool_bad"))
-    share = F.try_divide("pool_bad", "pool_labelled")
-    error = F.sqrt(F.greatest(share * (1 - share), F.try_divide(F.lit(0.25), F.col("pool_labelled"))) / F.greatest("labelled", F.lit(1)))
-    near = (F.col("labelled") > 0) & (F.abs(F.col("bad") / F.greatest("labelled", F.lit(1)) - share) <= SIMILAR_Z * error)
+    path = lambda level: F.concat_ws("/", F.slice("t", 1, level), F.array(F.lit("{like}")), F.slice("t", level + 2, DEPTH + 1))
+    for level in reversed(range(deepest)):  # merge siblings: the same host and shape with this segment left open
+        own = _sums(tree.where(F.size("t") > level), "host", "t").withColumn("open", path(level))
+        pool = own.groupBy("host", "open").agg(F.count(F.lit(1)).alias("branches"), F.sum("labelled").alias("pool_labelled"), F.sum("bad").alias("pool_bad"))
+        share = F.col("pool_bad") / F.col("pool_labelled")
+        error = F.sqrt(F.greatest(share * (1 - share), 0.25 / F.col("pool_labelled")) / F.greatest("labelled", F.lit(1)))
+        # a branch without labels differs from none; it joins the labelled ones near the pool, if there are any
+        near = (F.col("labelled") == 0) | (F.abs(F.col("bad") / F.greatest("labelled", F.lit(1)) - share) <= SIMILAR_Z * error)
+        like = own.join(pool.where("branches > 1 and pool_labelled > 0"), ["host", "open"]).where(near).select("host", "t", F.lit(True).alias("like"))
+        if not like.isEmpty():
+            joined = F.concat(F.slice("t", 1, level), F.array(F.lit("{like}")), F.slice("t", level + 2, DEPTH + 1))
+            new = materialize(tree.join(like, ["host", "t"], "left").withColumn("t", F.when(F.col("like"), joined).otherwise(F.col("t"))).select(*tree.columns), "urls")
+            discard(tree)
+            tree = new
+    tree = tree.withColumn("template", F.concat_ws("/", "t"))
+    own = _sums(tree, "host", "template")
     whole = own.agg(F.sum("bad").alias("all_bad"), F.sum("labelled").alias("all_labelled"))
     prior = F.coalesce((F.col("all_bad") + 1) / (F.col("all_labelled") + 2), F.lit(0.5))
-    judged = (
-        own.join(pool, ["host", "open"]).crossJoin(F.broadcast(whole))  # one row of totals
-        .select("host", "template", F.when(near, F.col("pool_labelled")).otherwise(F.col("labelled")).alias("seen"), F.when(near, F.col("pool_bad")).otherwise(F.col("bad")).alias("seen_bad"), prior.alias("prior"))
-    )
-    judged = judged.withColumn("purity", (F.col("seen_bad") + STRENGTH * F.col("prior")) / (F.col("seen") + STRENGTH))
-    return tree.select("host", "raw", "template", "n", "labelled", "bad").join(judged.select("host", "template", "seen", "purity"), ["host", "template"])
+    judged = own.crossJoin(F.broadcast(whole)).select("host", "template", F.col("labelled").alias("seen"), ((F.col("bad") + STRENGTH * prior) / (F.col("labelled") + STRENGTH)).alias("purity"))  # one row of totals
+    return tree.select("host", "raw", "template", "n", "labelled", "bad").join(judged, ["host", "template"])
 
 
 def judge(urls: DataFrame, rules=RULES) -> DataFrame:

@@ -73,6 +73,23 @@ def test_urls(spark, tables):
         assert r.verdict == (verdict or r.verdict) and r.verdict in ("allow", "block")
 
 
+def test_url_templates_judge_unlabelled_branches(spark):
+    rows = [("net", f"/{lang}/{i}", 1 if lang in ("es", "fr") else None) for lang in ("es", "fr", "en") for i in range(4)]
+    rows += [("deep", f"/a/{x}/{i}/end", b) for x, b in (("p", 1), ("q", 1), ("r", None)) for i in range(4)]
+    rows += [("mixed", f"/{x}/{i}", b) for x, b, n in (("good", 0, 60), ("bad", 1, 6), ("open", None, 6)) for i in range(n)]
+    rows += [("bare", f"/{x}/{i}", None) for x in "xy" for i in range(4)]
+    got = {(r.host, "/".join(r.raw)): r for r in url_filter.templates(spark.createDataFrame(rows, "host string, path string, bad int")).collect()}
+    assert {k: r.seen for k, r in got.items() if k[0] in ("net", "deep", "bare")} == {("net", "es/{n}"): 8, ("net", "fr/{n}"): 8, ("net", "en/{n}"): 8, ("deep", "a/p/{n}/end"): 8, ("deep", "a/q/{n}/end"): 8, ("deep", "a/r/{n}/end"): 8, ("bare", "x/{n}"): 0, ("bare", "y/{n}"): 0}
+    assert all(got[k].purity >= url_filter.REJECT_AT for k in (("net", "en/{n}"), ("deep", "a/r/{n}/end")))
+    assert (got["mixed", "bad/{n}"].seen, got["mixed", "good/{n}"].seen, got["mixed", "open/{n}"].seen) == (6, 60, 0)  # siblings that disagree are no evidence for a third
+
+
+def test_url_verdict_of_unruled_branch(spark):
+    urls = [f"http://www.x.net/{lang}/{i}" for lang in ("es", "fr", "de") for i in range(5)] + [f"http://y.org/de/{i}" for i in range(5)]
+    rows = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    assert {(r.host, r.path[:4], r.verdict) for r in rows} == {("www.x.net", "/es/", "block"), ("www.x.net", "/fr/", "block"), ("www.x.net", "/de/", "block"), ("y.org", "/de/", "allow")}
+
+
 @pytest.mark.parametrize("group", [2, 256])
 def test_substrings(spark, tables, monkeypatch, group):
     monkeypatch.setattr(substring_dedup, "GROUP", group)
