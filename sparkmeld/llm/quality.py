@@ -2,7 +2,8 @@
 
 A small network over byte-class n-gram frequencies and a few counts of a text is trained on trusted positives and
 unlabelled texts: the risk of negatives is what the unlabelled risk leaves after the positives' share (the class
-prior) is taken off, and steps that would push it below zero are reversed.
+prior) is taken off, and steps that would push it below zero are reversed. The unlabelled texts are a sample of all
+documents, labelled or not, and the class prior is estimated on them.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, bounded_sample, crc_mod, raw, slices, texts, word_hashes
+from .common import WORD, crc_mod, raw, slices, texts, word_hashes
 
 BUCKETS = 1 << 10
 EXTRA = 8
@@ -23,8 +24,12 @@ HIDDEN = 24
 EPOCHS = 30
 BATCH = 256
 RATE = 0.004
-#: Bound of the rows that are fitted on, positives and unlabelled texts each.
+#: Bound of the labelled rows that are fitted on.
 MAX_TRAIN_ROWS = 6_000
+#: Bound of the unlabelled texts that are fitted on, a sample of all rows by a hash of the key.
+MAX_UNLABELLED_ROWS = 6_000
+#: The estimate of the class prior fails (is too low) in about this share of samples.
+DELTA = 0.1
 
 #: Classes of bytes: letters by case, digits, spaces, line ends, bytes beyond ASCII; every other byte is its own class.
 _CLASS = np.arange(256, dtype=np.int64)
@@ -90,16 +95,16 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train_nnpu(x: np.ndarray, positive: np.ndarray, prior: float, seed: int = 3) -> Model:
-    """positive: trusted positives; all rows of x are the unlabelled texts. Loss: the sigmoid loss, minimised by Adam."""
+def train_nnpu(x: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 3) -> Model:
+    """positive: trusted positives; unlabelled: the unlabelled texts, which a positive may be of. Loss: the sigmoid loss, minimised by Adam."""
     rng = np.random.default_rng(seed)
-    mean, scale = x.mean(0), 1 / (x.std(0) + 0.02)
+    mean, scale = x[unlabelled].mean(0), 1 / (x[unlabelled].std(0) + 0.02)
     m = Model(mean, scale, (rng.standard_normal((x.shape[1], HIDDEN)) / np.sqrt(x.shape[1])).astype(np.float32), np.zeros(HIDDEN, np.float32), (rng.standard_normal(HIDDEN) / np.sqrt(HIDDEN)).astype(np.float32), 0.0, prior, 0.0, 1.0)
     z = ((x - mean) * scale).astype(np.float32)
-    pos, params = np.flatnonzero(positive), [m.w1, m.b1, m.w2, np.zeros(1, np.float32)]
+    pos, others, params = np.flatnonzero(positive), np.flatnonzero(unlabelled), [m.w1, m.b1, m.w2, np.zeros(1, np.float32)]
     first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     for _ in range(EPOCHS):
-        order = rng.permutation(len(z))
+        order = rng.permutation(others)
         for k in range(0, len(order), BATCH):
             u, p = order[k : k + BATCH], rng.choice(pos, min(len(pos), BATCH))
             rows = np.concatenate((p, u))
@@ -127,38 +132,58 @@ def train_nnpu(x: np.ndarray, positive: np.ndarray, prior: float, seed: int = 3)
     return m
 
 
-def fit(train: DataFrame, rows: int = MAX_TRAIN_ROWS, seed: int = 3) -> Model:
+def fit(train: DataFrame, rows: int = MAX_TRAIN_ROWS, unlabelled_rows: int = MAX_UNLABELLED_ROWS, seed: int = 3) -> Model:
     """train(key, text, label): 1 trusted positive, 0 labelled otherwise, null unlabelled.
 
-    The class prior is the positives' share among labelled rows (0.5 without any). Labels of 0 teach the network nothing
-    as negatives, they are part of the unlabelled texts; they and held-back positives place the cut at score 0.5.
+    The unlabelled texts are a sample of all rows. The class prior is estimated on them: a first network is trained with
+    the positives' share among labelled rows (0.5 without any) and its scores of held-back rows give the prior of the
+    second. Labels of 0 teach the network nothing as negatives; they and held-back positives place the cut at score 0.5.
     """
     n_pos, n_neg, n_all = train.agg(F.count(F.when(F.col("label") == 1, 1)), F.count(F.when(F.col("label") == 0, 1)), F.count(F.lit(1))).first()
-    sample = bounded_sample(train, "key", rows, n_all)
+    bound = lambda n, most: (1 << 30) if n <= most else int(most / n * (1 << 30))
+    u_bound, own_bound = bound(n_all, unlabelled_rows), bound(n_pos + n_neg, rows)
+    at = F.pmod(F.xxhash64("key", F.lit("bounded sample")), F.lit(1 << 30))
+    in_u = at < u_bound
+    sample = train.where(at < max(u_bound, own_bound)).where(in_u | (F.col("label").isNotNull() & (at < own_bound))).select("key", "text", "label", in_u.alias("u"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 x = features(texts(part)).astype(np.float16)
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), part.column(2).cast(pa.int32()), pa.array([v.tobytes() for v in x], pa.binary())], ["key", "label", "x"])
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), part.column(2).cast(pa.int32()), part.column(3), pa.array([v.tobytes() for v in x], pa.binary())], ["key", "label", "u", "x"])
 
-    got = sorted(sample.select("key", "text", "label").mapInArrow(pack, "key string, label int, x binary").collect(), key=lambda r: (r.key, r.x))
+    got = sorted(sample.mapInArrow(pack, "key string, label int, u boolean, x binary").collect(), key=lambda r: (r.key, r.x))
     width = BUCKETS + EXTRA
     x = np.stack([np.frombuffer(r.x, np.float16) for r in got]).astype(np.float32) if got else np.zeros((1, width), np.float32)
     label = np.array([-1 if r.label is None else r.label for r in got] or [-1])
+    unlabelled = np.array([r.u for r in got] or [True])
     prior = min(max(n_pos / (n_pos + n_neg), 0.02), 0.98) if n_pos + n_neg else 0.5
     if not (label == 1).any():
         return Model(np.zeros(width, np.float32), np.ones(width, np.float32), np.zeros((width, HIDDEN), np.float32), np.zeros(HIDDEN, np.float32), np.zeros(HIDDEN, np.float32), 1.0, prior, 0.0, 1.0)
     held = np.random.default_rng(seed).random(len(x)) < 0.25
-    if not ((label == 1) & ~held).any():
+    if not ((label == 1) & ~held).any() or not (unlabelled & ~held).any():
         held[:] = False
-    m = train_nnpu(x[~held], label[~held] == 1, prior, seed)
+    m = train_nnpu(x[~held], label[~held] == 1, unlabelled[~held], prior, seed)
+    if (held & (label == 1)).any() and (held & unlabelled).any():
+        z = m.logits(x[held])
+        prior = _prior(z[label[held] == 1], z[unlabelled[held]])
+        m = train_nnpu(x[~held], label[~held] == 1, unlabelled[~held], prior, seed)
     z, y = m.logits(x), label
     own = held & (y >= 0) if (held & (y == 0)).any() and (held & (y == 1)).any() else y >= 0
     m.cut = _cut(z[own], y[own])
     return m
 
 
+def _prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among unlabelled scores: the least ratio of what both have above a score, where its bound is least."""
+    at = np.unique(positive)
+    above = lambda z: 1 - np.searchsorted(np.sort(z), at) / len(z)
+    p, u = above(positive), above(unlabelled)
+    slack = np.sqrt(np.log(4 / DELTA) / 2 / len(positive)) + np.sqrt(np.log(4 / DELTA) / 2 / len(unlabelled))
+    i = int(((u + slack) / p).argmin())
+    return float(min(max(u[i] / p[i], 0.02), 0.98))
+
+
 def _cut(z: np.ndarray, y: np.ndarray) -> float:
     """The cut that costs least if rejecting a good text counts as keeping a bad one, midway between its neighbours."""
     if not len(z) or y.min() == y.max():
@@ -197,9 +222,9 @@ def good(spark: SparkSession, docs: DataFrame, model: Model, *, at: float = 0.5)
 
 
 def training_rows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(key, text, label) of the labelled docs that the fold leaves; labels of sf_dir."""
+    """(key, text, label) of the docs that the fold leaves, without a label (null) where the labels of sf_dir have none."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label")).where("label in (0, 1)")
-    return docs.where(crc_mod("doc_id", 3) != 1).select("doc_id", "text").join(labels, "doc_id").select(F.col("doc_id").alias("key"), "text", "label")
+    return docs.where(crc_mod("doc_id", 3) != 1).select("doc_id", "text").join(labels, "doc_id", "left").select(F.col("doc_id").alias("key"), "text", "label")
 
 
 def score_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

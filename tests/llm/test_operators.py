@@ -151,6 +151,26 @@ def test_classifiers(spark, tables):
         assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
 
 
+def test_quality_reads_unlabelled_texts(spark, tables):
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    got = {r.key: r.label for r in quality.training_rows(spark, docs, tables).collect()}
+    labels = {r["doc_id"]: r["quality"] for r in read(tables, "labels")}
+    assert got.keys() == {r.doc_id for r in docs.where("crc32(cast(cast(doc_id as string) as binary)) % 3 <> 1").collect()}
+    assert None in got.values() and all(v == labels.get(k) for k, v in got.items())
+
+
+@pytest.mark.parametrize("bounds", [(6_000, 6_000), (200, 500)])
+def test_quality_prior_is_that_of_unlabelled_texts(spark, bounds):
+    rng = np.random.default_rng(2)
+    prose = lambda: " ".join(rng.choice("some plain words of a quiet text about the sea and its ships".split(), 60))
+    junk = lambda: " ".join(f"{rng.integers(1000)}|#{rng.integers(1000)}" for _ in range(40))
+    rows = [(i, prose() if i % 2 else junk(), i % 2) for i in range(400)] + [(i, prose() if i % 5 == 0 else junk(), None) for i in range(400, 2400)]
+    model = quality.fit(spark.createDataFrame(rows, "key long, text string, label int"), *bounds)
+    assert abs(model.prior - 0.25) < 0.08  # 600 of all 2,400; half of the labelled ones
+    good = quality.score(spark, spark.createDataFrame([(r[0], r[1]) for r in rows], "doc_id long, text string"), model).where("score >= 0.5").count()
+    assert abs(good - 600) < 60
+
+
 def test_mixing_meets_targets(spark, tables):
     cells = [("a", "en", "x", 700), ("b", "en", "x", 200), ("a", "fr", "y", 100), ("b", "fr", "x", 50)]
     totals = [collections.Counter() for _ in range(3)]
