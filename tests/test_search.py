@@ -6,6 +6,7 @@ import pytest
 
 from sparkmeld.functions import shapes
 from sparkmeld.operators import search
+from sparkmeld.plans import catalog
 
 
 @pytest.fixture(scope="module")
@@ -41,6 +42,19 @@ def test_neighbours_of_subsets(points):
     assert sorted((r.size, r.place) for r in top) == [(1, 1), (1, 2), (2, 1), (2, 2)]
 
 
+def test_searches_read_all_rows(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(v) for v in rng.normal(size=6)], i % 10 if i % 11 < 10 else None) for i in range(110)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert catalog._searched(spark, str(tmp_path)).count() == 110
+    found = catalog.QUERIES["subset_search_kmeans"](spark, str(tmp_path)).where("norm = 'none' and pattern = 'none' and features = 'f0|f1'").first()
+    x = np.array([r[1][:2] for r in rows], np.float32).astype(float)
+    y = np.array([10 if r[2] is None else r[2] for r in rows])  # no label is a class of its own
+    own, inertia = search.settle(x, np.stack([x[y == k].mean(0) for k in range(11)]))
+    assert (found.purity, found.inertia) == pytest.approx((search.purity(own, y, 11), inertia), abs=1e-6)
+    assert catalog.QUERIES["subset_search_knn"](spark, str(tmp_path)).count() == 30
+
+
 def test_pure_samples(points):
     rows = search.pure_samples(points, ["f0", "f2"], "label", per_class=(50, 12, 10), attempts=6, starts=4).collect()
     assert rows and all(r.per_class == 12 and len(set(r.ids)) == 36 for r in rows)
