@@ -6,6 +6,7 @@ returns the same rows.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,9 +26,14 @@ _MIX2 = np.uint64(0x94D049BB133111EB)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (unset, as in tests) a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset only a local master, whose executors are the driver itself, gets a temporary one.
+    """
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not set_dir:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         set_dir = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", set_dir)
     return set_dir.rstrip("/")
@@ -56,12 +62,15 @@ def crc_mod(col: str, n: int) -> Column:
     return F.crc32(F.col(col).cast("string").cast("binary")) % n
 
 
-def bounded_sample(df: DataFrame, key: str, rows: int, total: int) -> DataFrame:
-    """About `rows` of the `total` rows of df, chosen by a hash of `key`: no shuffle, no single task, repeatable."""
+def bounded_sample(df: DataFrame, rows: int, total: int, by: tuple[str, ...] = ("key", "text")) -> DataFrame:
+    """About `rows` of the `total` rows of df, by a hash of the columns `by`, so that rows of one key are drawn one by one.
+
+    No shuffle, no single task, repeatable. Rows equal in all of these columns are all in or all out.
+    """
     if total <= rows:
         return df
     keep = int(rows / total * (1 << 30))
-    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit("bounded sample")), F.lit(1 << 30)) < keep)
+    return df.where(F.pmod(F.xxhash64(*by, F.lit("bounded sample")), F.lit(1 << 30)) < keep)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -107,7 +107,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def forest(vectors: DataFrame, dim: int, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
     """vectors(id, x) -> (leaf, id, x) with small leaves, and the same with those that cannot be split."""
     width = _overlap(dim, threshold)
-    sample = bounded_sample(vectors, "id", SAMPLE, n).orderBy("id").select("x").collect()
+    sample = bounded_sample(vectors, SAMPLE, n, ("id", "x")).orderBy("id").select("x").collect()
     x = np.stack([np.frombuffer(r.x, np.float64) for r in sample]) if sample else np.zeros((0, dim))
     share = len(x) / max(n, 1)
     trees = {t: split_fit(x, t, 0, 40, max(int(LEAF / 2 * share), 32), width) for t in range(TREES)}

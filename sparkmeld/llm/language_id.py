@@ -24,6 +24,8 @@ CHUNK = 1 << 11
 SMOOTHING = 0.5
 #: Bound of the labelled sample that the counts are taken from.
 MAX_TRAIN_ROWS = 20_000
+#: Bound of the lang values that are learned: those of the most rows, equals by name. Rows of others teach nothing.
+MAX_LANGUAGES = 256
 
 _LETTER = None
 
@@ -31,7 +33,7 @@ _LETTER = None
 def _letter_table() -> np.ndarray:
     global _LETTER
     if _LETTER is None:
-        _LETTER = np.fromiter((chr(i).isalpha() for i in range(0x11000)), bool, 0x11000)
+        _LETTER = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
     return _LETTER
 
 
@@ -45,7 +47,7 @@ def ngram_buckets(arr: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
         parts = [np.frombuffer(data[a:b].tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32) for a, b in zip(at[:-1], at[1:], strict=True)]
         codes, begin = np.concatenate(parts), np.cumsum([0, *map(len, parts)])
     table = _letter_table()
-    letter = table[np.minimum(codes, len(table) - 1)] | (codes >= len(table))
+    letter = table[codes]
     codes[~letter] = 32
     letters = np.diff(np.concatenate(([0], np.cumsum(letter)))[begin])
     starts = begin[:-1][np.diff(begin) > 0]
@@ -86,9 +88,10 @@ class Model:
 
 
 def fit(train: DataFrame, rows: int = MAX_TRAIN_ROWS) -> Model:
-    """train(key, text, lang): rows with a null text or lang, or no letter, teach nothing."""
+    """train(key, text, lang): rows with a null text or lang, no letter, or a lang beyond MAX_LANGUAGES teach nothing."""
     train = train.where("lang is not null and text is not null")
-    sample = bounded_sample(train, "key", rows, train.select("key").count())
+    known = train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    sample = bounded_sample(train, rows, sum(r[1] for r in known)).where(F.col("lang").isin([r[0] for r in known]))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

@@ -2,8 +2,9 @@
 
 A word's vector is the sum of one for the word and one for its first bytes; words too rare in the sample have none, so
 unseen words of a long text look like those that were trained on. Filters of several widths slide over the whole text, max pooling keeps each filter's strongest answer, and a logistic
-layer scores it. A naive Bayes guess of the language, from the same hashed words, picks the threshold that was
-calibrated for that language; the score is shifted so that every threshold lies at 0.5.
+layer scores it; a score is a function of its own text alone. A naive Bayes guess of the language, from the same hashed words, picks the threshold that was
+calibrated for that language; the score is shifted so that every threshold lies at 0.5. LEAST_TEXTS and NEGATIVES only
+shape what is fitted; every text is scored whole.
 """
 
 from __future__ import annotations
@@ -31,9 +32,10 @@ FILTERS = 12
 EPOCHS = 4
 BATCH = 48
 RATE = 0.01
-#: Bounds of the labelled sample that is fitted on: rows, and words of a row (longer rows are not fitted on, only scored).
+#: Bounds, on average, of the labelled sample that is fitted on: rows, and characters of them all. The share of rows that
+#: meets both is drawn whatever their length.
 MAX_TRAIN_ROWS = 16_000
-MAX_TRAIN_WORDS = 4_000
+MAX_TRAIN_CHARS = 200_000_000
 #: Rows of label 0 that are kept for each of label 1.
 NEGATIVES = 3
 #: Share of the sample that thresholds are calibrated on.
@@ -48,13 +50,29 @@ def word_buckets(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return ((words >> np.uint64(64 - BUCKET_BITS)) | (heads >> np.uint64(64 - PREFIX_BITS) << np.uint64(BUCKET_BITS))).astype(np.int32), n
 
 
-def _lay_out(ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Texts one after the other, each followed by as many pads as the widest filter needs; and where each begins."""
-    gap = max(WIDTHS) - 1
-    begin = np.cumsum(n + gap) - (n + gap)
-    out = np.full(int((n + gap).sum()), -1, np.int32)
-    out[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
-    return out, begin
+#: Words that filters start at in one step, so that a step's work stays in the cache; longer texts go in pieces.
+STEP = 16384
+
+
+def _pieces(n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(text, first word, number of words) of pieces of texts, in groups of about STEP words; texts without words have none."""
+    per = -(-n // STEP)
+    text = np.repeat(np.arange(len(n)), per)
+    first = (np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)) * STEP
+    count = np.minimum(n[text] - first, STEP)
+    group = (np.cumsum(count) - count) // STEP
+    cuts = np.flatnonzero(np.diff(group)) + 1
+    for lo, hi in zip([0, *cuts], [*cuts, len(text)], strict=True):
+        if hi > lo:
+            yield text[lo:hi], first[lo:hi], count[lo:hi]
+
+
+def _windows(start: np.ndarray, count: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """(starts, widest filter): places of the words under a filter at each start of each piece; -1 beyond the text's end."""
+    places = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    out = places[:, None] + np.arange(max(WIDTHS))
+    out[out >= np.repeat(end, count)[:, None]] = -1
+    return out
 
 
 @dataclass
@@ -71,56 +89,49 @@ class Model:
     threshold: np.ndarray  # by language, of the logit
     steepness: float
 
-    def rows(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of embed for the words and for their beginnings; pads have none."""
-        word, head = self.word_row[flat & (BUCKETS - 1)], self.head_row[(flat >> BUCKET_BITS) & ((1 << PREFIX_BITS) - 1)]
-        word[flat < 0] = 0
-        head[flat < 0] = 0
-        return word, head
-
-    def pooled(self, ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-        flat, begin = _lay_out(ids, n)
-        word, head = self.rows(flat)
-        x = self.embed[word] + self.embed[head]
-        gap = max(WIDTHS) - 1
-        wide = np.concatenate([x[j : len(x) - gap + j] for j in range(max(WIDTHS))], axis=1) if len(x) > gap else np.zeros((0, DIM * max(WIDTHS)), np.float32)
-        outs, convs = [], []
-        for w, k, b in zip(WIDTHS, self.filters, self.bias, strict=True):
-            conv = wide[:, : w * DIM] @ k
-            convs.append(conv)
-            outs.append(np.maximum(np.maximum.reduceat(conv, begin, axis=0) + b, 0))
-        return np.concatenate(outs, axis=1), convs, begin
+    def pooled(self, ids: np.ndarray, n: np.ndarray, places: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+        """(texts, filters): each filter's strongest answer at a word of the text, before bias (-inf in a text without words).
+
+        A window that hangs over the text's end sees nothing there, so an answer depends on its own text only. With
+        `places` also where in ids the strongest (the first of equals) begins.
+        """
+        begin = np.cumsum(n) - n
+        best = np.full((len(n), FILTERS * len(WIDTHS)), -np.inf)
+        at = np.zeros(best.shape, np.int64) if places else None
+        x = self.embed.astype(np.float64)
+        filters = [k.astype(np.float64) for k in self.filters]
+        for text, first, count in _pieces(n):
+            start = begin[text] + first
+            seen = _windows(start, count, begin[text] + n[text])
+            words = ids[seen[:, 0]]
+            more = np.where(seen >= 0, ids[seen], -1)
+            wide = (x[np.where(more < 0, 0, self.word_row[more & (BUCKETS - 1)])] + x[np.where(more < 0, 0, self.head_row[(more >> BUCKET_BITS) & ((1 << PREFIX_BITS) - 1)])]).reshape(len(words), -1)
+            cuts = np.cumsum(count) - count
+            for i, (w, k) in enumerate(zip(WIDTHS, filters, strict=True)):
+                own = slice(i * FILTERS, (i + 1) * FILTERS)
+                conv = wide[:, : w * DIM] @ k
+                top = np.maximum.reduceat(conv, cuts, axis=0)
+                for j, t in enumerate(text) if places else ():
+                    where = start[j] + conv[cuts[j] : cuts[j] + count[j]].argmax(0)
+                    at[t, own] = np.where(top[j] > best[t, own], where, at[t, own])
+                    best[t, own] = np.maximum(best[t, own], top[j])
+                if not places:
+                    np.maximum.at(best[:, own], text, top)
+        return best, at
+
+    def features(self, best: np.ndarray) -> np.ndarray:
+        bias = np.concatenate(self.bias).astype(np.float64)
+        return np.maximum(np.where(np.isfinite(best), best, 0) + bias, 0)
 
     def logits(self, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Of every text; one without words pools nothing but the filters' bias."""
-        out = np.empty(len(n), np.float64)
-        none = np.concatenate([np.maximum(b, 0) for b in self.bias])
-        out[:] = float(none @ self.weight) + self.offset
-        full = np.flatnonzero(n > 0)
-        if len(full):
-            ends = np.cumsum(n[full])
-            lo = 0
-            while lo < len(full):  # a few thousand words at a time stay in the cache
-                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 16384, "right")))
-                a, b = (ends[lo - 1] if lo else 0), ends[hi - 1]
-                out[full[lo:hi]] = self._long(ids[a:b]) if hi == lo + 1 and b - a > 65536 else self.pooled(ids[a:b], n[full[lo:hi]])[0] @ self.weight + self.offset
-                lo = hi
-        return out
-
-    def _long(self, ids: np.ndarray) -> float:
-        """One very long text, in overlapping pieces whose pools are joined by their maximum."""
-        best = None
-        for a in range(0, len(ids), 16384):
-            part = ids[a : a + 16384 + max(WIDTHS) - 1]
-            got = self.pooled(part, np.array([len(part)]))[0][0]
-            best = got if best is None else np.maximum(best, got)
-        return float(best @ self.weight + self.offset)
+        return (self.features(self.pooled(ids, n)[0]) * self.weight).sum(1) + self.offset
 
     def language(self, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
         total = np.tile(self.prior, (len(n), 1)).astype(np.float64)
         full = np.flatnonzero(n > 0)
         if len(full) and self.languages.shape[1] > 1:
-            total[full] += np.add.reduceat(self.languages[ids & (BUCKETS - 1)], (np.cumsum(n) - n)[full], axis=0)
+            total[full] += np.add.reduceat(self.languages[ids & (BUCKETS - 1)].astype(np.float64), (np.cumsum(n) - n)[full], axis=0)
         return total.argmax(1)
 
     def scores(self, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -133,37 +144,40 @@ def _train(m: Model, docs: list[np.ndarray], y: np.ndarray, seed: int = 5) -> No
     rng = np.random.default_rng(seed)
     params = [m.embed, *m.filters, *m.bias, m.weight]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    step, balance = 0, np.ones(len(y))
+    step = 0
     for _ in range(EPOCHS):
         order = rng.permutation(len(docs))
         for k in range(0, len(order), BATCH):
             pick = order[k : k + BATCH]
             n = np.array([len(docs[i]) for i in pick])
             ids = np.concatenate([docs[i] for i in pick])
-            flat, begin = _lay_out(ids, n)
-            word, head = m.rows(flat)
-            feats, convs, _ = m.pooled(ids, n)
+            best, at = m.pooled(ids, n, places=True)
+            feats = m.features(best)
             p = 1 / (1 + np.exp(-np.clip(feats @ m.weight + m.offset, -30, 30)))
-            g = ((p - y[pick]) * balance[pick] / len(pick)).astype(np.float32)
-            grads = [np.zeros_like(x) for x in params]
+            g = (p - y[pick]) / len(pick)
+            grads = [np.zeros(x.shape) for x in params]
             grads[-1][:] = feats.T @ g
             m.offset -= RATE * float(g.sum())
             gf = g[:, None] * m.weight[None, :] * (feats > 0)
-            ends = np.append(begin[1:], len(convs[0]))
+            end = np.cumsum(n)
+            touched = [np.zeros(1, np.int64)]
             for i, w in enumerate(WIDTHS):
-                gw = gf[:, i * FILTERS : (i + 1) * FILTERS]
-                at = np.stack([a + convs[i][a:b].argmax(0) for a, b in zip(begin, ends, strict=True)])
+                own = slice(i * FILTERS, (i + 1) * FILTERS)
+                gw = gf[:, own]
                 grads[1 + len(WIDTHS) + i][:] = gw.sum(0)
                 for j in range(w):
-                    rows = word[at + j], head[at + j]
+                    place = at[:, own] + j
+                    word = np.where(place < end[:, None], ids[np.minimum(place, len(ids) - 1)], -1)
+                    rows = np.where(word < 0, 0, m.word_row[word & (BUCKETS - 1)]), np.where(word < 0, 0, m.head_row[(word >> BUCKET_BITS) & ((1 << PREFIX_BITS) - 1)])
                     grads[1 + i][j * DIM : (j + 1) * DIM] = np.einsum("bf,bfd->df", gw, m.embed[rows[0]] + m.embed[rows[1]])
                     back = (gw[:, :, None] * m.filters[i][j * DIM : (j + 1) * DIM].T[None]).reshape(-1, DIM)
                     for r in rows:
                         np.add.at(grads[0], r.ravel(), back)
+                        touched.append(r.ravel())
             step += 1
-            touched = np.unique(np.concatenate((word, head)))
+            moved = np.unique(np.concatenate(touched))
             for q, (x, gr, a, b) in enumerate(zip(params, grads, first, second, strict=True)):
-                rows = touched if q == 0 else slice(None)
+                rows = moved if q == 0 else slice(None)
                 a[rows] = 0.9 * a[rows] + 0.1 * gr[rows]
                 b[rows] = 0.999 * b[rows] + 0.001 * gr[rows] ** 2
                 x[rows] -= RATE * (a[rows] / (1 - 0.9**step)) / (np.sqrt(b[rows] / (1 - 0.999**step)) + 1e-8)
@@ -187,17 +201,17 @@ def _best_cut(z: np.ndarray, y: np.ndarray, negative: float) -> float:
 def fit(train: DataFrame, rows: int = MAX_TRAIN_ROWS, seed: int = 5) -> Model:
     """train(key, text, label 0/1, lang or null). Null texts are empty; rows with another or a null label teach nothing."""
     labelled = train.where("label in (0, 1)")
-    n_all, n_pos = labelled.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
-    sample = bounded_sample(labelled, "key", rows, n_all)
+    n_all, n_pos, chars = labelled.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    sample = bounded_sample(labelled, min(rows, MAX_TRAIN_CHARS * n_all // max(chars, 1)), n_all)
     share = min(1.0, NEGATIVES * n_pos / max(n_all - n_pos, 1)) if n_pos else 1.0
-    sample = sample.where((F.col("label") == 1) | (F.pmod(F.xxhash64("key", F.lit("negatives")), F.lit(1 << 30)) < int(share * (1 << 30)))) if n_pos else sample
+    sample = sample.where((F.col("label") == 1) | (F.pmod(F.xxhash64("key", "text", F.lit("negatives")), F.lit(1 << 30)) < int(share * (1 << 30)))) if n_pos else sample
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 ids, n = word_buckets(texts(part))
                 ends = np.cumsum(n)
-                keep = np.flatnonzero((n > 0) & (n <= MAX_TRAIN_WORDS))
+                keep = np.flatnonzero(n > 0)
                 yield pa.RecordBatch.from_pydict({
                     "key": part.column(0).take(pa.array(keep)).cast(pa.string()),
                     "ids": pa.array([ids[ends[i] - n[i] : ends[i]].tobytes() for i in keep], pa.binary()),

@@ -216,3 +216,40 @@ def test_pipeline(spark, tables):
         if k < len(corpus_pipeline.STAGES) - 1:
             assert out.columns == docs.columns
         docs = out
+
+
+def _model(spark, d):
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    return toxicity.fit(docs.join(labels, "doc_id").select(docs.doc_id.alias("key"), "text", labels.toxic.alias("label"), "lang"))
+
+
+def test_toxicity_scores_depend_on_their_text_only(spark):
+    m = _model(spark, "/root/testdata/sf0.01")
+    docs = [r["text"] or "" for r in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).slice(0, 400).to_pylist()]
+    docs += ["", "one", "one two", " ".join(docs[:120])]
+    buckets = [toxicity.word_buckets(pa.array([t], pa.large_string())) for t in docs]
+    alone = np.array([m.scores(*b)[0] for b in buckets])
+    for order in (np.arange(len(docs)), np.random.default_rng(0).permutation(len(docs))):
+        ids, n = np.concatenate([buckets[i][0] for i in order]), np.concatenate([buckets[i][1] for i in order])
+        assert np.abs(m.scores(ids, n) - alone[order]).max() < 1e-9
+    ids, n = buckets[-1]
+    best, at = m.pooled(ids, n, places=True)  # pieces of a long text: the same pools as from one window after another
+    x = np.concatenate((m.embed[m.word_row[ids & (toxicity.BUCKETS - 1)]] + m.embed[m.head_row[ids >> toxicity.BUCKET_BITS]], np.zeros((2, toxicity.DIM)))).astype(float)
+    for i, (w, k) in enumerate(zip(toxicity.WIDTHS, m.filters, strict=True)):
+        conv = sum(x[j : j + len(ids)] @ k[j * toxicity.DIM : (j + 1) * toxicity.DIM].astype(float) for j in range(w))
+        own = slice(i * toxicity.FILTERS, (i + 1) * toxicity.FILTERS)
+        assert len(ids) > toxicity.STEP and np.allclose(best[0, own], conv.max(0), atol=1e-9) and (conv[at[0, own], range(toxicity.FILTERS)] >= conv.max(0) - 1e-9).all()
+
+
+def test_toxicity_held_out(spark):
+    d = "/root/testdata/sf0.01"
+    got = {r.doc_id: r for r in QUERIES["op8_toxicity"](spark, d).collect()}
+    truth = {r["doc_id"]: r["toxic"] for r in read(d, "labels") if r["doc_id"] in got and got[r["doc_id"]].held_out}
+    assert np.mean([got[k].predicted == v for k, v in truth.items()]) > 0.95
+
+
+def test_letters_are_unicode_letters(spark):
+    rows = [(1, "😀😀 123"), (2, "𐐷"), (3, "𠀀"), (4, ""), (5, None), (6, "a")]
+    model = language_id.fit(spark.createDataFrame([(1, "some words", "en"), (2, "otras palabras", "es")], "key long, text string, lang string"))
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(spark, spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert [got[i] == "und" for i in range(1, 7)] == [True, False, False, True, True, False]
