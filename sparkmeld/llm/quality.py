@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, crc_mod, raw, slices, texts, word_hashes
+from .common import SEGMENT, WORD, crc_mod, raw, slices, texts, word_hashes
 
 BUCKETS = 1 << 10
 EXTRA = 8
@@ -28,6 +28,10 @@ RATE = 0.004
 MAX_TRAIN_ROWS = 6_000
 #: Bound of the unlabelled texts that are fitted on, a sample of all rows by a hash of the key.
 MAX_UNLABELLED_ROWS = 6_000
+#: Class prior of the network that the prior is estimated with.
+FIRST_PRIOR = 0.5
+#: Share of the sample that is held back from training to estimate the prior and to place the cut.
+HELD = 0.25
 #: The estimate of the class prior fails (is too low) in about this share of samples.
 DELTA = 0.1
 
@@ -39,23 +43,32 @@ _CLASS[ord("0") : ord("9") + 1] = ord("0")
 _CLASS[128:] = 128
 
 
+def _ngrams(text: np.ndarray) -> np.ndarray:
+    """Square roots of the shares of hashed pairs and triples of byte classes; a segment of a long text at a time."""
+    got, pairs, last, carry = np.zeros(BUCKETS), 0, -1, np.array([10])
+    for lo in range(0, len(text), SEGMENT):
+        c = _CLASS[text[lo : lo + SEGMENT]]
+        run = (c != np.concatenate(([last], c[:-1]))) | ((c != ord("a")) & (c != 128))  # runs of one class count once: a word is its shape, however long
+        last = c[-1]
+        c = np.concatenate((carry, c[run], [10] if lo + SEGMENT >= len(text) else []))
+        c, k = c.astype(np.int64), len(carry)
+        pair = c[k - 1 : -1] * 257 + c[k:]
+        triple = c[max(k - 2, 0) : -2] * 66049 + c[max(k - 1, 1) : -1] * 257 + c[max(k, 2) :]
+        got[: BUCKETS // 2] += np.bincount((pair * 2654435761 >> 7) % (BUCKETS // 2), minlength=BUCKETS // 2)
+        got[BUCKETS // 2 :] += np.bincount((triple * 2654435761 >> 9) % (BUCKETS // 2), minlength=BUCKETS // 2)
+        pairs += len(pair)
+        carry = c[-2:]
+    return np.sqrt(got / (pairs + 1)).astype(np.float32)
+
+
 def features(arr: pa.Array) -> np.ndarray:
     """(texts, BUCKETS + EXTRA) float32: square roots of n-gram shares, then counts of a whole text, each about 0 to 1."""
     data, at = raw(arr)
     size = np.diff(at)
     out = np.zeros((len(arr), BUCKETS + EXTRA), np.float32)
     for i in range(len(arr)):  # a text at a time: the buckets of one stay in the cache
-        c = _CLASS[data[at[i] : at[i + 1]]]
-        if not len(c):
-            continue
-        run = np.ones(len(c), bool)  # runs of one class count once: a word is its shape, however long
-        run[1:] = (c[1:] != c[:-1]) | ((c[1:] != ord("a")) & (c[1:] != 128))
-        c = np.concatenate(([10], c[run], [10]))
-        h = ((c[:-1] * 257 + c[1:]) * 2654435761 >> 7) % (BUCKETS // 2)
-        g = ((c[:-2] * 66049 + c[1:-1] * 257 + c[2:]) * 2654435761 >> 9) % (BUCKETS // 2) + BUCKETS // 2
-        got = np.bincount(h, minlength=BUCKETS).astype(np.float32)
-        got += np.bincount(g, minlength=BUCKETS)
-        out[i, :BUCKETS] = np.sqrt(got / (len(h) + 1))
+        if size[i]:
+            out[i, :BUCKETS] = _ngrams(data[at[i] : at[i + 1]])
     words, n = word_hashes(data, at)
     ends = np.cumsum(n)
     for i in range(len(arr)):
@@ -133,44 +146,45 @@ def train_nnpu(x: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prio
 
 
 def fit(train: DataFrame, rows: int = MAX_TRAIN_ROWS, unlabelled_rows: int = MAX_UNLABELLED_ROWS, seed: int = 3) -> Model:
-    """train(key, text, label): 1 trusted positive, 0 labelled otherwise, null unlabelled.
+    """train(key, text, label): 1 trusted positive, all else unlabelled.
 
     The unlabelled texts are a sample of all rows. The class prior is estimated on them: a first network is trained with
-    the positives' share among labelled rows (0.5 without any) and its scores of held-back rows give the prior of the
-    second. Labels of 0 teach the network nothing as negatives; they and held-back positives place the cut at score 0.5.
+    a prior of FIRST_PRIOR and its scores of held-back rows give the prior of the
+    second. Labels of 0 teach nothing: such rows are unlabelled texts like others. Held-back positives and unlabelled
+    texts place the cut at score 0.5.
     """
-    n_pos, n_neg, n_all = train.agg(F.count(F.when(F.col("label") == 1, 1)), F.count(F.when(F.col("label") == 0, 1)), F.count(F.lit(1))).first()
+    n_pos, n_all = train.agg(F.count(F.when(F.col("label") == 1, 1)), F.count(F.lit(1))).first()
     bound = lambda n, most: (1 << 30) if n <= most else int(most / n * (1 << 30))
-    u_bound, own_bound = bound(n_all, unlabelled_rows), bound(n_pos + n_neg, rows)
-    at = F.pmod(F.xxhash64("key", F.lit("bounded sample")), F.lit(1 << 30))
-    in_u = at < u_bound
-    sample = train.where(at < max(u_bound, own_bound)).where(in_u | (F.col("label").isNotNull() & (at < own_bound))).select("key", "text", "label", in_u.alias("u"))
+    u_bound, own_bound = bound(n_all, unlabelled_rows), bound(n_pos, rows)
+    at = F.pmod(F.xxhash64("key", "text", F.lit("bounded sample")), F.lit(1 << 30))
+    trusted = F.coalesce(F.col("label") == 1, F.lit(False))
+    sample = train.where((at < u_bound) | (trusted & (at < own_bound))).select("key", "text", trusted.alias("trusted"), (at < u_bound).alias("u"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 x = features(texts(part)).astype(np.float16)
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), part.column(2).cast(pa.int32()), part.column(3), pa.array([v.tobytes() for v in x], pa.binary())], ["key", "label", "u", "x"])
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), part.column(2), part.column(3), pa.array([v.tobytes() for v in x], pa.binary())], ["key", "trusted", "u", "x"])
 
-    got = sorted(sample.mapInArrow(pack, "key string, label int, u boolean, x binary").collect(), key=lambda r: (r.key, r.x))
+    got = sorted(sample.mapInArrow(pack, "key string, trusted boolean, u boolean, x binary").collect(), key=lambda r: (r.key or "", r.x, r.trusted))
     width = BUCKETS + EXTRA
     x = np.stack([np.frombuffer(r.x, np.float16) for r in got]).astype(np.float32) if got else np.zeros((1, width), np.float32)
-    label = np.array([-1 if r.label is None else r.label for r in got] or [-1])
+    positive = np.array([r.trusted for r in got] or [False])
     unlabelled = np.array([r.u for r in got] or [True])
-    prior = min(max(n_pos / (n_pos + n_neg), 0.02), 0.98) if n_pos + n_neg else 0.5
-    if not (label == 1).any():
+    prior = FIRST_PRIOR
+    if not positive.any():
         return Model(np.zeros(width, np.float32), np.ones(width, np.float32), np.zeros((width, HIDDEN), np.float32), np.zeros(HIDDEN, np.float32), np.zeros(HIDDEN, np.float32), 1.0, prior, 0.0, 1.0)
-    held = np.random.default_rng(seed).random(len(x)) < 0.25
-    if not ((label == 1) & ~held).any() or not (unlabelled & ~held).any():
+    held = np.random.default_rng(seed).random(len(x)) < HELD
+    if not all((own & part).any() for own in (positive, unlabelled) for part in (held, ~held)):
         held[:] = False
-    m = train_nnpu(x[~held], label[~held] == 1, unlabelled[~held], prior, seed)
-    if (held & (label == 1)).any() and (held & unlabelled).any():
+    m = train_nnpu(x[~held], positive[~held], unlabelled[~held], prior, seed)
+    if held.any():
         z = m.logits(x[held])
-        prior = _prior(z[label[held] == 1], z[unlabelled[held]])
-        m = train_nnpu(x[~held], label[~held] == 1, unlabelled[~held], prior, seed)
-    z, y = m.logits(x), label
-    own = held & (y >= 0) if (held & (y == 0)).any() and (held & (y == 1)).any() else y >= 0
-    m.cut = _cut(z[own], y[own])
+        prior = _prior(z[positive[held]], z[unlabelled[held]])
+        m = train_nnpu(x[~held], positive[~held], unlabelled[~held], prior, seed)
+    own = held if held.any() else ~held
+    z = m.logits(x[own])
+    m.cut = _cut(z[positive[own]], z[unlabelled[own]], prior)
     return m
 
 
@@ -184,17 +198,20 @@ def _prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     return float(min(max(u[i] / p[i], 0.02), 0.98))
 
 
-def _cut(z: np.ndarray, y: np.ndarray) -> float:
-    """The cut that costs least if rejecting a good text counts as keeping a bad one, midway between its neighbours."""
-    if not len(z) or y.min() == y.max():
-        return 0.0
-    o = np.argsort(z, kind="stable")
-    z, y = z[o], y[o]
-    wrong = np.concatenate(([np.sum(y == 0)], np.sum(y == 0) + np.cumsum(np.where(y == 1, 1, -1))))
-    edges = np.concatenate(([z[0] - 1], z, [z[-1] + 1]))
-    width = np.where(wrong == wrong.min(), np.diff(edges), -1)
-    i = int(width.argmax())
-    return float((edges[i] + edges[i + 1]) / 2)
+def _cut(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> float:
+    """The middle of the widest cut at which the positive-unlabelled estimate of the error rate is least.
+
+    The rate is prior * (positives below) + (unlabelled above) - prior * (positives above), the last two not below zero
+    together: what of the unlabelled is above the cut and not accounted for by positives is wrongly accepted.
+    """
+    edges = np.unique(np.concatenate((positive, unlabelled)))
+    edges = np.concatenate(([edges[0] - 1], edges, [edges[-1] + 1])) if len(edges) else np.array([-1.0, 1.0])
+    middle = (edges[:-1] + edges[1:]) / 2
+    below = lambda z: np.searchsorted(np.sort(z), middle) / max(len(z), 1)
+    lost = below(positive)
+    error = prior * lost + np.maximum(1 - below(unlabelled) - prior * (1 - lost), 0)
+    width = np.where(error <= error.min() + 1e-9, np.diff(edges), -1)
+    return float(middle[int(width.argmax())])
 
 
 def score(spark: SparkSession, docs: DataFrame, model: Model, *, key: str = "doc_id") -> DataFrame:
@@ -203,7 +220,7 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, *, key: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, budget=1 << 21):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shared.value.scores(features(texts(part))), pa.float64())], ["key", "score"])
 
     return docs.select(F.col(key).alias("key"), "text").mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, score double").withColumnRenamed("key", key)

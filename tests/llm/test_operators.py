@@ -1,11 +1,14 @@
 """The operators against plain versions on small tables with every awkward kind of row."""
 
 import collections
+import operator
+import time
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sparkmeld.llm import decontamination, embedding_dedup, graph, language_id, minhash_dedup, mixing, pii, quality, substring_dedup, toxicity, url_filter
@@ -64,6 +67,60 @@ def test_pii(spark, tables):
     assert got == {r["doc_id"]: brute.pii_row(r["text"]) for r in read(tables, "documents")}
 
 
+def test_pii_adds_what_the_rules_miss(spark):
+    """Precision and recall of added spans on planted rows: written-out addresses, other separators, telephone numbers without a plus."""
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 6))
+    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    rows, want = [], {}
+
+    def plant(before: str, span: str, kind: str | None) -> None:
+        text = f"{word()} {word()} {before} {span} {word()}"
+        rows.append((len(rows), text))
+        if kind:
+            want[len(rows) - 1] = f"{kind}:{text.index(span)}:{text.index(span) + len(span)}"
+
+    for _ in range(120):
+        plant("write to", f"{word()}@{word()}.com", "email")
+        plant("call", f"+1 (2{digits(2)}) 2{digits(2)}-{digits(4)}", "phone")
+        plant("server", f"{rng.integers(11, 120)}.{rng.integers(0, 255)}.{rng.integers(0, 255)}.{rng.integers(0, 255)}", "ip")
+    for _ in range(40):
+        plant("contact", f"{word()} at {word()} dot com", "email")
+        plant("reach me:", f"{word()} [at] {word()} [dot] org", "email")
+        plant("phone", f"(3{digits(2)}) 4{digits(2)}-{digits(4)}", "phone")
+        plant("call", f"0049 {rng.integers(10, 99)} {digits(7)}", "phone")
+        plant("host", f"10[.]{rng.integers(0, 99)}[.]3[.]4", "ip")
+        plant("version", f"1{digits(2)}-1{digits(2)}-{digits(4)}", None)
+        plant("looked", f"at {word()} dot {word()}", None)
+        plant("hash", "00" + digits(14), None)
+        plant("serial", digits(4) + "." + digits(4) + "." + digits(4) + "." + digits(4), None)
+    out = pii.decide(spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", pii.candidates(F.col("text")).alias("spans")))
+    got = {r.doc_id: r.s for r in out.select("doc_id", pii._written(F.col("spans")).alias("s")).collect()}
+    loose = range(360, len(rows))
+    hit = sum(got[i] == want[i] for i in loose if i in want)
+    false = sum(got[i] != "" and got[i] != want.get(i) for i in loose)
+    assert all(got[i] == want[i] for i in range(360))
+    assert hit >= 0.9 * sum(i in want for i in loose) and false <= 0.05 * hit, (hit, [(rows[i][1], got[i]) for i in loose if got[i] and i not in want][:5])
+
+
+def test_pii_many_spans_in_one_text(spark):
+    text = " ".join(f"a{i}@b{i}.com, +1 555 {i % 900 + 100} 1234;" for i in range(50_000))
+    begin = time.time()
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    spans = docs.select(pii.candidates(F.col("text")).alias("s"))
+    got = [(x.start, x.kind, x.end) for x in spans.first().s]
+    assert got == brute.pii_spans(text) and len(got) == 100_000
+    assert pii.redacted(docs).first().text == " ".join("[EMAIL], [PHONE];" for _ in range(50_000))
+    assert time.time() - begin < 60
+
+
+@pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 1000])
+def test_running(spark, n):
+    x = [int(v) for v in np.random.default_rng(n).integers(-50, 50, n)]
+    out = spark.createDataFrame([(x,)], "x array<int>").select(pii.running(F.col("x"), 0, operator.add).alias("sum"), pii.running(F.col("x"), -99, F.greatest).alias("top")).first()
+    assert out.sum == np.cumsum(x).tolist() and out.top == (np.maximum.accumulate(x).tolist() if x else [])
+
+
 def test_urls(spark, tables):
     got = {r.page_id: r for r in url_filter.op5_url_filter(spark, tables).collect()}
     for p in read(tables, "pages"):
@@ -241,11 +298,12 @@ def test_toxicity_scores_depend_on_their_text_only(spark):
         assert len(ids) > toxicity.STEP and np.allclose(best[0, own], conv.max(0), atol=1e-9) and (conv[at[0, own], range(toxicity.FILTERS)] >= conv.max(0) - 1e-9).all()
 
 
-def test_toxicity_held_out(spark):
-    d = "/root/testdata/sf0.01"
-    got = {r.doc_id: r for r in QUERIES["op8_toxicity"](spark, d).collect()}
-    truth = {r["doc_id"]: r["toxic"] for r in read(d, "labels") if r["doc_id"] in got and got[r["doc_id"]].held_out}
-    assert np.mean([got[k].predicted == v for k, v in truth.items()]) > 0.95
+def test_held_out_accuracy(spark):
+    d = "/root/testdata/sf0.1"
+    for query, label, least in (("op8_toxicity", "toxic", 0.97), ("op10_quality", "quality", 0.98)):
+        got = {r.doc_id: r for r in QUERIES[query](spark, d).collect()}
+        truth = {r["doc_id"]: r[label] for r in read(d, "labels") if r["doc_id"] in got and got[r["doc_id"]].held_out}
+        assert len(truth) > 500 and np.mean([got[k].predicted == v for k, v in truth.items()]) > least
 
 
 def test_letters_are_unicode_letters(spark):
