@@ -16,11 +16,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import mix, raw, shingle_hashes, slices, texts, word_hashes
+from .common import materialize, mix, raw, shingle_hashes, slices, texts, word_hashes
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -126,24 +127,37 @@ def search(index: Index, arr: pa.Array, threshold: float = THRESHOLD) -> Iterato
             yield int(d), int(i), got, len(want)
 
 
-def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, threshold: float = THRESHOLD, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """(doc_id, item_id, n_found, n_item, containment) of every document that holds `threshold` of an item's shingles.
+def _indexes(spark: SparkSession, benchmark: DataFrame, block_shingles: int) -> Iterator[tuple[Broadcast, bool]]:
+    """(index of a block of items, whether there are more blocks than it), one at a time: the next call destroys the last.
 
-    Items are gathered in blocks of bounded size; one pass over the documents is made for each block. Null or wordless
-    texts and items match nothing; items under five words are one shingle; repeated item ids count once (least text).
+    The driver and a task hold one block, whose shingles are bounded, however large the benchmark is.
     """
     items = benchmark.where("item_id is not null and text is not null").groupBy("item_id").agg(F.min("text").alias("text"))
     weigh = F.ceil(F.length("text") / 4) + 1
     total = items.agg(F.coalesce(F.sum(weigh), F.lit(0))).first()[0]
     blocks = max(1, -(-int(total) // block_shingles))
+    for block in range(blocks):
+        own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
+        shared = spark.sparkContext.broadcast(build([(r.item_id, r.text) for r in own.toLocalIterator()]))
+        yield shared, blocks > 1
+        if blocks > 1:
+            shared.destroy()
+
+
+def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, threshold: float = THRESHOLD, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """(doc_id, item_id, n_found, n_item, containment) of every document that holds `threshold` of an item's shingles.
+
+    Items are gathered in blocks of bounded size; one pass over the documents is made for each block, and where there
+    are several each pass is written before the next. Null or wordless texts and items match nothing; items under five
+    words are one shingle; repeated item ids count once (least text). Each row is searched by itself, so rows of one
+    doc_id give rows of their own. Other columns are not read.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
     item_kind = benchmark.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id {item_kind}, n_found long, n_item long"
     item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
     out = None
-    for block in range(blocks):
-        own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
-        shared = spark.sparkContext.broadcast(build([(r.item_id, r.text) for r in own.collect()]))
+    for shared, several in _indexes(spark, benchmark, block_shingles):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names = ["doc_id", "item_id", "n_found", "n_item"]
@@ -155,10 +169,28 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *,
                         yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(d)), pa.array([shared.value.ids[x] for x in i], item_type), pa.array(got, pa.int64()), pa.array(want, pa.int64())], names)
 
         part = docs.select("doc_id", "text").mapInArrow(run, schema)
+        part = materialize(part, "found") if several else part
         out = part if out is None else out.unionByName(part)
     return out.withColumn("containment", F.col("n_found") / F.col("n_item"))
 
 
+def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, threshold: float = THRESHOLD, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """The rows of docs, with all their columns, whose own text holds no item."""
+    out = docs
+    for shared, several in _indexes(spark, benchmark, block_shingles):
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch, budget=1 << 20):
+                    keep = np.ones(part.num_rows, bool)
+                    keep[[d for d, *_ in search(shared.value, texts(part), threshold)]] = False
+                    yield part.filter(pa.array(keep))
+
+        out = out.mapInArrow(run, docs.schema)
+        out = materialize(out, "clean") if several else out
+    return out
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every (document, test item) where the document holds at least 0.8 of the item's distinct five-word shingles.
 

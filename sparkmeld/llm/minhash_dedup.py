@@ -202,14 +202,44 @@ def _across_blocks(bands: DataFrame, table: DataFrame, threshold: float) -> Data
     return dealt.join(table, "id").groupBy("band", "p", "q").applyInPandas(link, f"u {kind}, v {kind}, similarity double").dropDuplicates(["u", "v"])
 
 
+def _distinct(docs: DataFrame, key: str) -> bool:
+    """Whether every row has a key, and one of its own."""
+    n, n_keys = docs.agg(F.count(F.lit(1)), F.countDistinct(key)).first()
+    return n == n_keys
+
+
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """(key, class_id, component_id, n_links) of every row of docs(key, text).
 
     class_id: the least key among documents with the same words; component_id: the least key reachable over links of
     similarity >= threshold between classes; n_links: verified links of the class (to pivots, not to all members of its
-    component). Texts that are null, empty or without words are each alone. Null keys stay null. Repeated rows share a
+    component). Texts that are null, empty or without words are each alone. Rows with one key are documents of their
+    own, and so are those with a null key, whose class and component is null if all its keys are. Repeated rows share a
     class.
     """
+    if _distinct(docs, key):
+        return _grouped(docs.select(key, "text"), key, threshold)
+    rows = materialize(docs.select(F.col(key).alias("key"), "text", F.monotonically_increasing_id().alias("id")), "rows")
+    groups = materialize(_grouped(rows.select("id", "text"), "id", threshold).join(rows.select("id", "key"), "id"), "groups")
+    least = lambda by, name: groups.groupBy(by).agg(F.min("key").alias(name))
+    out = groups.join(least("class_id", "class_key"), "class_id").join(least("component_id", "component_key"), "component_id")
+    return out.select(F.col("key").alias(key), F.col("class_key").alias("class_id"), F.col("component_key").alias("component_id"), "n_links")
+
+
+def deduplicated(docs: DataFrame, *, key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, that stay: of each component that with the least key, then the least text."""
+    if _distinct(docs, key):
+        gone = materialize(_grouped(docs.select(key, "text"), key, threshold).where(F.col(key) != F.col("component_id")).select(key), "gone")
+        return docs.join(_small(gone), key, "left_anti")
+    rows = materialize(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("id")), "rows")
+    field = lambda name: F.col("row").getField(name)
+    groups = _grouped(rows.select("id", field("text").alias("text")), "id", threshold).select("id", "component_id")
+    stays = rows.join(groups, "id").groupBy("component_id").agg(F.min(F.struct(field(key).isNull().alias("none"), field(key).alias("key"), field("text").alias("text"), "id")).alias("least"))
+    return rows.join(materialize(stays.select("least.id"), "stays"), "id", "left_semi").select(*[field(c).alias(c) for c in docs.columns])
+
+
+def _grouped(docs: DataFrame, key: str, threshold: float) -> DataFrame:
+    """near_duplicates() of docs(key, text) whose keys are distinct and not null."""
     sketched = materialize(sketch(docs, key), "sketch")
     classes = sketched.where("n > 0 and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("class_id"), F.any_value("bands").alias("bands"))
     entries = classes.select("class_id", F.explode("bands").alias("band"))

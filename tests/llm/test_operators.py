@@ -228,35 +228,59 @@ def test_quality_prior_is_that_of_unlabelled_texts(spark, bounds):
     assert abs(good - 600) < 60
 
 
-def test_mixing_meets_targets(spark, tables):
-    cells = [("a", "en", "x", 700), ("b", "en", "x", 200), ("a", "fr", "y", 100), ("b", "fr", "x", 50)]
+CELLS = {("hot", "en"): 600, ("b", "en"): 250, ("b", "es"): 60, ("hot", "es"): 40, ("rare", "en"): 6, ("rare", "es"): 4}
+
+
+def _mix(spark, **settings):
+    rows = [(f"{s}-{lang}-{i}", "a few plain words", lang, s) for (s, lang), n in CELLS.items() for i in range(n)]
+    got = mixing.mixed(spark, spark.createDataFrame(rows, "doc_id string, text string, lang string, source string"), **settings)
+    return got.selectExpr("key", "source", "lang", "tokens", "tokens * prob as e", "prob", "weight", "sampled").toPandas()
+
+
+@pytest.mark.parametrize("driver_cells", [mixing.DRIVER_CELLS, 0])
+def test_mixing_expects_targets(spark, monkeypatch, driver_cells):
+    monkeypatch.setattr(mixing, "SWEEPS", 60)
+    for settings in ({}, {"targets": {"lang": {"en": 0.7, "es": 0.3}}}, {"targets": {"source": {"b": 1.0}}}):
+        mix = _mix(spark, driver_cells=driver_cells, **settings)
+        assert mix.prob.max() <= 1 and mix.e.sum() <= mixing.BUDGET * mix.tokens.sum() * (1 + 1e-6)
+        for margin in ("source", "lang"):
+            given = settings.get("targets", {}).get(margin)
+            want = mixing.targets_of(mix.groupby(margin).tokens.sum().to_dict(), mixing.POWERS[margin], given)
+            assert (mix.groupby(margin).e.sum() / mix.e.sum()).to_dict() == pytest.approx(want, rel=1e-3, abs=1e-9)
+        assert mix.e.sum() >= 0.9 * min([mixing.BUDGET * mix.tokens.sum(), *(n / want for m in ("source", "lang") for k, n in mix.groupby(m).tokens.sum().items() if (want := mixing.targets_of(mix.groupby(m).tokens.sum().to_dict(), mixing.POWERS[m], settings.get("targets", {}).get(m))[k]))])
+    assert abs(mix.sampled.sum() - mix.prob.sum()) < 5 * np.sqrt(mix.prob.sum())
+
+
+def test_mixing_paths_agree(spark, tables):
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    small, table = ({r.key: (r.weight, r.prob, r.sampled) for r in mixing.mixed(spark, docs, driver_cells=n).collect()} for n in (mixing.DRIVER_CELLS, 0))
+    assert small.keys() == table.keys() and all(small[k] == pytest.approx(table[k], rel=1e-5) for k in small)
+
+
+def test_mixing_draws_within_the_bound():
+    """A bounded raking by brute force: projected gradient steps on the dual of the nearest mix."""
+    rng = np.random.default_rng(6)
+    cells = [(f"s{i}", f"l{j}", f"t{k}", float(rng.integers(1, 100))) for i in range(3) for j in range(2) for k in range(2)]
     totals = [collections.Counter() for _ in range(3)]
     for c in cells:
         for m in range(3):
             totals[m][c[m]] += c[3]
-    targets = [mixing.targets_of(t, 0.8) for t in totals]
-    factors = mixing.rake(cells, targets)
-    now = collections.Counter()
-    for c in cells:
-        now[c[0]] += c[3] / 1050 * factors[0][c[0]] * factors[1][c[1]] * factors[2][c[2]]
-    assert all(abs(now[k] - v) < 0.02 for k, v in targets[0].items())
-    docs = spark.read.parquet(f"{tables}/documents.parquet")
-    small = {r.doc_id: r.weight for r in mixing.mixed(spark, docs).collect()}
-    table = {r.doc_id: r.weight for r in mixing.mixed(spark, docs, driver_cells=0).collect()}
-    assert small.keys() == table.keys() and all(abs(small[k] - table[k]) < 1e-3 * max(1, small[k]) for k in small if k < 10_000)
-
-
-@pytest.mark.parametrize("driver_cells", [mixing.DRIVER_CELLS, 0])
-def test_mixing_expects_targets(spark, driver_cells):
-    cells = {("hot", "en"): 600, ("b", "en"): 250, ("b", "es"): 60, ("hot", "es"): 40, ("rare", "en"): 6, ("rare", "es"): 4}
-    rows = [(f"{s}-{lang}-{i}", "a few plain words", lang, s) for (s, lang), n in cells.items() for i in range(n)]
-    got = mixing.mixed(spark, spark.createDataFrame(rows, "doc_id string, text string, lang string, source string"), driver_cells=driver_cells)
-    shares = got.selectExpr("_source", "_lang", "_tokens", "_tokens * prob as e", "prob").toPandas()
-    assert shares.prob.max() <= 1 and shares.e.sum() <= mixing.BUDGET * shares._tokens.sum()
-    for margin in ("source", "lang"):
-        want = mixing.targets_of(shares.groupby(f"_{margin}")._tokens.sum().to_dict(), mixing.POWERS[margin])
-        now = (shares.groupby(f"_{margin}").e.sum() / shares.e.sum()).to_dict()
-        assert now == pytest.approx(want, rel=1e-6)
+    whole = sum(c[3] for c in cells)
+    targets = [mixing.targets_of(t, p) for t, p in zip(totals, (0.3, 0.5, 0.6), strict=True)]
+    size = mixing.size_of([{k: v / whole for k, v in t.items()} for t in totals], targets, 0.95)
+    factors, error = mixing.rake(cells, targets, size)
+    assert error < 1e-6
+    p = np.array([min(factors[0][c[0]] * factors[1][c[1]] * factors[2][c[2]], 1) for c in cells])
+    assert (p > 1 - 1e-9).any()  # the bound is at work
+    share = np.array([c[3] for c in cells]) / whole
+    rows = [(m, k) for m in range(3) for k in targets[m]]
+    a = np.array([[c[m] == k for c in cells] for m, k in rows], float)
+    want = size * np.array([targets[m][k] for m, k in rows])
+    dual = np.zeros(len(rows))
+    for _ in range(200_000):
+        q = np.minimum(size * np.exp(dual @ a), 1)
+        dual += 0.5 * (want - a @ (share * q))
+    assert np.abs(a @ (share * p) - want).max() < 1e-6 and np.abs(p - q).max() < 1e-3
 
 
 def test_components(spark):
@@ -265,14 +289,53 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(31), 0), **dict.fromkeys((50, 75, 100), 50)}
 
 
-def test_pipeline(spark, tables):
+INTERNAL = ("weight", "prob", "sampled", "f_source", "_base", "_spans", "_source", "_tokens", "spans", "row", "id", "key", "topic", "tokens", "kinds", "band", "component_id", "class_id", "p", "label", "x")
+
+
+def test_pipeline(spark, tables, tmp_path):
     docs = spark.read.parquet(f"{tables}/documents.parquet")
+    docs = docs.select("*", *[F.concat(F.lit(f"{c}-"), F.col("doc_id")).alias(c) for c in INTERNAL if c not in docs.columns])
+    # a row with a doc_id that another has, of a text of its own; one repeated whole; null ids
+    more = docs.where("doc_id = 3").withColumn("text", F.reverse("text")).unionByName(docs.where("doc_id = 5")).unionByName(docs.where("doc_id in (7, 8)").withColumn("doc_id", F.lit(None).cast("long")).withColumn("text", F.concat("text", F.lit(" again and again something of its own is told here"))))
+    docs = corpus_pipeline.materialize(docs.unionByName(more), "clash")
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
-        out = corpus_pipeline.materialize(stage(spark, docs, tables), name)
-        assert out.count() <= docs.count()
-        if k < len(corpus_pipeline.STAGES) - 1:
-            assert out.columns == docs.columns
-        docs = out
+        before, docs = docs, corpus_pipeline.materialize(stage(spark, docs, tables), name)
+        rows, kept = [r.asDict() for r in before.collect()], [r.asDict() for r in docs.collect()]
+        last = k == len(corpus_pipeline.STAGES) - 1
+        assert set(docs.columns) == set(before.columns) and (last or docs.columns == before.columns)
+        told = [c for c in before.columns if not (name == "pii" and c in ("text", "n_chars")) and not (last and c in ("weight", "prob"))]
+        tally = lambda of, told=told: collections.Counter(tuple(r[c] for c in told) for r in of)
+        assert not tally(kept) - tally(rows)  # rows are kept as they are
+        if name == "near_dedup":
+            bags = [collections.Counter(brute.shingles(r["text"])) for r in rows]
+            links = {(a, b) for a in range(len(rows)) for b in range(a) if bags[a] and bags[b] and sum((bags[a] & bags[b]).values()) >= 0.8 * sum((bags[a] | bags[b]).values())}
+            group = brute.least_reachable(list(range(len(rows))), links)
+            best = {}
+            for i, r in enumerate(rows):
+                best.setdefault(group[i], []).append((r["doc_id"] is None, r["doc_id"], r["text"] or "", i))
+            assert tally(kept) == tally([rows[min(g)[-1]] for g in best.values()])
+        if name == "decontamination":
+            items = [set(brute.shingles(b["text"])) for b in read(tables, "benchmark")]
+            hold = lambda r, items=items: any(s and len(s & set(brute.shingles(r["text"]))) >= 0.8 * len(s) for s in items)
+            assert tally(kept) == tally([r for r in rows if not hold(r)])
+        if name == "pii":
+            assert len(kept) == len(rows) and not any("a@b.com" in (r["text"] or "") for r in kept)
+
+
+def test_repeated_keys_of_near_duplicates(spark):
+    words = [f"w{i}" for i in range(60)]
+    a, b, c = " ".join(words), " ".join(words[:-1] + ["x"]), " ".join(reversed(words))
+    rows = [(1, a), (1, c), (2, b), (2, b), (3, c + " more"), (None, a), (4, None), (4, "")]
+    got = collections.Counter((r.doc_id, r.class_id, r.component_id) for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == collections.Counter([(1, 1, 1), (1, 1, 1), (2, 2, 1), (2, 2, 1), (3, 3, 1), (None, 1, 1), (4, 4, 4), (4, 4, 4)])
+
+
+def test_decontamination_in_blocks(spark, tables):
+    docs, items = spark.read.parquet(f"{tables}/documents.parquet"), spark.read.parquet(f"{tables}/benchmark.parquet")
+    one = decontamination.contaminated(spark, docs, items).collect()
+    assert sorted(one) == sorted(decontamination.contaminated(spark, docs, items, block_shingles=200).collect()) and one
+    left = decontamination.clean(spark, docs, items, block_shingles=200).select("doc_id").collect()
+    assert {r.doc_id for r in left} == {r["doc_id"] for r in read(tables, "documents")} - {r.doc_id for r in one}
 
 
 def _model(spark, d):
