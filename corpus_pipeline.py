@@ -11,15 +11,6 @@ from pyspark.sql import functions as F
 from sparkmeld.llm import decontamination, minhash_dedup, mixing, pii, quality
 from sparkmeld.llm.common import materialize
 
-#: Ids that an anti-join may broadcast, at most 16 MB of them; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
-
-
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs whose doc_id is not in ids; rows with a null doc_id stay."""
-    ids = materialize(ids.distinct(), "ids")
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti")
-
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts. Null and empty texts are judged as texts without bytes."""
@@ -27,32 +18,28 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the least doc_id, of each group of near duplicates; rows of one doc_id are one document."""
-    n, n_ids = docs.where("doc_id is not null").agg(F.count(F.lit(1)), F.countDistinct("doc_id")).first()
-    if n > n_ids:
-        docs = materialize(docs.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")), "single")
-    groups = minhash_dedup.near_duplicates(docs.select("doc_id", "text"))
-    return _without(docs, groups.where("doc_id <> component_id").select("doc_id"))
+    """One document of each group of near duplicates: that with the least doc_id, and of several with that id the least text.
+
+    Rows that share a doc_id are documents of their own, unless their texts have the same words; then one row stays.
+    """
+    return minhash_dedup.deduplicated(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    found = decontamination.contaminated(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found.select("doc_id"))
+    """Documents whose own text holds no benchmark item."""
+    return decontamination.clean(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind; n_chars follows the text."""
-    columns = docs.columns
+    """All documents, with personal data replaced by its kind; n_chars, if there is one, follows the text."""
     out = pii.redacted(docs)
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*columns)
+    chars = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else None
+    return out.select(*[chars.alias(c) if c == "n_chars" else c for c in docs.columns])
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are sampled into the mix, with their weight and probability."""
-    return mixing.mixed(spark, docs).where("sampled").select(*docs.columns, "weight", "prob")
+    """The documents that are sampled into the mix, with their weight and probability in the place of columns of these names."""
+    return mixing.mixed(spark, docs).where("sampled").select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("weight", "prob")], "weight", "prob")
 
 
 STAGES = [
