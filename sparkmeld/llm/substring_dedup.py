@@ -4,8 +4,8 @@ A suffix array of a whole corpus does not fit a task, but two equal strings of L
 hashed K-gram inside them (the leftmost of equals) is at the same place. Windows of L bytes are therefore dealt out by
 that anchor: the windows of one anchor in a text form a run, and only runs that share an anchor can repeat each other.
 Runs with equal bytes are summed up first, so copies in any number cost one run. For the different runs of an anchor a
-task builds the suffix array, takes the longest previous (and following) factors from the previous and next smaller
-positions in suffix order, and reports the windows whose factor reaches L. An anchor with many different runs is split
+task builds the lexicographic suffix array of their bytes, takes the longest previous (and following) factor of each
+place from the previous and next smaller positions in suffix order, and reports the windows whose factor reaches L. An anchor with many different runs is split
 first: by parts of the offsets that a window can have to its anchor, keyed by the bytes that all windows of the part have in
 common. A part is a shorter run: equal ones are summed up again, and one that is alone under its key ends there. So of runs
 that differ in one place, only the parts go on that hold this place, but not in all their windows; at a single offset the
@@ -87,56 +87,87 @@ def _span_hash(data: np.ndarray, begin: np.ndarray, end: np.ndarray, seed: int)
         return mix((total[end] - total[begin]) * back[begin] + (end - begin).astype(np.uint64))
 
 
-def suffix_array(codes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(suffixes that share their first `length` codes with another, in suffix order; the rank of each, equals alike).
+def suffix_array(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts of all suffixes in lexicographic order, length of the common prefix of each with the one before it).
 
-    Prefix doubling. Codes are ordered by a hash, so that the ranks of a power of two of codes come from one hash of all
-    of them; suffixes that are alone there share no longer prefix either and are dropped before the last step.
+    Prefix doubling: suffixes are ranked by as many codes as fit a word, then by twice as many in each round, of which
+    only those that still agree with another take part. The ranks of the rounds give the common prefixes.
     """
-    k = 1 << max(int(length).bit_length() - 1, 0)
-    if len(codes) < length:
+    n = len(codes)
+    if not n:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    with np.errstate(over="ignore"):
-        key, n = mix(codes.astype(np.uint64) + _STEP), 1
-        while n < k:
-            key = mix(key[:-n] * _STEP + key[n:] + np.uint64(n))
-            n *= 2
-        rank = np.zeros(len(codes), np.int64)
-        order = np.argsort(key, kind="stable")
-        new = np.concatenate(([True], key[order][1:] != key[order][:-1]))
-        size = np.diff(np.append(np.flatnonzero(new), len(order)))
-        rank[order] = np.cumsum(new)
-        alive = np.sort(order[np.repeat(size > 1, size)])
-        alive = alive[alive + length <= len(codes)]
-        both = rank[alive] * (len(codes) + 1) + rank[alive + length - k]  # two overlapping powers cover the length
-    o = np.argsort(both, kind="stable")
-    return alive[o], both[o]
-
-
-def factors(codes: np.ndarray, length: int, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(longest previous factor, longest following factor) of each place, up to `length`; places that repeat less are 0.
-
-    `order` gives the places' rank in the corpus (their own sequence by default). In suffix order, the previous and the
-    next place of smaller rank are the earlier matches that can be longest; greater ranks give the following ones.
+    bits = int(codes.max() + 1).bit_length()
+    k = max(63 // bits, 1)
+    padded = np.concatenate((codes.astype(np.int64) + 1, np.zeros(k, np.int64)))
+    key = np.zeros(n, np.int64)
+    for j in range(k):
+        key = (key << bits) | padded[j : j + n]
+    order = np.argsort(key, kind="stable")
+    slots, key = np.arange(n), key[order]
+    rank = np.zeros(n + 1, np.int64)
+    rank[n] = -1  # the end is before all else
+    levels = []
+    while True:
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(key)))
+        rank[order[slots]] = np.repeat(slots[first], size)
+        slots = slots[np.repeat(size > 1, size)]
+        if not len(slots):
+            break
+        levels.append((k, rank.copy()))
+        open_ = order[slots]
+        key = rank[open_] * (n + 2) + rank[np.minimum(open_ + k, n)] + 1
+        o = np.argsort(key, kind="stable")
+        order[slots], key = open_[o], key[o]
+        k *= 2
+    a, b = order[:-1].copy(), order[1:].copy()
+    common = np.zeros(n, np.int64)
+    for k, ranks in reversed(levels):
+        step = np.where(ranks[a] == ranks[b], k, 0)
+        common[1:] += step
+        a, b = np.minimum(a + step, n), np.minimum(b + step, n)
+    alike = np.ones(n - 1, bool)
+    for _ in range(levels[0][0] - 1 if levels else max(63 // bits, 1) - 1):
+        alike &= (padded[np.minimum(a, n)] == padded[np.minimum(b, n)]) & (a < n) & (b < n)
+        common[1:] += alike
+        a, b = a + 1, b + 1
+    return order, common
+
+
+def _smaller_before(place: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Common prefix of each suffix with the nearest before it in suffix order that starts at a smaller place; 0 without any.
+
+    common[i] is that of i with i - 1. Candidates jump to their own candidates, all at once, until they are smaller.
+    """
+    near, least = np.arange(len(place)) - 1, common.copy()
+    open_ = np.arange(1, len(place))
+    while len(open_):
+        open_ = open_[place[near[open_]] > place[open_]]
+        to = near[open_]
+        least[open_], near[open_] = np.minimum(least[open_], least[to]), near[to]
+        least[open_[near[open_] < 0]] = 0
+        open_ = open_[near[open_] >= 0]
+    if len(least):
+        least[0] = 0
+    return least
+
+
+def longest_factors(codes: np.ndarray, least: int = 1, later: bool = False) -> np.ndarray:
+    """For each place, the longest string from there on that also starts at an earlier (with `later`, a later) place.
+
+    Among all smaller places the previous and the next in suffix order share the longest prefix. Factors shorter than
+    `least` are given as 0: where neighbours in suffix order share less, no longer factor goes across.
     """
-    order = np.arange(len(codes)) if order is None else order
-    suffixes, in_order = suffix_array(codes, length)
-    earlier, later = np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64)
-    joined = np.flatnonzero(np.diff(np.concatenate(([0], (in_order[1:] == in_order[:-1]).astype(np.int8), [0]))))
-    for lo, hi in zip(joined[::2], joined[1::2], strict=True):  # suffixes lo..hi agree in `length` codes
-        own = suffixes[lo : hi + 1]
-        ranks = order[own]
-        smaller = _previous_smaller(ranks) | _previous_smaller(ranks[::-1])[::-1]
-        greater = _previous_smaller(-ranks) | _previous_smaller(-ranks[::-1])[::-1]
-        earlier[own[smaller]] = length
-        later[own[greater]] = length
-    return earlier, later
-
-
-def _previous_smaller(x: np.ndarray) -> np.ndarray:
-    """Whether a smaller value stands before each; all suffixes between agree, so any will do."""
-    out = np.zeros(len(x), bool)
-    out[1:] = np.minimum.accumulate(x)[:-1] < x[1:]
+    order, common = suffix_array(codes)
+    joined = common >= least
+    near = joined | np.append(joined[1:], False) if len(joined) else joined
+    rows, c = order[near], np.where(joined, common, 0)[near]
+    place = -rows if later else rows
+    back = np.concatenate(([0], c[:0:-1])) if len(c) else c
+    found = np.maximum(_smaller_before(place, c), _smaller_before(place[::-1], back)[::-1])
+    out = np.zeros(len(codes), np.int64)
+    out[rows] = np.where(found >= least, found, 0)
     return out
 
 
@@ -145,7 +176,7 @@ def _ranges(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2] - 1
 
 
-_RUN = "k long, anchor long, c1 long, c2 long, a int, b int, m int"
+_RUN = "k binary, anchor long, c1 long, c2 long, a int, b int, m int"
 
 
 def run_table(docs: DataFrame, length: int) -> DataFrame:
@@ -155,8 +186,8 @@ def run_table(docs: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch, budget=1 << 20):
                 data, at = raw(texts(part))
-                keys = part.column(0).to_numpy(zero_copy_only=False)
-                cols: list[list] = [[] for _ in range(7)]
+                owners: list[np.ndarray] = []
+                cols: list[list] = [[] for _ in range(6)]
                 for i in np.flatnonzero(np.diff(at) >= length):
                     text = data[at[i] : at[i + 1]]
                     h, m, a, b = runs_of(text, length)
@@ -164,15 +195,16 @@ def run_table(docs: DataFrame, length: int) -> DataFrame:
                         s = slice(lo, lo + 8192)
                         base = a[lo]
                         piece = text[base : b[s][-1] + length]
-                        for col, x in zip(cols, (np.full(len(a[s]), keys[i], np.int64), h[s].view(np.int64), _span_hash(piece, a[s] - base, b[s] + length - base, 51).view(np.int64), _span_hash(piece, a[s] - base, b[s] + length - base, 52).view(np.int64) ^ (m[s] - a[s]), a[s], b[s], m[s]), strict=True):
+                        owners.append(np.full(len(a[s]), i, np.int64))
+                        for col, x in zip(cols, (h[s].view(np.int64), _span_hash(piece, a[s] - base, b[s] + length - base, 51).view(np.int64), _span_hash(piece, a[s] - base, b[s] + length - base, 52).view(np.int64) ^ (m[s] - a[s]), a[s], b[s], m[s]), strict=True):
                             col.append(x)
-                if cols[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64() if j < 4 else pa.int32()) for j, c in enumerate(cols)], ["k", "anchor", "c1", "c2", "a", "b", "m"])
+                if owners:
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.concatenate(owners))), *(pa.array(np.concatenate(c), pa.int64() if j < 3 else pa.int32()) for j, c in enumerate(cols))], ["k", "anchor", "c1", "c2", "a", "b", "m"])
 
     return docs.select("k", "text").mapInArrow(run, _RUN)
 
 
-_CUT = "part long, anchor long, c1 long, c2 long, copies long, k long, a int, m int, lo int, hi int, run binary"
+_CUT = "part long, anchor long, c1 long, c2 long, copies long, k binary, a int, m int, lo int, hi int, run binary"
 
 
 def _split(rows: DataFrame, length: int) -> DataFrame:
@@ -213,8 +245,10 @@ def _matched(rows: DataFrame, length: int, keep_first: bool) -> DataFrame:
         codes = []
         for n, row in enumerate(group):
             codes += [np.frombuffer(row[-1], np.uint8).astype(np.int64), np.array([256 + n])]  # no match runs on into the next
-        earlier, later = factors(np.concatenate(codes), length)
-        found = earlier >= length if keep_first else (earlier >= length) | (later >= length)
+        codes = np.concatenate(codes)
+        found = longest_factors(codes, length) >= length
+        if not keep_first:
+            found |= longest_factors(codes, length, later=True) >= length
         first = 0
         for _, copies, k, a, text in group:
             if copies == 1 or keep_first:
@@ -229,7 +263,7 @@ def _matched(rows: DataFrame, length: int, keep_first: bool) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             k, a, b = zip(*out, strict=True) if out else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["k", "a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(k, pa.binary()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["k", "a", "b"])
 
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True):
@@ -247,7 +281,7 @@ def _matched(rows: DataFrame, length: int, keep_first: bool) -> DataFrame:
         yield flush()
 
     ordered = rows.select("part", "copies", "k", "a", "run").repartition("part").sortWithinPartitions("part", "k", "a")
-    return ordered.mapInArrow(run, "k long, a int, b int")
+    return ordered.mapInArrow(run, "k binary, a int, b int")
 
 
 def repeated_windows(docs: DataFrame, *, length: int = LENGTH, keep_first: bool = False) -> DataFrame:
@@ -284,7 +318,7 @@ def repeated_windows(docs: DataFrame, *, length: int = LENGTH, keep_first: bool
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), cut_types, strict=True)], names)
 
     i64, i32 = pa.int64(), pa.int32()
-    cut_types = [i64, i64, i64, i64, i64, i64, i32, i32, i32, i32, pa.binary(), i64]
+    cut_types = [i64, i64, i64, i64, i64, pa.binary(), i32, i32, i32, i32, pa.binary(), i64]
     cuts = docs.select("k", "text").join(per_text, "k").select("k", "text", "runs").mapInArrow(cut, _CUT + ", n long")
     cuts = materialize(cuts.dropDuplicates(["part", "c1", "c2"]) if keep_first else cuts, "cuts")  # rows repeated whole cut theirs twice
     answers = [found, _matched(cuts.where(F.col("n") <= GROUP), length, keep_first)]
@@ -316,7 +350,8 @@ def without_repeats(docs: DataFrame, *, length: int = LENGTH, keep_first: bool =
     keep_first leaves the occurrence in the least doc_id (integers, none twice) where it is.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    key = F.col("doc_id").cast("long") if keep_first else F.xxhash64("doc_id", "text", F.lit("row"))
+    # 128 bits of a row, or what sorts like its doc_id
+    key = F.unhex(F.lpad(F.hex(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")) if keep_first else F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce(F.length("text"), F.lit(-1)), "text").cast("binary")))
     keyed = docs.select(key.alias("k"), "doc_id", "text")
     flags = repeated_windows(keyed, length=length, keep_first=keep_first).groupBy("k").agg(F.collect_list(F.struct("a", "b")).alias("windows"))  # as many as a text has
 

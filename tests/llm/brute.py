@@ -74,6 +74,13 @@ def removed_bytes(texts: list[str | None], length: int = 200, keep_first: bool =
     return out
 
 
+def removal_row(text: str | None, flags: list[bool]) -> tuple:
+    """(n_bytes, n_removed, n_spans, kept_sha256)."""
+    data = (text or "").encode()
+    spans = sum(f and not (i and flags[i - 1]) for i, f in enumerate(flags))
+    return len(data), sum(flags), spans, hashlib.sha256(bytes(c for c, f in zip(data, flags, strict=True) if not f)).hexdigest()
+
+
 def words(text: str | None) -> list[str]:
     return re.findall(r"[a-z0-9\u0080-\U0010ffff]+", (text or "").lower())
 

@@ -147,13 +147,44 @@ def test_url_verdict_of_unruled_branch(spark):
     assert {(r.host, r.path[:4], r.verdict) for r in rows} == {("www.x.net", "/es/", "block"), ("www.x.net", "/fr/", "block"), ("www.x.net", "/de/", "block"), ("y.org", "/de/", "allow")}
 
 
+@pytest.mark.parametrize("letters, n, seed", [(1, 40, 0), (2, 60, 1), (2, 300, 2), (4, 200, 3), (200, 300, 4), (3, 1, 5), (1, 0, 6)])
+def test_longest_previous_factors(letters, n, seed):
+    rng = np.random.default_rng(seed)
+    codes = rng.integers(0, letters, n)
+    if n > 100:
+        codes[n // 2 : n // 2 + 40] = codes[10:50]
+    text = codes.tolist()
+    order, common = substring_dedup.suffix_array(codes)
+    assert order.tolist() == sorted(range(n), key=lambda i: text[i:])
+
+    def shared(a, b):
+        k = 0
+        while max(a, b) + k < n and text[a + k] == text[b + k]:
+            k += 1
+        return k
+
+    assert common.tolist() == [shared(order[i - 1], order[i]) if i else 0 for i in range(n)]
+    for least in (1, 3, 20):
+        floor = lambda x, least=least: x if x >= least else 0
+        assert substring_dedup.longest_factors(codes, least).tolist() == [floor(max((shared(i, j) for j in range(i)), default=0)) for i in range(n)]
+        assert substring_dedup.longest_factors(codes, least, later=True).tolist() == [floor(max((shared(i, j) for j in range(i + 1, n)), default=0)) for i in range(n)]
+
+
 @pytest.mark.parametrize("group", [2, 256])
 def test_substrings(spark, tables, monkeypatch, group):
     monkeypatch.setattr(substring_dedup, "GROUP", group)
     docs = read(tables, "documents")
-    got = {r.doc_id: (r.n_bytes, r.n_removed) for r in substring_dedup.op7_substring_dedup(spark, tables).collect()}
-    want = {d["doc_id"]: (len(f), sum(f)) for d, f in zip(docs, brute.removed_bytes([d["text"] for d in docs]), strict=True)}
-    assert got == want
+    got = {r.doc_id: tuple(r[1:]) for r in substring_dedup.op7_substring_dedup(spark, tables).collect()}
+    assert got == {d["doc_id"]: brute.removal_row(d["text"], f) for d, f in zip(docs, brute.removed_bytes([d["text"] for d in docs]), strict=True)}
+
+
+def test_substrings_of_rows_with_one_id(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    a, b = ("".join(rng.choice(list("abcdefgh "), 700)) for _ in range(2))
+    rows = [(1, a), (1, b + "é" * 150), (2, "x" + a[100:500]), (None, b), (None, None), (3, "y" * 450), (4, "z" * 200), (5, "short"), (6, "w" * 199), (6, "w" * 199)]
+    pq.write_table(pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows], pa.string())}), tmp_path / "documents.parquet")
+    got = collections.Counter(tuple(r) for r in substring_dedup.op7_substring_dedup(spark, str(tmp_path)).collect())
+    assert got == collections.Counter((d, *brute.removal_row(t, f)) for (d, t), f in zip(rows, brute.removed_bytes([t for _, t in rows]), strict=True))
 
 
 def test_substrings_keep_first(spark, tables, monkeypatch):
