@@ -214,9 +214,12 @@ def test_decontamination(spark, tables):
     assert got == want and (20_000, 0) in want
 
 
-def test_embeddings(spark, tables, monkeypatch):
+@pytest.mark.parametrize("branch", [40, 8_192])
+def test_embeddings(spark, tables, monkeypatch, branch):
+    monkeypatch.setattr(embedding_dedup, "BRANCH", branch)
     monkeypatch.setattr(embedding_dedup, "LEAF", 24)
     monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
+    monkeypatch.setattr(embedding_dedup, "CHUNK", 7)
     rows = read(tables, "embeddings")
     good = {r["vec_id"]: np.array(r["embedding"]) / np.linalg.norm(r["embedding"]) for r in rows[:302]}
     links = {(a, b) for a in good for b in good if a > b and good[a] @ good[b] >= 0.95}
@@ -226,6 +229,26 @@ def test_embeddings(spark, tables, monkeypatch):
     assert got == {v: (count[v], comp[v]) for v in comp}
 
 
+def test_embeddings_planted_links(spark):
+    """Links of cosine 0.9505 to 0.97 and a large group of near copies among many vectors, against all pairs."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((9_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(1_500):
+        y = rng.standard_normal(64)
+        y -= (y @ x[i]) * x[i]
+        c = rng.uniform(0.9505, 0.97)
+        x[4_000 + i] = c * x[i] + np.sqrt(1 - c * c) * y / np.linalg.norm(y)
+    x[6_000:9_000] = x[0] + 0.02 * rng.standard_normal((3_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.95
+    np.fill_diagonal(near, False)
+    table = pa.table({"vec_id": pa.array(range(len(x)), pa.int64()), "embedding": pa.array(x.tolist(), pa.list_(pa.float64()))})
+    got = sorted(embedding_dedup.near_vectors(spark.createDataFrame(table)).collect())
+    assert [r.n_links for r in got] == near.sum(1).tolist()
+    assert [r.component_id for r in got] == embedding_dedup._least_labels(near, np.arange(len(x))).tolist()
+
+
 def test_classifiers(spark, tables):
     docs = {d["doc_id"]: d for d in read(tables, "documents")}
     lang = {r.doc_id: r for r in language_id.op2_language_id(spark, tables).collect()}
