@@ -102,7 +102,7 @@ def suffix_array(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     key = np.zeros(n, np.int64)
     for j in range(k):
         key = (key << bits) | padded[j : j + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     slots, key = np.arange(n), key[order]
     rank = np.zeros(n + 1, np.int64)
     rank[n] = -1  # the end is before all else
@@ -118,7 +118,7 @@ def suffix_array(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         levels.append((k, rank.copy()))
         open_ = order[slots]
         key = rank[open_] * (n + 2) + rank[np.minimum(open_ + k, n)] + 1
-        o = np.argsort(key, kind="stable")
+        o = np.argsort(key)
         order[slots], key = open_[o], key[o]
         k *= 2
     a, b = order[:-1].copy(), order[1:].copy()
@@ -153,22 +153,23 @@ def _smaller_before(place: np.ndarray, common: np.ndarray) -> np.ndarray:
     return least
 
 
-def longest_factors(codes: np.ndarray, least: int = 1, later: bool = False) -> np.ndarray:
-    """For each place, the longest string from there on that also starts at an earlier (with `later`, a later) place.
+def longest_factors(codes: np.ndarray, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """For each place, the longest string from there on that also starts at an earlier place, and at a later one.
 
-    Among all smaller places the previous and the next in suffix order share the longest prefix. Factors shorter than
-    `least` are given as 0: where neighbours in suffix order share less, no longer factor goes across.
+    Among all smaller (greater) places the previous and the next in suffix order share the longest prefix. Factors
+    shorter than `least` are given as 0: where neighbours in suffix order share less, no longer factor goes across.
     """
     order, common = suffix_array(codes)
     joined = common >= least
     near = joined | np.append(joined[1:], False) if len(joined) else joined
     rows, c = order[near], np.where(joined, common, 0)[near]
-    place = -rows if later else rows
     back = np.concatenate(([0], c[:0:-1])) if len(c) else c
-    found = np.maximum(_smaller_before(place, c), _smaller_before(place[::-1], back)[::-1])
-    out = np.zeros(len(codes), np.int64)
-    out[rows] = np.where(found >= least, found, 0)
-    return out
+    out = []
+    for place in (rows, -rows):
+        found = np.maximum(_smaller_before(place, c), _smaller_before(place[::-1], back)[::-1])
+        out.append(np.zeros(len(codes), np.int64))
+        out[-1][rows] = np.where(found >= least, found, 0)
+    return out[0], out[1]
 
 
 def _ranges(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -246,9 +247,8 @@ def _matched(rows: DataFrame, length: int, keep_first: bool) -> DataFrame:
         for n, row in enumerate(group):
             codes += [np.frombuffer(row[-1], np.uint8).astype(np.int64), np.array([256 + n])]  # no match runs on into the next
         codes = np.concatenate(codes)
-        found = longest_factors(codes, length) >= length
-        if not keep_first:
-            found |= longest_factors(codes, length, later=True) >= length
+        earlier, later = longest_factors(codes, length)
+        found = earlier >= length if keep_first else (earlier >= length) | (later >= length)
         first = 0
         for _, copies, k, a, text in group:
             if copies == 1 or keep_first:

@@ -166,8 +166,9 @@ def test_longest_previous_factors(letters, n, seed):
     assert common.tolist() == [shared(order[i - 1], order[i]) if i else 0 for i in range(n)]
     for least in (1, 3, 20):
         floor = lambda x, least=least: x if x >= least else 0
-        assert substring_dedup.longest_factors(codes, least).tolist() == [floor(max((shared(i, j) for j in range(i)), default=0)) for i in range(n)]
-        assert substring_dedup.longest_factors(codes, least, later=True).tolist() == [floor(max((shared(i, j) for j in range(i + 1, n)), default=0)) for i in range(n)]
+        earlier, later = substring_dedup.longest_factors(codes, least)
+        assert earlier.tolist() == [floor(max((shared(i, j) for j in range(i)), default=0)) for i in range(n)]
+        assert later.tolist() == [floor(max((shared(i, j) for j in range(i + 1, n)), default=0)) for i in range(n)]
 
 
 @pytest.mark.parametrize("group", [2, 256])
