@@ -30,4 +30,57 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: All pairs by cosine, then what links reach.
+_OP1 = """
+with recursive sized as (select vec_id, embedding::double[] as e from embeddings where vec_id is not null and embedding is not null),
+whole as (select vec_id, e from sized where len(e) = (select len(e) from sized group by 1 order by count(*) desc, 1 limit 1) and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and list_max(list_transform(e, lambda x: abs(x))) > 0),
+links as (select a.vec_id as u, b.vec_id as v from whole a join whole b on a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.95),
+reach as (select distinct u as root, u as here from links union select r.root, l.v from reach r join links l on l.u = r.here),
+least as (select root, min(here) as component_id from reach group by root),
+counted as (select u, count(*) as n from links group by u)
+select vec_id, coalesce(n, 0)::bigint as n_links, coalesce(component_id, vec_id)::bigint as component_id, coalesce(vec_id = component_id, true) as kept
+from embeddings left join least on root = vec_id left join counted on u = vec_id"""
+
+#: Sweeps over the margins as window sums, until all margins meet their targets within the bound.
+_OP6 = """
+with recursive docs as (
+  select doc_id, coalesce(source, 'unknown') as source, coalesce(lang, 'unknown') as lang, coalesce(text, '') as t,
+    len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+'))::bigint as tokens from documents),
+described as (
+  select doc_id, source, lang, tokens, case when length(t) = 0 then 'empty' when length(regexp_replace(t, '[^|]', '', 'g')) > length(t) * 0.02 then 'table'
+    when length(regexp_replace(t, '[^#$%&*]', '', 'g')) > length(t) * 0.02 then 'symbols' when length(regexp_replace(t, '[^A-Z]', '', 'g')) > length(t) * 0.3 then 'capitals'
+    when length(regexp_replace(t, '[^0-9]', '', 'g')) > length(t) * 0.1 then 'records' else 'prose' end as topic from docs),
+cells as (select source, lang, topic, sum(tokens)::double as tokens from described group by all having sum(tokens) > 0),
+shares as (select source, lang, topic, tokens / sum(tokens) over () as share from cells),
+ws as (select source, pow(sum(share), 0.5) / sum(pow(sum(share), 0.5)) over () as want, sum(share) as has from shares group by source),
+wl as (select lang, pow(sum(share), 0.7) / sum(pow(sum(share), 0.7)) over () as want, sum(share) as has from shares group by lang),
+wt as (select topic, pow(sum(share), 0.9) / sum(pow(sum(share), 0.9)) over () as want, sum(share) as has from shares group by topic),
+size as (select least(0.8, 0.98 * (select min(has / want) from (select has, want from ws union all select has, want from wl union all select has, want from wt)))::double as s),
+start as (select source, lang, topic, share, ws.want * s as a, wl.want * s as b, wt.want * s as c, s from shares join ws using (source) join wl using (lang) join wt using (topic), size),
+sweeps as (
+  select 0 as i, source, lang, topic, share, a, b, c, s, share * s as w, share * s as free, 1.0::double as error from start
+  union all
+  select i, source, lang, topic, share, a, b, c, s, w, free, greatest(
+    max(abs(ms / a - 1)) over (), max(abs(ml / b - 1)) over (), max(abs(mt / c - 1)) over ()) as error
+  from (select *, sum(w) over (partition by source) as ms, sum(w) over (partition by lang) as ml, sum(w) over (partition by topic) as mt
+    from (select i, source, lang, topic, share, a, b, c, s, least(free * c / t, share) as w, free * c / t as free
+      from (select *, sum(w) over (partition by topic) as t
+        from (select i, source, lang, topic, share, a, b, c, s, w * b / t as w, free * b / t as free
+          from (select *, sum(w) over (partition by lang) as t
+            from (select i, source, lang, topic, share, a, b, c, s, w * a / t as w, free * a / t as free
+              from (select i + 1 as i, source, lang, topic, share, a, b, c, s, w, free, sum(w) over (partition by source) as t from sweeps where error >= 1e-7 and i < 400)))))))),
+drawn as (select source, lang, topic, w / share as p from sweeps where i = (select max(i) from sweeps))
+select doc_id, source, lang, topic, tokens, round(coalesce(p, s) / s, 6) as weight, round(coalesce(p, s), 6) as prob,
+  ('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':mix'), 1, 12))::bigint::double / 281474976710656 < coalesce(p, s) as sampled
+from described left join drawn using (source, lang, topic), size"""
+
+#: Exact containment of five-word shingles.
+_OP9 = """
+with words as (select 'd' as kind, doc_id as id, regexp_extract_all(lower(text), '[a-z0-9\\x{80}-\\x{10FFFF}]+') as w from documents where text is not null
+  union all select 'i', item_id, regexp_extract_all(lower(min(text)), '[a-z0-9\\x{80}-\\x{10FFFF}]+') from benchmark where item_id is not null and text is not null group by item_id),
+shingles as (select distinct kind, id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) as s from words where len(w) > 0),
+items as (select id as item_id, s, count(*) over (partition by id) as n from shingles where kind = 'i')
+select d.id as doc_id, item_id, count(*) as n_found, any_value(n) as n_item, count(*) / any_value(n)::double as containment
+from items join shingles d on d.kind = 'd' and d.s = items.s group by all having count(*) >= 0.8 * any_value(n)"""
+
+ORACLE_SQL: dict[str, str] = {"op1_embedding_dedup": _OP1, "op6_mixing": _OP6, "op9_decontamination": _OP9}
