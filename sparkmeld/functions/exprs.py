@@ -27,20 +27,11 @@ def squared_l2(a: Column, b: Column, n: int) -> Column:
     return total([(a[i] - b[i]) * (a[i] - b[i]) for i in range(n)])
 
 
-def l1(a: Column, b: Column, n: int) -> Column:
-    return total([F.abs(a[i] - b[i]) for i in range(n)])
-
-
 def l2(a: Column, b: Column, n: int) -> Column:
     return F.sqrt(squared_l2(a, b, n))
 
 
-def minkowski(p: float) -> Callable[[Column, Column, int], Column]:
-    return lambda a, b, n: F.pow(total([F.pow(F.abs(a[i] - b[i]), F.lit(float(p))) for i in range(n)]), F.lit(1.0 / p))
-
-
-#: Registries: a name stands for an expression wherever an operator takes one.
-METRICS: dict[str, Callable] = {"l1": l1, "l2": l2, "minkowski3": minkowski(3)}
+#: Registry: a name stands for an expression wherever an operator takes one.
 WEIGHTS: dict[str, Callable[[Column], Column]] = {"uniform": lambda d: F.lit(1.0), "distance": lambda d: 1.0 / F.greatest(d, F.lit(LEAST_DISTANCE))}
 
 
@@ -54,10 +45,6 @@ def hu(v: Column) -> Column:
     return F.when(v == 0, 0.0).otherwise(-F.signum(v) * F.log10(F.abs(v)))
 
 
-def half_even(x: Column) -> Column:
-    return F.rint(x)
-
-
 def base_name(path: Column) -> Column:
     return F.regexp_extract(path, r"[^/]+$", 0)
 

@@ -29,6 +29,21 @@ def report(p: DataFrame) -> DataFrame:
     return out.select("label", precision.alias("precision"), recall.alias("recall"), F.coalesce(F.try_divide(2 * precision * recall, precision + recall), F.lit(0.0)).alias("f1"), "support")
 
 
+def full_report(p: DataFrame) -> DataFrame:
+    """report() with labels as text, then rows `accuracy`, `macro avg` and `weighted avg`."""
+    rows = report(p)
+    names = ("precision", "recall", "f1")
+    averages = rows.agg(F.sum("support").alias("support"), *[F.avg(c).alias(f"macro {c}") for c in names], *[(F.sum(F.col(c) * F.col("support")) / F.sum("support")).alias(f"weighted {c}") for c in names])
+    means = [averages.select(F.lit(f"{kind} avg").alias("label"), *[F.col(f"{kind} {c}").alias(c) for c in names], "support") for kind in ("macro", "weighted")]
+    hits = accuracy(p).select(F.lit("accuracy").alias("label"), *[F.col("accuracy").alias(c) for c in names], F.col("n").alias("support"))
+    return rows.withColumn("label", F.col("label").cast("string")).unionByName(hits).unionByName(means[0]).unionByName(means[1])
+
+
+def spread(scores: DataFrame, column: str) -> DataFrame:
+    """Mean and population deviation of repeated scores."""
+    return scores.agg(F.avg(column).alias("mean"), F.stddev_pop(column).alias("std"), F.count(column).alias("n"))
+
+
 def composition(members: DataFrame, group: str, label: str) -> DataFrame:
     """Count and percentage of each label within each group."""
     counts = members.groupBy(group, label).agg(F.count(F.lit(1)).alias("n"))

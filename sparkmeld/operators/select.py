@@ -2,18 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def unpivoted(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
-    """(feature index, value, label) of every feature of every row."""
-    return df.select(label, F.posexplode(F.array(*columns)).alias("feature", "value"))
-
-
 def anova_f(long: DataFrame, label: str) -> DataFrame:
     """F by feature: mean square between classes over that within; 0 where undefined."""
     per = long.groupBy("feature", label).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v"))
@@ -35,6 +28,13 @@ def stratified_fold(label: str, order: str, folds: int) -> Column:
     return F.pmod(F.row_number().over(W.partitionBy(label).orderBy(order)) - 1, F.lit(folds))
 
 
+def stratified_holdout(label: str, key: str, share: float, seed: int) -> Column:
+    """Whether a row is in the held-out share of its label, by a hash of its key and the seed."""
+    own = W.partitionBy(label)
+    drawn = F.row_number().over(own.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")).cast("binary")), key))
+    return drawn <= F.round(F.lit(share) * F.count(F.lit(1)).over(own))
+
+
 def closest_to_centroid(df: DataFrame, label: str, dims: int, top: int) -> DataFrame:
     """(label, id, distance, rank) of the `top` rows nearest their class' mean of x."""
     from ..functions.exprs import l2

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators import bayes, kmeans, knn, metrics, scale, search, select
+from ..functions import spectrum
+from ..operators import bayes, kmeans, knn, metrics, model, scale, search, select
+from ..sources import files, media, records
+from ..streaming import log
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -59,6 +64,74 @@ def nan_sanitize(spark, d):
     return scale.clean(table(spark, d, "events").where("value is not null").select("event_id", v.alias("value")), ["value"])
 
 
+@query("finite_guard", """with v as (select event_id, case when event_id % 7 = 0 then 'nan'::double when event_id % 11 = 0 then 'inf'::double else value end as value from events where value is not null),
+s as (select avg(value) mu, stddev_pop(value) + 1e-8 sd from v where isfinite(value))
+select event_id, round(coalesce(case when isfinite(value) then (value - mu) / sd end, -999.0), 6) as z from v, s""")
+def finite_guard(spark, d):
+    """z-scores where the raw value is finite (-999 stands for the NaN of others); the statistics leave the others out."""
+    v = F.when(F.col("event_id") % 7 == 0, F.lit(float("nan"))).when(F.col("event_id") % 11 == 0, F.lit(float("inf"))).otherwise(F.col("value"))
+    rows = table(spark, d, "events").where("value is not null").select("event_id", v.alias("value"))
+    return scale.scaled(rows, scale.fit(rows, ["value"], skip_nan=True), ["value"], "eps").select("event_id", r6(F.nanvl("z_value", F.lit(-999.0)), "z"))
+
+
+# Records of any keys: JSON objects made of events, so that both engines read the same
+
+_JSON = """case event_id % 6 when 0 then '{"label": "' || event_type || '", "k": ' || event_id || ', "z": 1.5}' when 1 then '{"label": null, "class": "other", "k": "text"}' when 2 then '{"class": "' || event_type || '", "k": null}'
+when 3 then '{"y": "' || event_type || '", "flag": true, "k": 2.25}' when 4 then '{"z": 2, "label_hint": "tuerca", "k": "7.5"}' else '{"k": ' end"""
+_NAME = "'in/ana_' || event_id || '.json'"
+_OBJECTS = f"with o as (select event_id, {_NAME} as file, {_JSON} as json from events), v as (select *, json::json as j from o where json_valid(json))"
+
+
+def _records(spark, d) -> DataFrame:
+    return records.parsed(table(spark, d, "events").selectExpr("event_id", f"{_NAME} as file", f"{_JSON} as json"), "json")
+
+
+def _fields(spark, d) -> DataFrame:
+    return _records(spark, d).select("event_id", "file", F.from_json("json", "map<string,string>").alias("fields"))
+
+
+@query("label_precedence", _OBJECTS + """ select event_id, coalesce(case when list_contains(json_keys(j), 'label') then j->>'label' when list_contains(json_keys(j), 'class') then j->>'class' when list_contains(json_keys(j), 'y') then j->>'y' end, 'ana') as label from v""")
+def label_precedence(spark, d):
+    return _fields(spark, d).select("event_id", records.label_by_presence(F.col("fields"), F.col("file")).alias("label"))
+
+
+@query("key_presence_filter", _OBJECTS + " select event_id, json_type(j, '$.k') = 'NULL' as is_null from v where list_contains(json_keys(j), 'label') or list_contains(json_keys(j), 'class') and list_contains(json_keys(j), 'k')")
+def key_presence_filter(spark, d):
+    """Objects with a label, or with a class and k; a null value is there too."""
+    f = F.col("fields")
+    return _fields(spark, d).where(records.has_keys(f, ["label"]) | records.has_keys(f, ["class", "k"])).select("event_id", f["k"].isNull().alias("is_null"))
+
+
+@query("complete_numbers", _OBJECTS + " select event_id, try_cast(j->>'k' as double) as k from v where try_cast(j->>'k' as double) is not null")
+def complete_numbers(spark, d):
+    return records.with_numbers(_fields(spark, d), "fields", ["k"]).select("event_id", "k")
+
+
+_KEYS = _OBJECTS + """, e as (select file, unnest(json_keys(j)) as key, j from v), t as (select file, key, json_type(j, '$.' || key) as kind from e),
+f as (select key, arg_min(kind, file) as kind from t group by key), n as (select key, kind in ('UBIGINT', 'BIGINT', 'DOUBLE', 'NULL') and key not in ('filename', 'label_hint') as is_number from f)"""
+
+
+@query("union_of_keys", _KEYS + " select key, is_number as numeric from n")
+def union_of_keys(spark, d):
+    return records.union_of_keys(_records(spark, d)).select("key", "numeric")
+
+
+@query("feature_union", _KEYS + """ select event_id, coalesce(j->>'label_hint', 'unknown') as label, n.key, coalesce(try_cast(j->>n.key as double), 0.0) as value from v, n where is_number""")
+def feature_union(spark, d):
+    """Every numeric key of the union for every object, missing ones 0; unpivoted, as which keys there are depends on the data."""
+    wide = records.feature_table(_records(spark, d), "event_id")
+    names = [c for c in wide.columns if c not in ("file", "event_id", "label")]
+    return wide.unpivot(["event_id", "label"], names, "key", "value")
+
+
+_PATHS = "case event_id % 5 when 0 then 'data/comando/a_' || event_id || '.WAV' when 1 then 'data/img_new/b.jpeg' when 2 then 'comando/old/c.wav' when 3 then 'data/img_new/d.wav' else 'img_new/e.PNG' end"
+
+
+@query("file_route", f"select event_id, case when split_part(p, '/', -2) = 'comando' and lower(p) like '%.wav' then 'audio' when split_part(p, '/', -2) = 'img_new' and regexp_matches(lower(p), '\\.(jpe?g|png)$') then 'image' end as route from (select event_id, {_PATHS} as p from events)")
+def file_route(spark, d):
+    return table(spark, d, "events").selectExpr("event_id", f"{_PATHS} as p").select("event_id", X.route(F.col("p")).alias("route"))
+
+
 # Scaling
 
 _COLS = ("l_quantity", "l_extendedprice", "l_discount")
@@ -123,22 +196,21 @@ def signal_zcr(spark, d):
     return table(spark, d, "embeddings").select("vec_id", (flips / F.size("embedding").cast("double")).alias("zcr"))
 
 
-@query("signal_dft_dominant", """
-with p as (select vec_id, i - 1 as t, cast(embedding[i] as double) as x from embeddings, range(1, 65) r(i)),
-m as (select vec_id, k, sqrt(power(sum(x * cos(2 * pi() * k * t / 64)), 2) + power(sum(x * sin(2 * pi() * k * t / 64)), 2)) as mag from p, range(1, 33) f(k) group by 1, 2),
-s as (select vec_id, k, round(mag, 6) as mag from m)
+_DFT = """with p as (select vec_id, i - 1 as t, cast(embedding[i] as double) as x from embeddings, range(1, 65) r(i)),
+m as (select vec_id, k, sqrt(power(sum(x * cos(2 * pi() * k * t / 64)), 2) + power(sum(x * sin(2 * pi() * k * t / 64)), 2)) as mag from p, range(0, 33) f(k) group by 1, 2)"""
+
+
+@query("signal_dft_dominant", _DFT + """, s as (select vec_id, k, round(mag, 6) as mag from m where k > 0)
 select vec_id, cast(min(k) as int) as idx, any_value(s.mag) as mag from s join (select vec_id, max(mag) as mag from s group by 1) b using (vec_id) where s.mag = b.mag group by vec_id""")
 def signal_dft_dominant(spark, d):
-    """The strongest frequency of each signal; ties to the lowest. One expression a row, nothing is shuffled."""
-    import math
+    """The strongest frequency of each signal; ties to the lowest."""
+    return spectrum.dominant(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"))).select(F.col("id").alias("vec_id"), "idx", r6(F.col("mag"), "mag"))
 
-    def magnitude(k: int):
-        part = lambda f: X.total([F.get("x", F.lit(t)) * f(2 * math.pi * k * t / 64) for t in range(64)])
-        return F.struct((-F.round(F.sqrt(F.pow(part(math.cos), F.lit(2.0)) + F.pow(part(math.sin), F.lit(2.0))), 6)).alias("mag"), F.lit(k).alias("idx"))
 
-    rows = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
-    best = F.array_min(F.array(*[magnitude(k) for k in range(1, 33)]))
-    return rows.select("vec_id", best.alias("b")).select("vec_id", F.col("b.idx").alias("idx"), (-F.col("b.mag")).alias("mag"))
+@query("highfreq_ratio", _DFT + " select vec_id, round(sum(mag * mag) filter (k >= 26) / sum(mag * mag), 6) as ratio from m group by 1")
+def highfreq_ratio(spark, d):
+    """Energy in the highest fifth of the frequencies as a share of all."""
+    return spectrum.dominant(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"))).select(F.col("id").alias("vec_id"), r6(F.col("high"), "ratio"))
 
 
 @query("hu_transform", "select vec_id, case when v = 0 then 0.0 else round(-sign(v) * log10(abs(v)), 6) end as hu from (select vec_id, cast(embedding[1] as double) as v from embeddings)")
@@ -226,10 +298,15 @@ def confusion_matrix(spark, d):
     return metrics.confusion(_predictions(spark, d), list(range(10)))
 
 
-@query("class_report", _pred_sql("l1", "distance") + """, c as (select l as label, (select count(*) from p where truth = l and pred = l) h, (select count(*) from p where pred = l) n, (select count(*) from p where truth = l) support from (select truth l from p union select pred from p))
-select label, round(pr, 6) as precision, round(re, 6) as recall, round(case when pr + re = 0 then 0 else 2 * pr * re / (pr + re) end, 6) as f1, support from (select label, support, case when n = 0 then 0.0::double else h::double / n end pr, case when support = 0 then 0.0::double else h::double / support end re from c)""")
+@query("class_report", _pred_sql("l1", "distance") + """, c as (select l as label, (select count(*) from p where truth = l and pred = l) h, (select count(*) from p where pred = l) n, (select count(*) from p where truth = l) support from (select truth l from p union select pred from p)),
+f as (select label, support, case when n = 0 then 0.0::double else h::double / n end pr, case when support = 0 then 0.0::double else h::double / support end re from c),
+g as (select *, case when pr + re = 0 then 0 else 2 * pr * re / (pr + re) end f1 from f)
+select cast(label as varchar) as label, round(pr, 6) as precision, round(re, 6) as recall, round(f1, 6) as f1, support from g
+union all select 'accuracy', a, a, a, n from (select round(avg(cast(truth = pred as double)), 6) a, count(*) n from p)
+union all select 'macro avg', round(avg(pr), 6), round(avg(re), 6), round(avg(f1), 6), cast(sum(support) as bigint) from g
+union all select 'weighted avg', round(sum(pr * support) / sum(support), 6), round(sum(re * support) / sum(support), 6), round(sum(f1 * support) / sum(support), 6), cast(sum(support) as bigint) from g""")
 def class_report(spark, d):
-    return metrics.report(_predictions(spark, d)).select("label", r6(F.col("precision"), "precision"), r6(F.col("recall"), "recall"), r6(F.col("f1"), "f1"), "support")
+    return metrics.full_report(_predictions(spark, d)).select("label", r6(F.col("precision"), "precision"), r6(F.col("recall"), "recall"), r6(F.col("f1"), "f1"), "support")
 
 
 @query("knn_regress", _near_sql("l2") + f" select q, round(sum({_WEIGHT['distance']} * y) / sum({_WEIGHT['distance']}), 6) as pred from k group by 1")
@@ -243,48 +320,86 @@ def knn_rmse(spark, d):
     return metrics.rmse(knn.regressed(near, "distance").join(truth, "q").select(F.col("truth").alias("true"), "pred")).withColumn("rmse", F.round("rmse", 6))
 
 
-def _grid_sql() -> str:
-    parts = [f"select {k} as k, '{w}' as weights, (select round(avg(cast(truth = y as double)), 6) from (select q, truth, y, row_number() over (partition by q order by round(sum({_WEIGHT[w]}), 9) desc, y) r from k where r <= {k} group by q, truth, y) where r = 1) as accuracy" for k in (1, 3, 5) for w in _WEIGHT]
-    return _near_sql("l1", 5) + " " + " union all ".join(parts)
+_KS = (1, 3, 5, 7, 9)
 
 
-@query("grid_knn", _grid_sql())
-def grid_knn(spark, d):
-    near, truth = _near(spark, d, "l1", 5)
-    return knn.grid(near, truth.select("q", F.col("truth").alias("y")), (1, 3, 5), tuple(_WEIGHT)).withColumn("accuracy", F.round("accuracy", 6))
-
-
-def _cv_sql(fold: str) -> str:
-    return f"""with e as materialized (select vec_id, label, cast(embedding[1] as double) a, cast(embedding[2] as double) b, cast(embedding[3] as double) c, {fold} as fold from embeddings),
+def _cv_sql(fold: str, metrics=("l1",), ks=(5,), weights=("distance",)) -> str:
+    """a(metric, k, weights, part, accuracy): statistics and neighbours of each fold from the others."""
+    out = f"""with e as materialized (select vec_id, label, cast(embedding[1] as double) a, cast(embedding[2] as double) b, cast(embedding[3] as double) c, {fold} as fold from embeddings),
 f as (select distinct fold from e),
 s as materialized (select f.fold, avg(a) ma, stddev_pop(a) sa, avg(b) mb, stddev_pop(b) sb, avg(c) mc, stddev_pop(c) sc from f, e where e.fold <> f.fold group by 1),
-z as materialized (select s.fold as part, e.fold, vec_id, label, (a - ma) / sa a, (b - mb) / sb b, (c - mc) / sc c from e, s),
-n as materialized (select q.part, q.vec_id q, q.label truth, t.vec_id t, t.label y, {_DIST["l1"]} d from z q, z t where q.part = t.part and q.fold = q.part and t.fold <> t.part),
-k as materialized (select * from (select *, row_number() over (partition by q order by d, t) r from n) where r <= 5),
-v as (select part, q, truth, y, round(sum({_WEIGHT["distance"]}), 9) s from k group by 1, 2, 3, 4),
-p as (select part, truth, y pred from (select *, row_number() over (partition by q order by s desc, y) r from v) where r = 1)
-select cast(part as int) as fold, round(avg(cast(truth = pred as double)), 6) as accuracy from p group by 1"""
+z as materialized (select s.fold as part, e.fold, vec_id, label, (a - ma) / sa a, (b - mb) / sb b, (c - mc) / sc c from e, s)"""
+    parts = []
+    for m in metrics:
+        out += f""", n_{m} as materialized (select q.part, q.vec_id q, q.label truth, t.vec_id t, t.label y, {_DIST[m]} d from z q, z t where q.part = t.part and q.fold = q.part and t.fold <> t.part),
+k_{m} as materialized (select * from (select *, row_number() over (partition by q order by d, t) r from n_{m}) where r <= {max(ks)})"""
+        parts += [f"select '{m}' as metric, {k} as k, '{w}' as weights, part, avg(cast(truth = y as double)) as accuracy from (select part, q, truth, y, row_number() over (partition by q order by round(sum({_WEIGHT[w]}), 9) desc, y) r from k_{m} where r <= {k} group by part, q, truth, y) where r = 1 group by part" for k in ks for w in weights]
+    return f"{out}, a as ({' union all '.join(parts)})"
+
+
+def _folded(spark, d, fold) -> tuple[DataFrame, list[str]]:
+    names = [f"f{i}" for i in _DIMS]
+    return table(spark, d, "embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(n) for i, n in zip(_DIMS, names, strict=True)]).withColumn("fold", fold), names
 
 
 def _cross_validated(spark, d, fold) -> DataFrame:
-    """Accuracy by fold; statistics and neighbours of each fold come from the other folds. One plan for each of a few folds."""
+    """Accuracy by fold; a fold's statistics and neighbours come from the others. One plan for any number of folds."""
+    rows, names = _folded(spark, d, fold)
+    scores = knn.grid(knn.across_folds(rows, "vec_id", "label", "fold", names, 5, "l1"), (5,), ("distance",))
+    return scores.select(F.col("fold").cast("int").alias("fold"), r6(F.col("accuracy"), "accuracy"))
+
+
+_STRATIFIED = "(row_number() over (partition by label order by vec_id) - 1) % 5"
+
+
+@query("knn_online_predict", """with e as materialized (select vec_id, label, cast(embedding[1] as double) a, cast(embedding[2] as double) b, cast(embedding[3] as double) c from embeddings),
+ds as (select avg(a) ma, stddev_pop(a) + 1e-8 sa, avg(b) mb, stddev_pop(b) + 1e-8 sb, avg(c) mc, stddev_pop(c) + 1e-8 sc from e),
+z1 as materialized (select vec_id, label, (a - ma) / sa a, (b - mb) / sb b, (c - mc) / sc c from e, ds),
+s2 as (select avg(a) ma, stddev_pop(a) sa, avg(b) mb, stddev_pop(b) sb, avg(c) mc, stddev_pop(c) sc from z1 where vec_id % 10 < 7),
+z as materialized (select vec_id, label, (a - ma) / sa a, (b - mb) / sb b, (c - mc) / sc c from z1, s2),
+n as (select q.vec_id q, t.vec_id t, t.label y, """ + _DIST["l1"] + """ d from z q, z t where q.vec_id % 10 >= 7 and t.vec_id % 10 < 7),
+k as (select * from (select *, row_number() over (partition by q order by d, t) r from n) where r <= 5)
+select q, y as pred from (select q, y, row_number() over (partition by q order by round(sum(1.0::double / greatest(d, 1e-12)), 9) desc, y) r from k group by q, y) where r = 1""")
+def knn_online_predict(spark, d):
+    """New rows scaled by the whole dataset's statistics and then by the training rows', asked of the five nearest."""
     names = [f"f{i}" for i in _DIMS]
-    rows = table(spark, d, "embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(n) for i, n in zip(_DIMS, names, strict=True)]).withColumn("fold", fold)
-    out = None
-    for part in sorted(r.fold for r in rows.select("fold").distinct().collect()):
-        z = scale.scaled(rows, scale.fit(rows.where(F.col("fold") != part), names), names).select("vec_id", "label", "fold", F.array(*[f"z_{n}" for n in names]).alias("x"))
-        near = knn.neighbours(z.where(F.col("fold") == part).select(F.col("vec_id").alias("q"), "x"), z.where(F.col("fold") != part).select(F.col("vec_id").alias("t"), F.col("label").alias("y"), "x"), 5, "l1", len(names))
-        p = knn.classified(near, "distance").join(rows.select(F.col("vec_id").alias("q"), "label"), "q").agg(F.round(F.avg((F.col("pred") == F.col("label")).cast("double")), 6).alias("accuracy")).select(F.lit(int(part)).alias("fold"), "accuracy")
-        out = p if out is None else out.unionByName(p)
-    return out
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", *[F.col("embedding")[i].cast("double").alias(n) for i, n in zip(_DIMS, names, strict=True)])
+    fitted = model.fit_neighbours(rows.where("id % 10 < 7"), names, dataset=rows)
+    return model.ask_neighbours(fitted, rows.where("id % 10 >= 7"))
 
 
-@query("stratified_cv_knn", _cv_sql("(row_number() over (partition by label order by vec_id) - 1) % 5"))
+@query("grid_knn", _cv_sql(_STRATIFIED, ("l2", "l1"), _KS, ("uniform", "distance")) + """, g as (select metric, k, weights, avg(accuracy) accuracy, stddev_pop(accuracy) spread from a group by 1, 2, 3)
+select metric, k, weights, round(accuracy, 6) as accuracy, round(spread, 6) as spread, cast(row_number() over (order by round(accuracy, 9) desc, k, metric = 'l1', weights = 'distance') as int) as place from g""")
+def grid_knn(spark, d):
+    """Twenty settings over five stratified folds, best first."""
+    rows, names = _folded(spark, d, select.stratified_fold("label", "vec_id", 5))
+    return knn.searched(rows, "vec_id", "label", "fold", names, _KS).select("metric", "k", "weights", r6(F.col("accuracy"), "accuracy"), r6(F.col("spread"), "spread"), "place")
+
+
+@query("grid_refit_predict", _cv_sql(_STRATIFIED.replace("_number() over (partition by label", "_number() over (partition by label, vec_id % 10 < 7"), ("l2", "l1"), _KS, ("uniform", "distance")).replace("from embeddings)", "from embeddings where vec_id % 10 < 7)", 1)
++ """, g as (select metric, k, weights, row_number() over (order by round(avg(accuracy), 9) desc, k, metric = 'l1', weights = 'distance') place from a group by 1, 2, 3), w as (select * from g where place = 1),
+all_e as (select vec_id, label, cast(embedding[1] as double) a, cast(embedding[2] as double) b, cast(embedding[3] as double) c from embeddings),
+st as (select avg(a) ma, stddev_pop(a) sa, avg(b) mb, stddev_pop(b) sb, avg(c) mc, stddev_pop(c) sc from all_e where vec_id % 10 < 7),
+zz as materialized (select vec_id, label, (a - ma) / sa a, (b - mb) / sb b, (c - mc) / sc c from all_e, st),
+nn as (select q.vec_id q, t.vec_id t, t.label y, case when (select metric from w) = 'l1' then """ + _DIST["l1"] + " else " + _DIST["l2"] + """ end d from zz q, zz t where q.vec_id % 10 >= 7 and t.vec_id % 10 < 7),
+kk as (select *, row_number() over (partition by q order by d, t) r from nn)
+select q, y as pred from (select q, y, row_number() over (partition by q order by round(sum(case when (select weights from w) = 'uniform' then 1.0::double else 1.0::double / greatest(d, 1e-12) end), 9) desc, y) r from kk where r <= (select k from w) group by q, y) where r = 1""")
+def grid_refit_predict(spark, d):
+    """The best setting by cross-validation on the training rows, fitted on all of them and asked about the others."""
+    rows, names = _folded(spark, d, F.lit(0))
+    train = rows.where("vec_id % 10 < 7").withColumn("fold", select.stratified_fold("label", "vec_id", 5))
+    best = knn.searched(train, "vec_id", "label", "fold", names, _KS).where("place = 1").first()  # one setting
+    points = scale.scaled(rows, scale.fit(train, names), names).select(F.col("vec_id").alias("id"), "label", F.array(*[f"z_{n}" for n in names]).alias("x"))
+    near = knn.neighbours(points.where("id % 10 >= 7").select(F.col("id").alias("q"), "x"), points.where("id % 10 < 7").select(F.col("id").alias("t"), F.col("label").alias("y"), "x"), best.k, best.metric, len(names))
+    return knn.classified(near, best.weights)
+
+
+@query("stratified_cv_knn", _cv_sql(_STRATIFIED) + " select cast(part as int) as fold, round(accuracy, 6) as accuracy from a")
 def stratified_cv_knn(spark, d):
     return _cross_validated(spark, d, select.stratified_fold("label", "vec_id", 5))
 
 
-@query("loso_cv_knn", _cv_sql("vec_id % 4"))
+@query("loso_cv_knn", _cv_sql("vec_id % 4") + " select cast(part as int) as fold, round(accuracy, 6) as accuracy from a")
 def loso_cv_knn(spark, d):
     return _cross_validated(spark, d, F.col("vec_id") % 4)
 
@@ -294,6 +409,27 @@ def stratified_split(spark, d):
     return table(spark, d, "embeddings").select("vec_id", "label", (select.stratified_fold("label", "vec_id", 10) >= 7).alias("is_test"))
 
 
+_SEEDS = tuple(42 + 17 * i for i in range(5))
+_HOLD = "case when row_number() over (partition by label order by md5(vec_id || ':{seed}'), vec_id) <= round(0.3 * count(*) over (partition by label)) then 1 else 0 end"
+
+
+@query("repeated_holdout_knn", " union all ".join(f"select * from ({_cv_sql(_HOLD.format(seed=s))} select {s} as seed, round(accuracy, 6) as accuracy from a where part = 1)" for s in _SEEDS))
+def repeated_holdout_knn(spark, d):
+    """Accuracy of five stratified hold-outs of 30 %, by seed."""
+    out = None
+    for seed in _SEEDS:
+        rows, names = _folded(spark, d, F.lit(0))
+        rows = rows.withColumn("fold", select.stratified_holdout("label", "vec_id", 0.3, seed).cast("int"))
+        part = knn.grid(knn.across_folds(rows, "vec_id", "label", "fold", names, 5, "l1"), (5,), ("distance",)).where("fold = 1").select(F.lit(seed).alias("seed"), r6(F.col("accuracy"), "accuracy"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("repeated_holdout_summary", "with r as (" + ORACLE_SQL["repeated_holdout_knn"] + ") select round(avg(accuracy), 6) as mean, round(stddev_pop(accuracy), 6) as std, count(*) as n from r")
+def repeated_holdout_summary(spark, d):
+    return metrics.spread(repeated_holdout_knn(spark, d), "accuracy").select(r6(F.col("mean"), "mean"), r6(F.col("std"), "std"), "n")
+
+
 @query("round_robin_pick", "select vec_id, label from (select vec_id, label, row_number() over (partition by label order by vec_id) turn from embeddings) order by turn, label limit 25")
 def round_robin_pick(spark, d):
     return select.round_robin(table(spark, d, "embeddings").select("vec_id", "label"), "label", "vec_id", 25).select("vec_id", "label")
@@ -308,19 +444,27 @@ _KSEL = ", ".join(f"cast(embedding[{i + 1}] as double) x{i}" for i in range(_KD)
 def _lloyd_sql(iterations: int) -> str:
     d2 = " + ".join(f"(p.x{i} - c.x{i}) * (p.x{i} - c.x{i})" for i in range(_KD))
     means = ", ".join(f"avg(x{i}) x{i}" for i in range(_KD))
-    out = f"with p as materialized (select vec_id, label, {_KSEL} from embeddings where label < 4), c0 as materialized (select label as k, {means} from p group by 1)"
+    out = f"with p as materialized (select vec_id, label, {_KSEL} from embeddings), c0 as materialized (select row_number() over (order by label) - 1 as k, {', '.join(f'x{i}' for i in range(_KD))} from (select label, {means} from p where label is not null group by 1))"
     for t in range(iterations + 1):
         out += f", a{t} as materialized (select vec_id, label, {', '.join(f'x{i}' for i in range(_KD))}, k, d2 from (select p.*, c.k, {d2} d2, row_number() over (partition by vec_id order by {d2}, c.k) r from p, c{t} c) where r = 1)"
         if t < iterations:
-            out += f", c{t + 1} as materialized (select k, {means} from a{t} group by 1)"
+            xs = ", ".join(f"x{i}" for i in range(_KD))
+            far = ", ".join(f"x{i} desc" for i in range(_KD))
+            # the first empty cluster moves to the farthest point
+            out += f", c{t + 1} as materialized (select k, {means} from a{t} group by 1 union all select k, {xs} from (select min(k) k from c{t} where k not in (select k from a{t})), (select {xs} from a{t} order by d2 desc, {far} limit 1) where k is not null)"
     return out
 
 
 _T = 3
 
 
+def _vectors(spark, d) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", X.features(F.col("embedding"), range(_KD)).alias("x"))
+
+
 def _clustered(spark, d) -> DataFrame:
-    e = table(spark, d, "embeddings").where("label < 4").select(F.col("vec_id").alias("id"), "label", X.features(F.col("embedding"), range(_KD)).alias("x"))
+    """All vectors, clusters begun at the means of all classes."""
+    e = _vectors(spark, d)
     return kmeans.assigned(e, kmeans.lloyd(e, kmeans.class_means(e, "label", _KD), _KD, _T, None), _KD)
 
 
@@ -342,23 +486,52 @@ def cluster_map(spark, d):
     return kmeans.cluster_map(_clustered(spark, d)).select("cluster", "label", "majority", "size")
 
 
-@query("kmeans_purity", _lloyd_sql(_T) + _MAP + " select round(sum(n) / sum(size)::double, 6) as purity, count(*) = 4 as complete from m where r = 1")
+@query("kmeans_purity", _lloyd_sql(_T) + _MAP + " select round(sum(n) / sum(size)::double, 6) as purity, count(*) = (select count(*) from c0) as complete from m where r = 1")
 def kmeans_purity(spark, d):
-    return kmeans.purity(_clustered(spark, d), 4).withColumn("purity", F.round("purity", 6))
+    classes = table(spark, d, "embeddings").agg(F.countDistinct("label")).first()[0]
+    return kmeans.purity(_clustered(spark, d), classes).withColumn("purity", F.round("purity", 6))
+
+
+@query("kmeans_purity_lenient", _lloyd_sql(_T) + _MAP + " select round(sum(n) / sum(size)::double, 6) as purity from m where r = 1")
+def kmeans_purity_lenient(spark, d):
+    """Purity over the clusters that have members, whether or not all have."""
+    return kmeans.purity(_clustered(spark, d), 0, strict=False).select(r6(F.col("purity"), "purity"))
+
+
+@query("cluster_names", _lloyd_sql(_T) + _MAP + """ select cast(c0.k as int) as cluster, case when m.label is null then 'desconocido' else 'class_' || m.label end as name from c0 left join (select * from m where r = 1) m on m.k = c0.k
+union all select cast((select count(*) from c0) as int), 'desconocido'""")
+def cluster_names(spark, d):
+    """The name of each cluster's majority in lower case, also of one (the last) that no vector is in."""
+    members = _clustered(spark, d).withColumn("label", F.concat(F.lit("CLASS_"), F.col("label").cast("string")))
+    classes = table(spark, d, "embeddings").agg(F.countDistinct("label")).first()[0]
+    return kmeans.named(kmeans.cluster_map(members), classes + 1)
+
+
+_PP = f"""with p as materialized (select vec_id, {_KSEL} from embeddings), c as materialized (select vec_id, {', '.join(f'x{i}' for i in range(_KD))} from p where vec_id in (0, 7)),
+d as materialized (select p.vec_id, min({' + '.join(f'(p.x{i} - c.x{i}) * (p.x{i} - c.x{i})' for i in range(_KD))}) d2 from p, c group by 1),
+r as (select vec_id, d2, sum(d2) over (order by vec_id rows unbounded preceding) as upto, sum(d2) over () as total from d)"""
 
 
-@query("nearest_centroid_predict", f"""with p as materialized (select vec_id, label, {_KSEL} from embeddings), c as materialized (select label as k, {", ".join(f"avg(x{i}) x{i}" for i in range(_KD))} from p group by 1)
+@query("kmeanspp_init_step", " union all ".join(f"select {u}::double as u, (select min(vec_id) from r where upto >= {u}::double * total) as picked" for u in (0.1, 0.5, 0.9)).join([_PP + " ", ""]))
+def kmeanspp_init_step(spark, d):
+    """The third start of k-means++ for three given draws: the first row whose running sum of squared distances reaches the draw."""
+    e = _vectors(spark, d)
+    chosen = [list(r.x) for r in e.where("id in (0, 7)").orderBy("id").select("x").collect()]  # two rows
+    return kmeans.draw(kmeans.assigned(e, chosen, _KD), (0.1, 0.5, 0.9))
+
+
+@query("nearest_centroid_predict", f"""with p as materialized (select vec_id, label, {_KSEL} from embeddings), c as materialized (select dense_rank() over (order by label) - 1 as k, * exclude (label) from (select label, {", ".join(f"avg(x{i}) x{i}" for i in range(_KD))} from p where label is not null group by 1))
 select vec_id as id, cast(k as int) as cluster from (select vec_id, k, row_number() over (partition by vec_id order by {" + ".join(f"(p.x{i} - c.x{i}) * (p.x{i} - c.x{i})" for i in range(_KD))}, k) r from p, c) where r = 1""")
 def nearest_centroid_predict(spark, d):
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", X.features(F.col("embedding"), range(_KD)).alias("x"))
+    e = _vectors(spark, d)
     return kmeans.assigned(e, kmeans.class_means(e, "label", _KD), _KD).select("id", "cluster")
 
 
 @query("kmeans_best_of_n")
 def kmeans_best_of_n(spark, d):
-    """k-means++ starts, three runs; draws are hashes, which SQL engines do not share."""
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", X.features(F.col("embedding"), range(_KD)).alias("x"))
-    centroids, _ = kmeans.best_of(e, 4, _KD, runs=2, iterations=5)
+    """Ten k-means++ starts of at most 300 iterations, all runs in one job an iteration; draws are made by numpy, which SQL does not share."""
+    e = _vectors(spark, d)
+    centroids, _ = kmeans.best_of(e, 4, _KD)
     return kmeans.assigned(e, centroids, _KD).select("id", "cluster")
 
 
@@ -367,11 +540,18 @@ def class_centroids(spark, d):
     return table(spark, d, "embeddings").groupBy("label").agg(*[r6(F.avg(F.col("embedding")[i].cast("double")), f"c{i}") for i in range(_KD)])
 
 
-@query("closest_to_centroid", f"""with p as materialized (select vec_id, label, {_KSEL} from embeddings), c as (select label, {", ".join(f"avg(x{i}) x{i}" for i in range(_KD))} from p group by 1)
-select label, id, round(distance, 6) as distance, cast(r as int) as rank from (select p.label, vec_id as id, sqrt({" + ".join(f"(p.x{i} - c.x{i}) * (p.x{i} - c.x{i})" for i in range(_KD))}) distance, row_number() over (partition by p.label order by sqrt({" + ".join(f"(p.x{i} - c.x{i}) * (p.x{i} - c.x{i})" for i in range(_KD))}), vec_id) r from p join c on p.label = c.label) where r <= 5""")
+_CD = " + ".join(f"(p.x{i} - c.x{i}) * (p.x{i} - c.x{i})" for i in range(_KD))
+
+
+@query("closest_to_centroid", f"""with o as materialized (select vec_id, label, {_KSEL} from embeddings), s as (select {", ".join(f"avg(x{i}) m{i}, stddev_pop(x{i}) s{i}" for i in range(_KD))} from o),
+p as materialized (select vec_id, label, {", ".join(f"(x{i} - m{i}) / case when s{i} = 0 then 1.0 else s{i} end x{i}" for i in range(_KD))} from o, s), c as (select label, {", ".join(f"avg(x{i}) x{i}" for i in range(_KD))} from p group by 1)
+select label, id, round(distance, 6) as distance, cast(r as int) as rank from (select p.label, vec_id as id, sqrt({_CD}) distance, row_number() over (partition by p.label order by sqrt({_CD}), vec_id) r from p join c on p.label = c.label) where r <= 5""")
 def closest_to_centroid(spark, d):
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", X.features(F.col("embedding"), range(_KD)).alias("x"))
-    return select.closest_to_centroid(e, "label", _KD, 5).withColumn("distance", F.round("distance", 6))
+    """The five vectors of each class nearest its mean, in units of all vectors' deviations."""
+    names = [f"x{i}" for i in range(_KD)]
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)])
+    z = scale.scaled(e, scale.fit(e, names), names).select("id", "label", F.array(*[f"z_{n}" for n in names]).alias("x"))
+    return select.closest_to_centroid(z, "label", _KD, 5).withColumn("distance", F.round("distance", 6))
 
 
 # Feature ranking
@@ -466,3 +646,88 @@ def bayes_counts(spark, d):
 @query("event_ring50", "select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) r from events) where r <= 50")
 def event_ring50(spark, d):
     return table(spark, d, "events").withColumn("r", F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))).where("r <= 50").select("user_id", "event_id", "event_type")
+
+
+_COUNTS = ", ".join(f"count(case when event_type = '{k}' then 1 end) over w as {v}" for k, v in X.EVENT_CLASSES.items())
+
+
+@query("rolling_counts10", f"select user_id, event_id, {_COUNTS} from events window w as (partition by user_id order by ts, event_id rows between 9 preceding and current row)")
+def rolling_counts10(spark, d):
+    """After every event of a user, the classes among the last ten."""
+    w = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-9, 0)
+    return table(spark, d, "events").select("user_id", "event_id", *[F.count(F.when(F.col("event_type") == k, 1)).over(w).alias(v) for k, v in X.EVENT_CLASSES.items()])
+
+
+# Streams and media
+
+
+def _folder(spark) -> str:
+    """The folder that the cluster shares, or a temporary one where none is set and the master is local."""
+    return files.shared_folder(spark)
+
+
+@query("stream_commands", f"""with e as (select user_id, event_id, row_number() over (partition by user_id order by ts, event_id) r, {_CASE} as class from events)
+select a.event_id, array_to_string(coalesce(list(b.class order by b.r) filter (b.class is not null), []), ',') as classes from e a left join e b on a.user_id = b.user_id and b.r < a.r and b.r >= a.r - 10 where a.class is null group by a.event_id, a.user_id""")
+def stream_commands(spark, d):
+    """All events through the keyed log as a stream: each event without a class asks for the classes among the ten before it."""
+    source = spark.read.parquet(f"{d}/events.parquet")
+    cls = F.lit(None).cast("string")
+    for k, v in X.EVENT_CLASSES.items():
+        cls = F.when(F.col("event_type") == k, v).otherwise(cls)
+    events = spark.readStream.schema(source.schema).parquet(f"{d}/events.parquet*")
+    rows = events.select(F.col("user_id").alias("key"), "event_id", "ts", F.when(cls.isNull(), "audio").otherwise("image").alias("kind"), F.coalesce(cls, "event_type").alias("value"))
+    folder = _folder(spark)
+    out = log.commands(rows).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+    out.awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("event_id", F.array_join("classes", ",").alias("classes"))
+
+
+def _pictures(spark, d) -> DataFrame:
+    """A drawn picture for each vector: a disc or a rectangle, of a size by its id, dark on light."""
+
+    def draw(batches):
+        y, x = np.mgrid[:96, :96]
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            shapes = [(x - 48) ** 2 + (y - 48) ** 2 <= (20 + i % 20) ** 2 if i % 2 else (abs(x - 48) <= 20 + i % 20) & (abs(y - 48) <= 12 + i % 9) for i in ids]
+            data = [np.where(s, 30, 220).astype(np.uint8).tobytes() for s in shapes]
+            yield pa.RecordBatch.from_arrays([pa.array([f"pieza_{i}.png" for i in ids]), pa.array([96] * len(ids), pa.int32()), pa.array([96] * len(ids), pa.int32()), pa.array(data, pa.binary())], ["file", "height", "width", "gray"])
+
+    return table(spark, d, "embeddings").select("vec_id").mapInArrow(draw, "file string, height int, width int, gray binary")
+
+
+@query("image_piece_features")
+def image_piece_features(spark, d):
+    """Masks of drawn pictures and their five shape features."""
+    return media.shape_features(media.masks(_pictures(spark, d), 96))
+
+
+@query("image_shape_features")
+def image_shape_features(spark, d):
+    """The 77 features of drawn pictures."""
+    return media.shape_features(_pictures(spark, d), full=True)
+
+
+def _sounds(spark, d) -> DataFrame:
+    """Each vector as a sound of half a second: its numbers are the strengths of 64 tones."""
+
+    def play(batches):
+        t = np.arange(8_000) / 16_000
+        tones = np.sin(2 * np.pi * t[None] * (100 + 50 * np.arange(64))[:, None])
+        for batch in batches:
+            x = np.array(batch.column(1).to_pylist(), float).reshape(batch.num_rows, -1)
+            yield pa.RecordBatch.from_arrays([pa.array([f"contar_v{i}_1.wav" for i in batch.column(0).to_pylist()]), pa.array((0.2 * x @ tones[: x.shape[1]]).tolist(), pa.list_(pa.float64()))], ["file", "samples"])
+
+    return table(spark, d, "embeddings").select("vec_id", "embedding").mapInArrow(play, "file string, samples array<double>")
+
+
+@query("audio_word_features")
+def audio_word_features(spark, d):
+    """The three features of words, with their scores in the dataset."""
+    return media.with_dataset_scores(media.word_features(_sounds(spark, d)))[0]
+
+
+@query("audio_voice_features")
+def audio_voice_features(spark, d):
+    """The 286 numbers of sounds."""
+    return media.voice_features(_sounds(spark, d)).select("file", "label", "speaker", "feature_vector", "status")

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import io
+import re
+import tempfile
+import uuid
 import wave
 from collections.abc import Iterator, Sequence
 
@@ -12,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.exprs import stem
+from ..functions.exprs import stem, word_before_underscore
 
 IMAGE_GLOB = "*.{png,PNG,jpg,JPG,jpeg,JPEG,bmp,BMP,tif,TIF,tiff,TIFF}"
 
@@ -83,6 +86,66 @@ def decoded_sounds(files: DataFrame, rate: int = 16_000) -> DataFrame:
     return files.select("path", "content").mapInArrow(decode, "file string, samples array<double>, status string").withColumn("stem", stem(F.col("file")))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder's name under spark.checkpoint.dir, or (unset, on a local master) under a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def write_records(df: DataFrame, folder: str, key: str = "stem") -> None:
+    """A folder of JSON lines for each value of the key; records that share one are together in it."""
+    df.write.mode("overwrite").partitionBy(key).json(folder)
+
+
+def write_statistics(stats: DataFrame, count: int, names: Sequence[str], folder: str) -> None:
+    """One row of a scaler's statistics as JSON: z_score_stats.{name}.{mean, std}, count."""
+    each = [F.struct(F.col(f"mu_{n}").alias("mean"), (F.col(f"sd_{n}") + 1e-8).alias("std")).alias(n) for n in names]
+    stats.select(F.struct(*each).alias("z_score_stats"), F.lit(count).alias("count")).coalesce(1).write.mode("overwrite").json(folder)
+
+
+def combinations_csv(found: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Rows of a subset search as text: size, accuracy to six places, indices with spaces, names with bars between."""
+    places = F.transform("features", lambda f: (F.array_position(F.array(*[F.lit(n) for n in names]), f) - 1).cast("string"))
+    return found.select("size", F.format_string("%.6f", "accuracy").alias("accuracy"), F.array_join(places, " ").alias("indices"), F.array_join("features", "|").alias("names"))
+
+
+def write_csv(df: DataFrame, folder: str) -> None:
+    """All rows, in as many files as there are partitions, each with a header."""
+    df.write.mode("overwrite").option("header", True).csv(folder)
+
+
+def pool_json(ranked: DataFrame, names: Sequence[str], top: int = 18) -> DataFrame:
+    """ranked(feature, f) -> one row: topk, indices, names and F_scores of the best, as lists."""
+    best = ranked.orderBy(F.desc("f"), F.desc("feature")).limit(top).agg(F.sort_array(F.collect_list(F.struct("f", "feature")), asc=False).alias("b"))
+    return best.select(F.size("b").alias("topk"), F.col("b.feature").alias("indices"), F.transform("b.feature", lambda i: F.get(F.array(*[F.lit(n) for n in names]), i)).alias("names"), F.col("b.f").alias("F_scores"))
+
+
+def perfect_sets(found: DataFrame) -> DataFrame:
+    """One row: the perfect subsets' names by size, as a map."""
+    per = found.where("perfect").groupBy(F.col("size").cast("string").alias("k")).agg(F.sort_array(F.collect_list("features")).alias("sets"))
+    return per.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "sets")))).alias("perfect"))
+
+
+def search_summary(found: DataFrame, score: str = "purity", least: float = 1 - 1e-4) -> DataFrame:
+    """One row: counts and best score of a search, and the list of its successes."""
+    kept = F.collect_list(F.when(F.col(score) >= least, F.struct(*[c for c in found.columns])))
+    return found.agg(F.struct(F.count(F.lit(1)).alias("total_checked"), F.max(score).alias(f"best_{score}"), F.min("size").alias("min_subset_size"), F.max("size").alias("max_subset_size")).alias("summary"), F.sort_array(kept).alias("results"))
+
+
+def write_json(df: DataFrame, folder: str) -> None:
+    """A small result as one JSON file."""
+    df.coalesce(1).write.mode("overwrite").json(folder)
+
+
+def plot_rows(features: DataFrame, names: Sequence[str], path: str = "file") -> DataFrame:
+    """(word, x, y, z): three features ready to be drawn, with the word before the first underscore of the name."""
+    return features.dropna(subset=list(names)).select(word_before_underscore(F.col(path)).alias("word"), *[F.col(n).alias(a) for n, a in zip(names, "xyz", strict=True)])
+
+
 def write_ranked_csv(df: DataFrame, folder: str, *order: str) -> None:
     """A small ranked result as one CSV file with a header."""
     df.orderBy(*order).coalesce(1).write.mode("overwrite").option("header", True).csv(folder)

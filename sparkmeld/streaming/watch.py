@@ -13,10 +13,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.exprs import CLASSES
 from ..operators import bayes
+from ..sources.files import IMAGE_GLOB
 from .log import commands
 
 EVENT = "key string, event_id long, ts timestamp, kind string, value string"
 BINARY = "path string, modificationTime timestamp, length long, content binary"
+PICTURE = "image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
 EXIT = "salir"
 
 
@@ -25,6 +27,12 @@ def new_sounds(spark: SparkSession, folder: str, pattern: str = "*.wav", at_once
     return spark.readStream.schema(BINARY).format("binaryFile").option("pathGlobFilter", pattern).option("maxFilesPerTrigger", at_once).load(folder)
 
 
+def new_pictures(spark: SparkSession, folder: str, pattern: str = IMAGE_GLOB, at_once: int = 1000) -> DataFrame:
+    """A stream of (path, modificationTime, image) of picture files of every extension; unreadable ones are left out."""
+    rows = spark.readStream.schema(PICTURE).format("image").option("dropInvalid", True).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", at_once).load(folder)
+    return rows.select(F.col("image.origin").alias("path"), F.col("_metadata.file_modification_time").alias("modificationTime"), "image")
+
+
 def into_table(files: DataFrame, classify: Callable[[DataFrame], DataFrame], kind: str, folder: str, checkpoint: str, key: str = "all") -> StreamingQuery:
     """files(path, modificationTime, ...) through classify(batch) -> (file, value) into the event table; null values are left out.
 
