@@ -158,7 +158,8 @@ def fit(train: DataFrame, rows: int = MAX_TRAIN_ROWS, unlabelled_rows: int = MAX
     u_bound, own_bound = bound(n_all, unlabelled_rows), bound(n_pos, rows)
     at = F.pmod(F.xxhash64("key", "text", F.lit("bounded sample")), F.lit(1 << 30))
     trusted = F.coalesce(F.col("label") == 1, F.lit(False))
-    sample = train.where((at < u_bound) | (trusted & (at < own_bound))).select("key", "text", trusted.alias("trusted"), (at < u_bound).alias("u"))
+    # the first condition needs no label, so that texts are drawn before they are joined to labels
+    sample = train.where(at < max(u_bound, own_bound)).where((at < u_bound) | (trusted & (at < own_bound))).select("key", "text", trusted.alias("trusted"), (at < u_bound).alias("u"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -199,9 +199,12 @@ def _best_cut(z: np.ndarray, y: np.ndarray, negative: float) -> float:
 
 
 def fit(train: DataFrame, rows: int = MAX_TRAIN_ROWS, seed: int = 5) -> Model:
-    """train(key, text, label 0/1, lang or null). Null texts are empty; rows with another or a null label teach nothing."""
+    """train(key, text, label 0/1, lang or null, chars: the text's length). Null texts are empty; rows with another or a null label teach nothing.
+
+    The length comes as a column so that rows are counted, and joined to labels for it, without their texts.
+    """
     labelled = train.where("label in (0, 1)")
-    n_all, n_pos, chars = labelled.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    n_all, n_pos, chars = labelled.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0)), F.coalesce(F.sum("chars"), F.lit(0))).first()
     sample = bounded_sample(labelled, min(rows, MAX_TRAIN_CHARS * n_all // max(chars, 1)), n_all)
     share = min(1.0, NEGATIVES * n_pos / max(n_all - n_pos, 1)) if n_pos else 1.0
     sample = sample.where((F.col("label") == 1) | (F.pmod(F.xxhash64("key", "text", F.lit("negatives")), F.lit(1 << 30)) < int(share * (1 << 30)))) if n_pos else sample
@@ -284,6 +287,6 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("toxic").alias("label"))
-    train = docs.where(crc_mod("doc_id", 5) != 0).select("doc_id", "text", "lang").join(labels, "doc_id").select(F.col("doc_id").alias("key"), "text", "label", "lang")
+    train = docs.where(crc_mod("doc_id", 5) != 0).select("doc_id", "text", "lang", F.length("text").alias("chars")).join(labels, "doc_id").select(F.col("doc_id").alias("key"), "text", "label", "lang", "chars")
     out = score(spark, docs.select("doc_id", "text"), fit(train))
     return out.select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"))

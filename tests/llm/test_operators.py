@@ -395,7 +395,7 @@ def test_decontamination_in_blocks(spark, tables):
 
 def _model(spark, d):
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
-    return toxicity.fit(docs.join(labels, "doc_id").select(docs.doc_id.alias("key"), "text", labels.toxic.alias("label"), "lang"))
+    return toxicity.fit(docs.join(labels, "doc_id").select(docs.doc_id.alias("key"), "text", labels.toxic.alias("label"), "lang", F.length("text").alias("chars")))
 
 
 def test_toxicity_scores_depend_on_their_text_only(spark):
