@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
 
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -106,3 +108,109 @@ def least_reachable(nodes: list, links: set[tuple]) -> dict:
                 out[x] = v
                 stack += near[x]
     return out
+
+
+def url_segments(path: str) -> tuple[str, ...]:
+    out = []
+    for x in [p for p in path.split("/") if p][: 6 + 1]:
+        if len(out) == 6:
+            out.append("{deep}")
+        elif re.search("^[0-9]+$", x):
+            out.append("{n}")
+        elif m := re.search(r"^[0-9]+(\.[A-Za-z]{1,5})$", x):
+            out.append("{n}" + m[1])
+        elif re.search("^[0-9]{4}-[0-9]{2}(-[0-9]{2})?$", x):
+            out.append("{date}")
+        elif re.search("^(?=.*[0-9])[0-9A-Fa-f-]{8,}$", x):
+            out.append("{hex}")
+        elif len(x) > 40 or re.search("^(?=(?:.*[0-9]){3})[A-Za-z0-9_-]{12,}$", x):
+            out.append("{id}")
+        else:
+            out.append(x)
+    return tuple(out)
+
+
+def url_verdicts(urls: list[str | None]) -> list[str]:
+    """The rules' verdicts, and for other urls those of templates: variable segments, wide levels, merged siblings, smoothed purity."""
+    rows = [url_row(u) for u in urls]
+    raw = [(host, url_segments(path)) for host, path, _, _ in rows]
+    leaf: dict[tuple, list] = {}  # (host, raw segments) -> n, labelled, bad
+    for key, (_, _, _, verdict) in zip(raw, rows, strict=True):
+        cell = leaf.setdefault(key, [0, 0, 0])
+        cell[0] += 1
+        cell[1] += verdict is not None
+        cell[2] += verdict == "block"
+    name = {key: key[1] for key in leaf}
+    deepest = max((len(t) for t in name.values()), default=0)
+
+    def sums(of):
+        out: dict[tuple, list] = {}
+        for key, cell in leaf.items():
+            group = of(key)
+            if group is not None:
+                out[group] = [a + b for a, b in zip(out.get(group, [0, 0, 0]), cell, strict=True)]
+        return out
+
+    for level in range(deepest):
+        children: dict[tuple, list] = {}
+        for (host, above, _), cell in sums(lambda k, v=level: (k[0], name[k][:v], name[k][v]) if len(name[k]) > v else None).items():
+            children.setdefault((host, above), []).append(cell[0])
+        wide = {k for k, ns in children.items() if len(ns) >= 30 and sum(ns) < 3.0 * len(ns)}
+        name = {k: (*t[:level], "*", *t[level + 1 :]) if len(t) > level and (k[0], t[:level]) in wide else t for k, t in name.items()}
+    for level in reversed(range(deepest)):
+        own = sums(lambda k, v=level: (k[0], name[k]) if len(name[k]) > v else None)
+        pools: dict[tuple, list] = {}
+        like = lambda t, v=level: (*t[:v], "{like}", *t[v + 1 :])
+        for (host, t), cell in own.items():
+            pools.setdefault((host, like(t)), []).append(cell)
+        joined = set()
+        for (host, t), (_, labelled, bad) in own.items():
+            pool = pools[host, like(t)]
+            all_, all_bad = sum(c[1] for c in pool), sum(c[2] for c in pool)
+            if len(pool) > 1 and all_ > 0:
+                share = all_bad / all_
+                error = (max(share * (1 - share), 0.25 / all_) / max(labelled, 1)) ** 0.5
+                if labelled == 0 or abs(bad / labelled - share) <= 1.96 * error:
+                    joined.add((host, t))
+        name = {k: like(t) if (k[0], t) in joined else t for k, t in name.items()}
+    own = sums(lambda k: (k[0], name[k]))
+    prior = (sum(c[2] for c in leaf.values()) + 1) / (sum(c[1] for c in leaf.values()) + 2)
+    reject = {k for k, (_, labelled, bad) in own.items() if labelled >= 3 and (bad + 4 * prior) / (labelled + 4) >= 0.5}
+    return [verdict or ("block" if (key[0], name[key]) in reject else "allow") for key, (_, _, _, verdict) in zip(raw, rows, strict=True)]
+
+
+def language_scores(train: list[tuple[str | None, str | None]], texts: list[str | None], buckets: int = 1 << 15) -> list[tuple[str, float]]:
+    """Multinomial naive Bayes over hashed runs of one to three characters, one text at a time."""
+
+    def grams(text: str | None) -> tuple[Counter, int]:
+        codes = [ord(c) if c.isalpha() else 32 for c in (text or "").lower()]
+        out, letters = Counter(), sum(c != 32 for c in codes)
+        for n in (1, 2, 3):
+            for i in range(len(codes) - n + 1):
+                h = 0
+                for c in codes[i : i + n]:
+                    h = (h * 0x01000193 + c) & 0xFFFFFFFF
+                g = (h + n) * 0x9E3779B1 & 0xFFFFFFFF
+                g = (g ^ (g >> 15)) * 0x85EBCA77 & 0xFFFFFFFF
+                out[g >> 17] += 1
+        return out, letters
+
+    counts, docs = {}, Counter()
+    for text, lang in train:
+        if text is not None and lang is not None:
+            got, letters = grams(text)
+            if letters:
+                counts.setdefault(lang, Counter()).update(got)
+                docs[lang] += 1
+    names = sorted(counts)
+    base = {x: math.log(sum(counts[x].values()) + 0.5 * buckets) for x in names}
+    out = []
+    for text in texts:
+        got, letters = grams(text)
+        if not letters or not names:
+            out.append(("und", 0.0))
+            continue
+        total = [math.log(docs[x] / sum(docs.values())) + sum(n * (math.log(counts[x][b] + 0.5) - base[x]) for b, n in got.items()) for x in names]
+        best = max(range(len(names)), key=lambda i: total[i])
+        out.append((names[best], 1 / sum(math.exp(min(t - total[best], 0)) for t in total)))
+    return out

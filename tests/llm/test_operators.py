@@ -3,6 +3,7 @@
 import collections
 import operator
 import time
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -147,6 +148,17 @@ def test_url_verdict_of_unruled_branch(spark):
     assert {(r.host, r.path[:4], r.verdict) for r in rows} == {("www.x.net", "/es/", "block"), ("www.x.net", "/fr/", "block"), ("www.x.net", "/de/", "block"), ("y.org", "/de/", "allow")}
 
 
+def test_url_verdicts_by_plain_version(spark):
+    pages = pq.read_table("/root/testdata/sf0.1/pages.parquet", columns=["page_id", "url"]).to_pylist()
+    wide = [f"http://shop.net/es/p{i}/view" for i in range(60)] + [f"http://shop.net/de/q{i}/view" for i in range(60)] + [f"http://www.b.net/{x}/{i}" for x in ("es", "fr", "it") for i in range(9)]
+    pages += [{"page_id": 10**6 + i, "url": u} for i, u in enumerate([*wide, None, "", "no scheme", "http://h", "http://h/1/22222222a/2024-01-02/a1b2c3d4e5f6/x.y/3.html/7/8/9"])]
+    got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame([(p["page_id"], p["url"]) for p in pages], "page_id long, url string")).collect()}
+    want = dict(zip([p["page_id"] for p in pages], brute.url_verdicts([p["url"] for p in pages]), strict=True))
+    assert got == want
+    ruled = [brute.url_row(p["url"])[3] is None and want[p["page_id"]] == "block" for p in pages]
+    assert sum(ruled) > 100  # templates reject what no rule names
+
+
 @pytest.mark.parametrize("letters, n, seed", [(1, 40, 0), (2, 60, 1), (2, 300, 2), (4, 200, 3), (200, 300, 4), (3, 1, 5), (1, 0, 6)])
 def test_longest_previous_factors(letters, n, seed):
     rng = np.random.default_rng(seed)
@@ -263,6 +275,48 @@ def test_classifiers(spark, tables):
         assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
 
 
+def test_languages_by_plain_version(spark, tables):
+    docs = [d for d in read(tables, "documents") if len(d["text"] or "") < 5_000]
+    lang = {r.doc_id: r for r in language_id.op2_language_id(spark, tables).collect()}
+    train = [(d["text"], d["lang"]) for d in read(tables, "documents") if zlib.crc32(str(d["doc_id"]).encode()) % 3 != 1]
+    want = brute.language_scores(train, [d["text"] for d in docs])
+    for d, (name, score) in zip(docs, want, strict=True):
+        assert (lang[d["doc_id"]].lang_pred, lang[d["doc_id"]].held_out) == (name, zlib.crc32(str(d["doc_id"]).encode()) % 3 == 1)
+        assert lang[d["doc_id"]].score == pytest.approx(score, abs=1e-3)
+
+
+KEYS = {"pages": "page_id", "embeddings": "vec_id"}
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_order_files_and_columns_change_nothing(spark, tables, tmp_path, name):
+    """The tables again with columns that operators use names of, in another order and in several files."""
+    for t in ("documents", "benchmark", "labels", "pages", "embeddings"):
+        table = pq.read_table(f"{tables}/{t}.parquet")
+        table = table.take(np.random.default_rng(1).permutation(table.num_rows))
+        for c in INTERNAL:
+            if c not in table.column_names:
+                table = table.append_column(c, pa.array([f"{c}-{i}" for i in range(table.num_rows)]))
+        (tmp_path / f"{t}.parquet").mkdir()
+        for i in range(3):
+            pq.write_table(table.slice(i * table.num_rows // 3, (i + 1) * table.num_rows // 3 - i * table.num_rows // 3), tmp_path / f"{t}.parquet" / f"{i}.parquet")
+    told = lambda d: sorted((tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in QUERIES[name](spark, d).collect()), key=repr)
+    assert told(str(tmp_path)) == told(tables)
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"op1_embedding_dedup", "op5_url_filter", "op9_decontamination"}))
+def test_rows_of_one_id_are_each_answered(spark, tables, tmp_path, name):
+    docs = pq.read_table(f"{tables}/documents.parquet")
+    again = docs.slice(0, 6)
+    again = again.set_column(again.column_names.index("text"), "text", pa.array([(t or "")[::-1] for t in again.column("text").to_pylist()]))
+    null = docs.slice(6, 2).set_column(0, "doc_id", pa.nulls(2, docs.schema.field("doc_id").type))
+    pq.write_table(pa.concat_tables([docs, docs.slice(0, 3), again, null]), tmp_path / "documents.parquet")
+    for t in ("benchmark", "labels"):
+        pq.write_table(pq.read_table(f"{tables}/{t}.parquet"), tmp_path / f"{t}.parquet")
+    got = collections.Counter(r.doc_id for r in QUERIES[name](spark, str(tmp_path)).collect())
+    assert got == collections.Counter([*docs.column("doc_id").to_pylist(), *docs.column("doc_id").to_pylist()[:3], *again.column("doc_id").to_pylist(), None, None])
+
+
 def test_quality_reads_unlabelled_texts(spark, tables):
     docs = spark.read.parquet(f"{tables}/documents.parquet")
     got = {r.key: r.label for r in quality.training_rows(spark, docs, tables).collect()}
