@@ -176,3 +176,12 @@ def named(mapped: DataFrame, clusters: int) -> DataFrame:
     """cluster_map() -> (cluster, name) of every cluster: its label in lower case, or `desconocido` for one without members or label."""
     every = mapped.sparkSession.range(clusters).select(F.col("id").cast("int").alias("cluster"))
     return every.join(F.broadcast(mapped.select("cluster", "label")), "cluster", "left").select("cluster", F.coalesce(F.lower("label"), F.lit("desconocido")).alias("name"))
+
+
+def library(points: DataFrame, k: int, dims: int, seed: int = 42) -> DataFrame:
+    """points with the cluster that the library's parallel k-means++ finds: the fast path where starts need not be given."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    rows = points.withColumn("_v", array_to_vector(F.slice("x", 1, dims)))
+    return KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="cluster").fit(rows).transform(rows).drop("_v")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,18 +23,20 @@ def fit(df: DataFrame, columns: Sequence[str], skip_nan: bool = False) -> DataFr
     return df.agg(*out)
 
 
+#: Registry: a name stands for an expression of a value and its column's mean, deviation, least and greatest value.
+NORMALISERS: dict[str, Callable[..., Column]] = {
+    "standard": lambda x, mu, sd, low, high: (x - mu) / F.when(sd == 0, 1.0).otherwise(sd),
+    "eps": lambda x, mu, sd, low, high: F.when(F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), F.lit(float("nan"))).otherwise((x - mu) / (sd + 1e-8)),
+    "minmax": lambda x, mu, sd, low, high: F.when(high == low, 0.0).otherwise((x - low) / F.nullif(high - low, F.lit(0.0))),
+    "none": lambda x, mu, sd, low, high: x,
+}
+
+
 def scaled(df: DataFrame, stats: DataFrame, columns: Sequence[str], kind: str = "standard") -> DataFrame:
     """standard: zero deviation counts as 1; eps: 1e-8 is added to it, and what is not finite is NaN; minmax: constant columns are 0; none: as they are."""
     rows = df.crossJoin(F.broadcast(stats))  # one row
     for c in columns:
-        x, mu, sd, low, high = (F.col(n) for n in (c, f"mu_{c}", f"sd_{c}", f"min_{c}", f"max_{c}"))
-        value = {
-            "standard": (x - mu) / F.when(sd == 0, 1.0).otherwise(sd),
-            "eps": F.when(not_finite(c), F.lit(float("nan"))).otherwise((x - mu) / (sd + 1e-8)),
-            "minmax": F.when(high == low, 0.0).otherwise((x - low) / F.nullif(high - low, F.lit(0.0))),
-            "none": x,
-        }[kind]
-        rows = rows.withColumn(f"z_{c}", value)
+        rows = rows.withColumn(f"z_{c}", NORMALISERS[kind](*(F.col(n) for n in (c, f"mu_{c}", f"sd_{c}", f"min_{c}", f"max_{c}"))))
     return rows.drop(*[f"{p}_{c}" for c in columns for p in ("mu", "sd", "min", "max")])
 
 

@@ -24,15 +24,45 @@ def separability(long: DataFrame, label: str) -> DataFrame:
     return per.groupBy("feature").agg(((F.max("m") - F.min("m")) / (F.avg("s") + 1e-6)).alias("score"))
 
 
-def stratified_fold(label: str, order: str, folds: int) -> Column:
-    return F.pmod(F.row_number().over(W.partitionBy(label).orderBy(order)) - 1, F.lit(folds))
+def ranked(df: DataFrame, group: str | None, order: str, name: str = "rank", parts: int = 64, tie: str | None = None) -> DataFrame:
+    """df with the place of each row within its group (of all rows without one) by a number, from 1; ties by `tie`, which has none.
 
+    A window over a whole group would sort it in one task. Rows are numbered within ranges of `order` instead, whose cuts
+    are one row for all, and the sizes of the ranges before are added: a hot group is sorted in `parts` tasks.
+    """
+    cuts = df.select(F.coalesce(F.percentile_approx(order, F.array(*[F.lit(i / parts) for i in range(1, parts)]), 10_000), F.array().cast(f"array<{df.schema[order].dataType.simpleString()}>")).alias("_cuts"))
+    rows = df.crossJoin(F.broadcast(cuts)).withColumn("_part", F.size(F.filter("_cuts", lambda x: x < F.col(order)))).drop("_cuts")  # one row of cuts
+    by = ([group] if group else []) + ["_part"]
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.partitionBy(*by[:-1]).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # a row a group and range
+    if group:
+        before = before.withColumnRenamed(group, "_group")
+        both = rows.join(before.withColumnRenamed("_part", "_p"), F.col(group).eqNullSafe(F.col("_group")) & (F.col("_part") == F.col("_p"))).drop("_group", "_p")
+    else:
+        both = rows.join(before, "_part")
+    place = F.row_number().over(W.partitionBy(*by).orderBy(order, *([tie] if tie else [])))
+    return both.withColumn(name, (place + F.col("_before")).cast("long")).drop("_part", "_before")
 
-def stratified_holdout(label: str, key: str, share: float, seed: int) -> Column:
-    """Whether a row is in the held-out share of its label, by a hash of its key and the seed."""
-    own = W.partitionBy(label)
-    drawn = F.row_number().over(own.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")).cast("binary")), key))
-    return drawn <= F.round(F.lit(share) * F.count(F.lit(1)).over(own))
+
+def stratified_fold(df: DataFrame, label: str, order: str, folds: int, name: str = "fold") -> DataFrame:
+    """df with a fold 0..folds-1, dealt in turn within each label."""
+    return ranked(df, label, order, name).withColumn(name, F.pmod(F.col(name) - 1, F.lit(folds)))
+
+
+def shuffled(key: str, seed: int) -> Column:
+    """A number that orders rows at random: a hash of the key and the seed, the same in every run and engine."""
+    return F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")).cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def holdout(df: DataFrame, key: str, share: float, seed: int, label: str | None = None, name: str = "held_out") -> DataFrame:
+    """df with whether a row is in the held-out share of its label (of all rows without one), by a random permutation."""
+    rows = ranked(df.withColumn("_h", shuffled(key, seed)), label, "_h", "_r", tie=key)
+    sizes = df.groupBy(*([label] if label else [])).agg(F.count(F.lit(1)).alias("_all"))
+    if label:
+        rows = rows.join(sizes.withColumnRenamed(label, "_label"), F.col(label).eqNullSafe(F.col("_label"))).drop("_label")
+    else:
+        rows = rows.crossJoin(F.broadcast(sizes))  # one row
+    return rows.withColumn(name, F.col("_r") <= F.round(F.lit(share) * F.col("_all"))).drop("_h", "_r", "_all")
 
 
 def closest_to_centroid(df: DataFrame, label: str, dims: int, top: int) -> DataFrame:

@@ -337,12 +337,14 @@ k_{m} as materialized (select * from (select *, row_number() over (partition by
     return f"{out}, a as ({' union all '.join(parts)})"
 
 
-def _folded(spark, d, fold) -> tuple[DataFrame, list[str]]:
+def _folded(spark, d, fold=None, where: str = "true") -> tuple[DataFrame, list[str]]:
+    """(vec_id, label, features, fold): five stratified folds, unless one is given."""
     names = [f"f{i}" for i in _DIMS]
-    return table(spark, d, "embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(n) for i, n in zip(_DIMS, names, strict=True)]).withColumn("fold", fold), names
+    rows = table(spark, d, "embeddings").where(where).select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(n) for i, n in zip(_DIMS, names, strict=True)])
+    return (files.written(select.stratified_fold(rows, "label", "vec_id", 5)) if fold is None else rows.withColumn("fold", fold)), names
 
 
-def _cross_validated(spark, d, fold) -> DataFrame:
+def _cross_validated(spark, d, fold=None) -> DataFrame:
     """Accuracy by fold; a fold's statistics and neighbours come from the others. One plan for any number of folds."""
     rows, names = _folded(spark, d, fold)
     scores = knn.grid(knn.across_folds(rows, "vec_id", "label", "fold", names, 5, "l1"), (5,), ("distance",))
@@ -372,7 +374,7 @@ def knn_online_predict(spark, d):
 select metric, k, weights, round(accuracy, 6) as accuracy, round(spread, 6) as spread, cast(row_number() over (order by round(accuracy, 9) desc, k, metric = 'l1', weights = 'distance') as int) as place from g""")
 def grid_knn(spark, d):
     """Twenty settings over five stratified folds, best first."""
-    rows, names = _folded(spark, d, select.stratified_fold("label", "vec_id", 5))
+    rows, names = _folded(spark, d)
     return knn.searched(rows, "vec_id", "label", "fold", names, _KS).select("metric", "k", "weights", r6(F.col("accuracy"), "accuracy"), r6(F.col("spread"), "spread"), "place")
 
 
@@ -387,7 +389,7 @@ select q, y as pred from (select q, y, row_number() over (partition by q order b
 def grid_refit_predict(spark, d):
     """The best setting by cross-validation on the training rows, fitted on all of them and asked about the others."""
     rows, names = _folded(spark, d, F.lit(0))
-    train = rows.where("vec_id % 10 < 7").withColumn("fold", select.stratified_fold("label", "vec_id", 5))
+    train = _folded(spark, d, where="vec_id % 10 < 7")[0]
     best = knn.searched(train, "vec_id", "label", "fold", names, _KS).where("place = 1").first()  # one setting
     points = scale.scaled(rows, scale.fit(train, names), names).select(F.col("vec_id").alias("id"), "label", F.array(*[f"z_{n}" for n in names]).alias("x"))
     near = knn.neighbours(points.where("id % 10 >= 7").select(F.col("id").alias("q"), "x"), points.where("id % 10 < 7").select(F.col("id").alias("t"), F.col("label").alias("y"), "x"), best.k, best.metric, len(names))
@@ -396,7 +398,7 @@ def grid_refit_predict(spark, d):
 
 @query("stratified_cv_knn", _cv_sql(_STRATIFIED) + " select cast(part as int) as fold, round(accuracy, 6) as accuracy from a")
 def stratified_cv_knn(spark, d):
-    return _cross_validated(spark, d, select.stratified_fold("label", "vec_id", 5))
+    return _cross_validated(spark, d)
 
 
 @query("loso_cv_knn", _cv_sql("vec_id % 4") + " select cast(part as int) as fold, round(accuracy, 6) as accuracy from a")
@@ -406,11 +408,18 @@ def loso_cv_knn(spark, d):
 
 @query("stratified_split", "select vec_id, label, (row_number() over (partition by label order by vec_id) - 1) % 10 >= 7 as is_test from embeddings")
 def stratified_split(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", "label", (select.stratified_fold("label", "vec_id", 10) >= 7).alias("is_test"))
+    rows = select.stratified_fold(table(spark, d, "embeddings").select("vec_id", "label"), "label", "vec_id", 10)
+    return rows.select("vec_id", "label", (F.col("fold") >= 7).alias("is_test"))
+
+
+@query("random_split", "select vec_id, row_number() over (order by ('0x' || substr(md5(vec_id || ':42'), 1, 15))::bigint, vec_id) <= round(0.3 * count(*) over ()) as is_test from embeddings")
+def random_split(spark, d):
+    """A random permutation's first 30 % against the rest."""
+    return select.holdout(table(spark, d, "embeddings").select("vec_id"), "vec_id", 0.3, 42, name="is_test")
 
 
 _SEEDS = tuple(42 + 17 * i for i in range(5))
-_HOLD = "case when row_number() over (partition by label order by md5(vec_id || ':{seed}'), vec_id) <= round(0.3 * count(*) over (partition by label)) then 1 else 0 end"
+_HOLD = "case when row_number() over (partition by label order by ('0x' || substr(md5(vec_id || ':{seed}'), 1, 15))::bigint, vec_id) <= round(0.3 * count(*) over (partition by label)) then 1 else 0 end"
 
 
 @query("repeated_holdout_knn", " union all ".join(f"select * from ({_cv_sql(_HOLD.format(seed=s))} select {s} as seed, round(accuracy, 6) as accuracy from a where part = 1)" for s in _SEEDS))
@@ -419,7 +428,7 @@ def repeated_holdout_knn(spark, d):
     out = None
     for seed in _SEEDS:
         rows, names = _folded(spark, d, F.lit(0))
-        rows = rows.withColumn("fold", select.stratified_holdout("label", "vec_id", 0.3, seed).cast("int"))
+        rows = files.written(select.holdout(rows, "vec_id", 0.3, seed, "label").withColumn("fold", F.col("held_out").cast("int")))
         part = knn.grid(knn.across_folds(rows, "vec_id", "label", "fold", names, 5, "l1"), (5,), ("distance",)).where("fold = 1").select(F.lit(seed).alias("seed"), r6(F.col("accuracy"), "accuracy"))
         out = part if out is None else out.unionByName(part)
     return out
@@ -535,6 +544,12 @@ def kmeans_best_of_n(spark, d):
     return kmeans.assigned(e, centroids, _KD).select("id", "cluster")
 
 
+@query("kmeans_library")
+def kmeans_library(spark, d):
+    """Clusters of the library's own k-means."""
+    return kmeans.library(_vectors(spark, d), 4, _KD).select("id", "cluster")
+
+
 @query("class_centroids", f"select label, {', '.join(f'round(avg(cast(embedding[{i + 1}] as double)), 6) as c{i}' for i in range(_KD))} from embeddings group by 1")
 def class_centroids(spark, d):
     return table(spark, d, "embeddings").groupBy("label").agg(*[r6(F.avg(F.col("embedding")[i].cast("double")), f"c{i}") for i in range(_KD)])

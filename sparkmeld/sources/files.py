@@ -96,6 +96,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: what reads it several times plans and computes it once, and lost executors lose nothing."""
+    folder = shared_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def write_records(df: DataFrame, folder: str, key: str = "stem") -> None:
     """A folder of JSON lines for each value of the key; records that share one are together in it."""
     df.write.mode("overwrite").partitionBy(key).json(folder)

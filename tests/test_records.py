@@ -75,6 +75,19 @@ def test_draw_is_a_search_in_running_sums(spark):
     assert got == {u: int(np.searchsorted(np.cumsum(d2), u * d2.sum())) for u in us}
 
 
+def test_ranks_within_groups(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, None if i % 17 == 0 else int(rng.integers(3)), int(rng.integers(50))) for i in range(2_000)]
+    df = spark.createDataFrame(rows, "id long, g int, v int")
+    got = {r.id: (r.own, r.all) for r in select.ranked(select.ranked(df, "g", "v", "own", tie="id"), None, "v", "all", tie="id").collect()}
+    for g in (None, 0, 1, 2):
+        own = sorted((v, i) for i, h, v in rows if h == g)
+        assert [got[i][0] for _, i in own] == list(range(1, len(own) + 1))
+    assert [got[i][1] for _, i in sorted((v, i) for i, _, v in rows)] == list(range(1, 2_001))
+    held = select.holdout(df, "id", 0.3, 7, "g").groupBy("g").agg(F.sum(F.col("held_out").cast("int")).alias("h"), F.count("*").alias("n")).collect()
+    assert all(r.h == int(0.3 * r.n + 0.5) for r in held) and select.ranked(df.limit(0), "g", "v").count() == 0
+
+
 def test_infinities_are_no_statistics(spark):
     rows = spark.createDataFrame([(1.0,), (3.0,), (float("inf"),), (float("nan"),), (None,)], "v double")
     got = [r.z_v for r in scale.scaled(rows, scale.fit(rows, ["v"], skip_nan=True), ["v"], "eps").orderBy("v").collect()]
