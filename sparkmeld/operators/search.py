@@ -1,7 +1,8 @@
 """Searches over feature subsets and sub-datasets: candidates are rows of a DataFrame, every task judges its share of them.
 
-What is searched over is a small labelled sample (a few hundred rows of a few dozen features); it is counted against a
-bound before it goes to the tasks. Candidates are many, and are dealt out; no candidate needs another.
+Subsets of a table within a counted bound are judged by candidate: the table goes to the tasks, no candidate needs another.
+Beyond the bound rows stay where they lie: an iteration of the clusters of a block of candidates is one job, which reads
+every row once, and neighbours are those of the operator for tables of any size. Both ways give the same scores.
 """
 
 from __future__ import annotations
@@ -12,19 +13,34 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Numbers of a searched sample at most (32 MB).
+from . import knn, scale, select
+from .kmeans import MOST_CLASSES
+
+#: Numbers of a table that goes to the tasks at most (32 MB).
 SAMPLE_NUMBERS = 4_000_000
-#: Differences that a task holds at a time (32 MB).
-BLOCK_NUMBERS = 4_000_000
+#: Fits of a block, whose centroids go to the tasks in every iteration of a table beyond that.
+FITS = 2_048
 #: Weight patterns: a factor for features whose name holds a word. The empty one leaves all alike.
 PATTERNS: dict[str, dict[str, float]] = {"none": {}}
 
 
+def pool(df: DataFrame, features: Sequence[str], label: str, top: int = 18) -> list[str]:
+    """The features of greatest ANOVA F, ties to the later one, in the order in which they are given."""
+    long = df.select(label, F.posexplode(F.array(*[F.col(f).cast("double") for f in features])).alias("feature", "value"))
+    best = select.anova_f(long, label).orderBy(F.desc("f"), F.desc("feature")).limit(top).collect()  # `top` rows
+    return [features[i] for i in sorted(r.feature for r in best)]
+
+
+def fits_a_task(df: DataFrame, columns: int) -> bool:
+    return df.count() * columns <= SAMPLE_NUMBERS
+
+
 def sample(df: DataFrame, columns: Sequence[str], *others: str) -> tuple[np.ndarray, list[np.ndarray]]:
     """The features of a small table as a matrix, missing ones 0, and other columns, in the order of `id`."""
     n = df.count()
@@ -34,6 +50,12 @@ def sample(df: DataFrame, columns: Sequence[str], *others: str) -> tuple[np.ndar
     return np.nan_to_num(rows[list(columns)].to_numpy(float), nan=0.0, posinf=0.0, neginf=0.0), [rows[c].to_numpy() for c in others]
 
 
+def class_places(labels: np.ndarray) -> np.ndarray:
+    """The place of each label among all in order, of any type; no label is the last class."""
+    codes, known = pd.factorize(labels, sort=True)
+    return np.where(codes < 0, len(known), codes)
+
+
 def subsets(spark: SparkSession, n: int, sizes: Sequence[int], tasks: int = 64) -> DataFrame:
     """(no, size, picked): all subsets of the given sizes of n features, in lexicographic order by size."""
     total = sum(comb(n, k) for k in sizes)
@@ -68,7 +90,9 @@ def settle(x: np.ndarray, centroids: np.ndarray, iterations: int = 300) -> tuple
         if own is not None and (new == own).all():
             break
         own = new
-        centroids = np.stack([x[own == k].mean(0) if (own == k).any() else c for k, c in enumerate(centroids)])
+        n = np.bincount(own, minlength=len(centroids))[:, None]
+        sums = np.stack([np.bincount(own, weights=v, minlength=len(centroids)) for v in x.T], axis=1)
+        centroids = np.where(n > 0, sums / np.maximum(n, 1), centroids)
     return own, float(d2.min(1).sum())
 
 
@@ -79,14 +103,26 @@ def purity(own: np.ndarray, y: np.ndarray, clusters: int, strict: bool = False)
     return 0.0 if strict and (counts.sum(1) == 0).any() else float(counts.max(1).sum() / len(y))
 
 
+def _weights(names: Sequence[str], patterns: dict[str, dict[str, float]]) -> dict[str, np.ndarray]:
+    return {p: np.array([next((w for word, w in rule.items() if word in name), 1.0) for name in names]) for p, rule in patterns.items()}
+
+
+_CLUSTERED = "no long, size int, features array<string>, norm string, pattern string, purity double, inertia double"
+
+
 def cluster_subsets(df: DataFrame, features: Sequence[str], label: str, sizes: Sequence[int], norms: Sequence[str] = ("standard", "minmax", "none"), patterns: dict[str, dict[str, float]] = PATTERNS) -> DataFrame:
-    """(no, size, features, norm, pattern, purity, inertia) of clusters begun at the classes' means, for every subset, norm and pattern."""
+    """(no, size, features, norm, pattern, purity, inertia) of clusters begun at the classes' means, for every subset, norm and pattern.
+
+    Missing and infinite numbers are 0, rows without a label a class of their own.
+    """
+    names = list(features)
+    weights = _weights(names, patterns)
+    if not fits_a_task(df, len(names) + 1):
+        return _cluster_table(df, names, label, sizes, norms, weights)
     x, (labels,) = sample(df, features, label)
-    y = np.unique(labels, return_inverse=True)[1]
+    y = class_places(labels)
     clusters = int(y.max(initial=-1)) + 1
-    names = list(features)
     ready = {n: normalised(x, n) for n in norms}
-    weights = {p: np.array([next((w for word, w in rule.items() if word in name), 1.0) for name in names]) for p, rule in patterns.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,7 +137,97 @@ def cluster_subsets(df: DataFrame, features: Sequence[str], label: str, sizes: S
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["no", "size", "features", "norm", "pattern", "purity", "inertia"])
 
     found = subsets(df.sparkSession, len(names) if clusters else 0, sizes)
-    return found.mapInArrow(run, "no long, size int, features array<string>, norm string, pattern string, purity double, inertia double")
+    return found.mapInArrow(run, _CLUSTERED)
+
+
+def _indexed(df: DataFrame, features: Sequence[str], label: str, *others: str) -> DataFrame:
+    """(id, y, features, others): numbers that are missing or infinite 0, the label as its place among all, the null label last."""
+    classes = df.select(F.col(label).alias("_label")).distinct().orderBy(F.asc_nulls_last("_label")).limit(MOST_CLASSES + 1).collect()
+    if len(classes) > MOST_CLASSES:
+        raise ValueError(f"more than {MOST_CLASSES} classes")
+    kind = df.schema[label].dataType.simpleString()
+    places = df.sparkSession.createDataFrame([(r[0], i) for i, r in enumerate(classes)], f"_label {kind}, y int")
+    numbers = [F.when(F.col(f).isNull() | scale.not_finite(f), 0.0).otherwise(F.col(f)).cast("double").alias(f) for f in features]
+    # at most MOST_CLASSES rows
+    return df.join(F.broadcast(places), F.col(label).eqNullSafe(F.col("_label"))).select("id", "y", *numbers, *others)
+
+
+_SUMS = "fit int, cluster int, y int, n long, s array<double>, d2 double"
+
+
+def _cluster_table(df: DataFrame, names: list[str], label: str, sizes: Sequence[int], norms: Sequence[str], weights: dict[str, np.ndarray]) -> DataFrame:
+    """cluster_subsets() of a table of any size: the driver holds the centroids of one block of fits."""
+    spark = df.sparkSession
+    rows = _indexed(df, names, label)
+    stats = scale.fit(rows, names).first()
+    means = np.array([[r[f"m_{f}"] for f in names] for r in rows.groupBy("y").agg(*[F.avg(f).alias(f"m_{f}") for f in names]).orderBy("y").collect()])
+    numbers = lambda kind: np.array([stats[f"{kind}_{f}"] for f in names])
+    low, span, mu, sd = numbers("min"), numbers("max") - numbers("min"), numbers("mu"), numbers("sd")
+    shift = {"standard": (mu, np.where(sd == 0, 1, sd)), "minmax": (low, np.where(span == 0, 1, span)), "none": (np.zeros(len(names)), np.ones(len(names)))}
+    points = rows.select("y", F.array(*names).alias("x"))
+    fits = [(no, list(picked), norm, pattern) for no, picked in enumerate(c for k in sizes for c in combinations(range(len(names)), k)) for norm in norms for pattern in weights]
+    out = []
+    for lo in range(0, len(fits), FITS):
+        block = fits[lo : lo + FITS]
+        units = [(np.array(p), shift[norm][0][p], weights[pattern][p] / shift[norm][1][p]) for _, p, norm, pattern in block]
+        out += [(no, len(p), [names[i] for i in p], norm, pattern, *score) for (no, p, norm, pattern), score in zip(block, _settled(points, units, means), strict=True)]
+    return spark.createDataFrame(out, _CLUSTERED)
+
+
+def _settled(points: DataFrame, units: Sequence[tuple], means: np.ndarray, iterations: int = 300) -> list[tuple[float, float]]:
+    """(purity, inertia) of each fit's settled clusters; a fit is columns of x, what is taken off them and their factors.
+
+    Clusters are settled when their members' numbers and sums stay as they were; empty ones keep their centroids.
+    """
+    now = [(means[:, p] - off) * factor for p, off, factor in units]
+    last: list[dict] = [{} for _ in units]
+    open_ = list(range(len(units)))
+    for _ in range(iterations):
+        shared = points.sparkSession.sparkContext.broadcast([(i, units[i], now[i]) for i in open_])
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            sums: dict[tuple[int, int, int], list] = {}
+            for batch in batches:
+                y, x = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
+                for fit, (p, off, factor), c in shared.value:
+                    z = (x[:, p] - off) * factor
+                    d2 = ((z[:, None] - c[None]) ** 2).sum(2)
+                    own, near = d2.argmin(1), d2.min(1)
+                    both, cell, n = np.unique(own * len(c) + y, return_inverse=True, return_counts=True)
+                    total = np.stack([np.bincount(cell, weights=v) for v in (*z.T, near)], axis=1)
+                    for key, m, t in zip(both.tolist(), n.tolist(), total, strict=True):
+                        had = sums.setdefault((fit, *divmod(key, len(c))), [0, 0.0])
+                        had[0] += m
+                        had[1] = had[1] + t
+            cells = [(*k, n, t[:-1].tolist(), float(t[-1])) for k, (n, t) in sums.items()]
+            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in cells], t) for i, t in enumerate(kinds)], ["fit", "cluster", "y", "n", "s", "d2"])
+
+        widest = max(len(units[i][0]) for i in open_)
+        parts = points.mapInArrow(run, _SUMS).groupBy("fit", "cluster", "y")
+        cells = parts.agg(F.sum("n").alias("n"), F.sum("d2").alias("d2"), F.array(*[F.sum(F.get("s", F.lit(j))) for j in range(widest)]).alias("s")).collect()  # open fits x clusters x classes
+        shared.destroy()
+        new: dict[int, dict] = {i: {} for i in open_}
+        for r in cells:
+            new[r.fit][r.cluster, r.y] = (r.n, np.array(r.s[: len(units[r.fit][0])]), r.d2)
+        for i in list(open_):
+            same = new[i].keys() == last[i].keys() and all(v[0] == last[i][k][0] and np.allclose(v[1], last[i][k][1], rtol=1e-12, atol=1e-9) for k, v in new[i].items())
+            last[i] = new[i]
+            if same:
+                open_.remove(i)
+                continue
+            for k in {k for k, _ in new[i]}:
+                own = [v for (cluster, _), v in new[i].items() if cluster == k]
+                now[i][k] = sum(v[1] for v in own) / sum(v[0] for v in own)
+        if not open_:
+            break
+    scores = []
+    for cells in last:
+        most: dict[int, int] = {}
+        for (k, _), v in cells.items():
+            most[k] = max(most.get(k, 0), v[0])
+        scores.append((sum(most.values()) / sum(v[0] for v in cells.values()), float(sum(v[2] for v in cells.values()))))
+    return scores
 
 
 def neighbour_accuracy(x: np.ndarray, y: np.ndarray, fold: np.ndarray, k: int = 5) -> float:
@@ -114,22 +240,26 @@ def neighbour_accuracy(x: np.ndarray, y: np.ndarray, fold: np.ndarray, k: int =
         test = fold == part
         mu, sd = x[~test].mean(0), x[~test].std(0)
         z = (x - mu) / np.where(sd == 0, 1, sd)
-        hits, step = 0, max(1, BLOCK_NUMBERS // max(1, z[~test].size))
-        for lo in range(0, int(test.sum()), step):
-            d = np.abs(z[test][lo : lo + step, None] - z[~test][None]).sum(2)
-            near = np.argsort(d, axis=1, kind="stable")[:, :k]
-            votes = np.zeros((len(d), int(y.max()) + 1))
-            np.add.at(votes, (np.arange(len(d))[:, None], y[~test][near]), 1 / np.maximum(np.take_along_axis(d, near, 1), 1e-12))
-            hits += int((votes.round(9).argmax(1) == y[test][lo : lo + step]).sum())
-        scores.append(hits / int(test.sum()))
+        row, col, d = knn.nearest(z[test], z[~test], pa.array(np.arange(int((~test).sum()))), k, "l1")
+        votes = np.zeros((int(test.sum()), int(y.max()) + 1))
+        np.add.at(votes, (row, y[~test][col]), 1 / np.maximum(d, 1e-12))
+        scores.append(float((votes.round(9).argmax(1) == y[test]).mean()))
     return float(np.mean(scores))
 
 
+_SCORED = "no long, size int, features array<string>, accuracy double, perfect boolean"
+
+
 def neighbour_subsets(df: DataFrame, features: Sequence[str], label: str, fold: str, sizes: Sequence[int], k: int = 5) -> DataFrame:
-    """(no, size, features, accuracy, perfect) of cross-validated nearest neighbours for every subset of the features."""
-    x, (labels, folds) = sample(df, features, label, fold)
-    y = np.unique(labels, return_inverse=True)[1]
+    """(no, size, features, accuracy, perfect) of cross-validated nearest neighbours for every subset of the features.
+
+    Missing and infinite numbers are 0, rows without a label a class of their own.
+    """
     names = list(features)
+    if not fits_a_task(df, len(names) + 2):
+        return _neighbour_table(df, names, label, fold, sizes, k)
+    x, (labels, folds) = sample(df, features, label, fold)
+    y = class_places(labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,7 +269,18 @@ def neighbour_subsets(df: DataFrame, features: Sequence[str], label: str, fold:
             yield pa.RecordBatch.from_arrays(columns, ["no", "size", "features", "accuracy", "perfect"])
 
     found = subsets(df.sparkSession, len(names) if len(x) else 0, sizes)
-    return found.mapInArrow(run, "no long, size int, features array<string>, accuracy double, perfect boolean")
+    return found.mapInArrow(run, _SCORED)
+
+
+def _neighbour_table(df: DataFrame, names: list[str], label: str, fold: str, sizes: Sequence[int], k: int) -> DataFrame:
+    """neighbour_subsets() of a table of any size: a subset after the other, each by the neighbours operator; one number of each comes back."""
+    rows = _indexed(df, names, label, fold)
+    out = []
+    for no, picked in enumerate(c for n in sizes for c in combinations(names, n)):
+        scores = knn.grid(knn.across_folds(rows, "id", "y", fold, picked, k, "l1"), (k,), ("distance",))
+        accuracy = scores.agg(F.avg("accuracy")).first()[0]
+        out.append((no, len(picked), list(picked), accuracy, accuracy >= 1 - 1e-4))
+    return df.sparkSession.createDataFrame(out, _SCORED)
 
 
 def best_by_size(found: DataFrame, score: str, top: int = 15) -> DataFrame:
@@ -155,7 +296,7 @@ def pure_samples(df: DataFrame, features: Sequence[str], label: str, per_class:
     starts, of which that of least inertia counts. Attempts draw from their own seeds, so a task run again finds the same.
     """
     x, (ids, labels) = sample(df.withColumn("_id", F.col("id")), features, "_id", label)
-    y = np.unique(labels, return_inverse=True)[1]
+    y = class_places(labels)
     spark, clusters = df.sparkSession, int(y.max(initial=-1)) + 1
     schema = "per_class int, attempt long, inertia double, ids array<long>"
     if not clusters:

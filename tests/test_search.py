@@ -61,10 +61,57 @@ def test_pure_samples(points):
     assert [r.inertia for r in rows] == sorted(r.inertia for r in rows)
 
 
+def _holed(points):
+    """Some numbers missing or infinite, some rows without a label."""
+    return points.selectExpr("id", "if(id % 13 = 0, null, label) label", "fold", "case when id % 7 = 0 then null when id % 11 = 0 then double('infinity') else f0 end f0", "f1", "f2", "f3")
+
+
+def test_clusters_of_a_table_beyond_the_bound(points, monkeypatch):
+    search_ = lambda: {(r.no, r.norm, r.pattern): (r.features, r.purity, r.inertia) for r in search.cluster_subsets(_holed(points), NAMES, "label", (1, 2, 3), patterns={"none": {}, "first": {"f0": 3.0}}).collect()}
+    small = search_()
+    monkeypatch.setattr(search, "SAMPLE_NUMBERS", 10)
+    monkeypatch.setattr(search, "FITS", 50)  # several blocks
+    large = search_()
+    assert small.keys() == large.keys() and len(small) == 14 * 3 * 2
+    for key, (features, purity, inertia) in small.items():
+        assert large[key][0] == features and large[key][1:] == pytest.approx((purity, inertia), abs=1e-9)
+
+
+def test_neighbours_of_a_table_beyond_the_bound(points, monkeypatch):
+    search_ = lambda: {tuple(r.features): (r.no, r.accuracy, r.perfect) for r in search.neighbour_subsets(_holed(points), NAMES, "label", "fold", (2,)).collect()}
+    small = search_()
+    monkeypatch.setattr(search, "SAMPLE_NUMBERS", 10)
+    large = search_()
+    assert len(small) == 6 and large.keys() == small.keys()
+    for key, row in small.items():
+        assert large[key] == pytest.approx(row)
+
+
+def test_accuracy_against_all_distances(points):
+    rows = points.orderBy("id").toPandas()
+    x, fold = rows[NAMES[:2]].to_numpy(), rows["fold"].to_numpy()
+    y = np.unique(rows["label"], return_inverse=True)[1]
+    each = []
+    for part in range(5):
+        test = fold == part
+        z = (x - x[~test].mean(0)) / x[~test].std(0)
+        hits = 0
+        for q, truth in zip(z[test], y[test], strict=True):
+            d = np.abs(z[~test] - q).sum(1)
+            near = np.argsort(d, kind="stable")[:5]
+            hits += np.bincount(y[~test][near], weights=1 / np.maximum(d[near], 1e-12), minlength=3).argmax() == truth
+        each.append(hits / test.sum())
+    assert search.neighbour_accuracy(x, y, fold) == pytest.approx(np.mean(each))
+
+
+def test_pool(spark, points):
+    assert search.pool(points, NAMES, "label", 2) == ["f0", "f2"]
+
+
 def test_bound(points, monkeypatch):
     monkeypatch.setattr(search, "SAMPLE_NUMBERS", 10)
     with pytest.raises(ValueError, match="too many"):
-        search.neighbour_subsets(points, NAMES, "label", "fold", (1,))
+        search.pure_samples(points, ["f0", "f2"], "label", per_class=(10,), attempts=1)
 
 
 def test_enclosing_circle_against_all_circles():
