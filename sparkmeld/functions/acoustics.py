@@ -19,6 +19,27 @@ def frames(y: np.ndarray, size: int, hop: int, border: str = "constant") -> np.n
     return np.lib.stride_tricks.sliding_window_view(wide, size)[::hop]
 
 
+def resampled(y: np.ndarray, own: int, rate: int, zeros: int = 32, block: int = 1 << 14) -> np.ndarray:
+    """y at another rate, by a windowed sinc of `zeros` crossings to a side that lets nothing pass above either rate's half.
+
+    int(len(y) * rate / own) samples; beyond its ends the sound is silence. Working memory is bounded by `block`.
+    """
+    n, cut = int(len(y) * rate / own), min(1.0, rate / own) * 0.97  # room for the slope of the filter
+    if own == rate or not n:
+        return y[:n]
+    half = int(np.ceil(zeros / cut))
+    padded = np.concatenate((np.zeros(half), y, np.zeros(half + 1)))
+    out = np.empty(n)
+    reach = np.arange(-half + 1, half + 1)
+    for lo in range(0, n, block):
+        at = np.arange(lo, min(lo + block, n)) * (own / rate)
+        first = np.floor(at).astype(np.int64)
+        gap = reach[None] - (at - first)[:, None]
+        taps = cut * np.sinc(cut * gap) * np.i0(9.0 * np.sqrt(np.maximum(0.0, 1 - (gap / half) ** 2))) / np.i0(9.0)
+        out[lo : lo + block] = (padded[first[:, None] + reach[None] + half] * taps).sum(1)
+    return out
+
+
 def trimmed(y: np.ndarray, top_db: float = 30, size: int = 2048, hop: int = 512) -> np.ndarray:
     """The signal from the first to the last frame that is less than top_db below the loudest."""
     if not len(y):

@@ -1,11 +1,12 @@
 """The 286 numbers of a spoken word: cepstra, spectral shape, rhythm, pitch, harmony and linear prediction, pooled over time.
 
-Every kernel works on one mono sound and on all of its frames at once. Notes are tuned to A = 440 Hz.
+Every kernel works on one mono sound and on all of its frames at once. Notes are tuned as the sound itself is, by its
+deviation from A = 440 Hz.
 """
 
 from __future__ import annotations
 
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 
@@ -135,10 +136,26 @@ def pitch(y: np.ndarray, rate: int, size: int, hop: int, low: float = 80, high:
     return rate / (first + at + shift)
 
 
-@cache
-def note_bank(rate: int, size: int) -> np.ndarray:
+def tuning(power: np.ndarray, rate: int, size: int, low: float = 150, high: float = 4000, share: float = 0.1) -> float:
+    """The commonest deviation of the stronger peaks of power(frames, frequencies) from A = 440 Hz: semitones from -0.5 on, in hundredths; 0 without a peak."""
+    mag = np.sqrt(power)
+    left, here, right = mag[:, :-2], mag[:, 1:-1], mag[:, 2:]
+    f = np.arange(1, mag.shape[1] - 1) * rate / size
+    row, col = np.nonzero((here > left) & (here >= right) & (here > share * mag.max(1, keepdims=True)) & (f >= low) & (f < high))
+    if not len(row):
+        return 0.0
+    a, b, c = left[row, col], here[row, col], right[row, col]
+    bend = 2 * b - a - c
+    exact = (col + 1 + 0.5 * (c - a) / np.where(bend > SMALL, bend, 1)) * rate / size
+    off = (12 * np.log2(exact / 440) + 0.5) % 1 - 0.5
+    n, edges = np.histogram(off[b >= np.median(b)], bins=100, range=(-0.5, 0.5))
+    return round(float(edges[n.argmax()]), 2)
+
+
+@lru_cache(32)
+def note_bank(rate: int, size: int, tune: float = 0.0) -> np.ndarray:
     """(12, frequencies): how much a frequency belongs to each semitone from C, most around the fifth octave."""
-    place = 12 * np.log2(np.arange(1, size // 2 + 1) * rate / size / 27.5)  # semitones above the lowest A
+    place = 12 * np.log2(np.arange(1, size // 2 + 1) * rate / size / 27.5) - tune  # semitones above the lowest A
     place = np.concatenate(([place[0] - 18], place))
     wide = np.maximum(np.append(np.diff(place), 1), 1)
     off = (place - np.arange(12)[:, None] + 6) % 12 - 6
@@ -173,14 +190,14 @@ def harmonic(y: np.ndarray, size: int = 2048, hop: int = 512, width: int = 31) -
     return (out / np.where(weight > 1e-8, weight, 1))[size // 2 : size // 2 + len(y)]
 
 
-def constant_q_notes(y: np.ndarray, rate: int, hop: int, octaves: int = 7, parts: int = 36) -> np.ndarray:
-    """(12, frames): magnitude by semitone from C of filters of equal relative width, `parts` to an octave from C1."""
-    q, n = 1 / (2 ** (1 / parts) - 1), len(y)
-    longest = int(np.ceil(q * rate / C1))
+def constant_q_notes(y: np.ndarray, rate: int, hop: int, octaves: int = 7, parts: int = 36, tune: float = 0.0) -> np.ndarray:
+    """(12, frames): magnitude by semitone from C of filters of equal relative width, `parts` to an octave from C1, `tune` semitones off."""
+    q, n, lowest = 1 / (2 ** (1 / parts) - 1), len(y), C1 * 2 ** (tune / 12)
+    longest = int(np.ceil(q * rate / lowest))
     size = 1 << (n + longest).bit_length()
     spec, out = np.fft.fft(y, size), np.zeros((12, 1 + n // hop))
     for k in range(octaves * parts):
-        f = C1 * 2 ** (k / parts)
+        f = lowest * 2 ** (k / parts)
         t = np.arange(int(np.ceil(q * rate / f))) - int(np.ceil(q * rate / f)) // 2
         kernel = (0.5 + 0.5 * np.cos(2 * np.pi * t / len(t))) * np.exp(2j * np.pi * f / rate * t)
         kernel /= np.abs(kernel).sum()
@@ -231,11 +248,14 @@ def features(y: np.ndarray, rate: int = RATE) -> dict | None:
     cepstra = (cepstra - cepstra.mean(1, keepdims=True)) / (cepstra.std(1, keepdims=True) + 1e-8)
     strength = onset(logs, hop)
     bpm = tempo(strength, rate, hop)
-    tonal = tonal_centroids(constant_q_notes(harmonic(y), rate, hop)) if len(y) >= HARMONIC_FROM else np.zeros((6, 1))
+    tonal = np.zeros((6, 1))
+    if len(y) >= HARMONIC_FROM:
+        steady = harmonic(y)
+        tonal = tonal_centroids(constant_q_notes(steady, rate, hop, tune=tuning(ac.power(steady, size, hop), rate, size)))
     out: dict[str, float] = {}
     for name, rows in (
         ("mfcc", cepstra), ("mfcc_d", slopes(cepstra, 1)), ("mfcc_dd", slopes(cepstra, 2)), ("mel_log", logs),
-        ("contrast", contrast(mag, rate)), ("chroma", peaked(note_bank(rate, size) @ power.T)), ("tonnetz", tonal),
+        ("contrast", contrast(mag, rate)), ("chroma", peaked(note_bank(rate, size, tuning(power, rate, size)) @ power.T)), ("tonnetz", tonal),
     ):
         for what, values in (("mean", rows.mean(1)), ("std", rows.std(1))):
             out |= {f"{name}_{what}_{k + 1}": float(v) for k, v in enumerate(values)}

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.acoustics import resampled
 from ..functions.exprs import stem, word_before_underscore
 
 IMAGE_GLOB = "*.{png,PNG,jpg,JPG,jpeg,JPEG,bmp,BMP,tif,TIF,tiff,TIFF}"
@@ -74,8 +75,7 @@ def decoded_sounds(files: DataFrame, rate: int = 16_000) -> DataFrame:
                         width, own = w.getsampwidth(), w.getframerate()
                         x = np.frombuffer(w.readframes(w.getnframes()), {1: np.uint8, 2: np.int16}[width]).astype(float)
                         x = ((x - 128) / 128 if width == 1 else x / 32768).reshape(-1, w.getnchannels()).mean(1)
-                    n = int(len(x) * rate / own)
-                    x = x if own == rate else np.interp(np.arange(n) * own / rate, np.arange(len(x)), x) if n else x[:0]
+                    x = resampled(x, own, rate)
                     samples.append(x)
                     status.append("ok" if len(x) else "empty")
                 except (wave.Error, EOFError, KeyError, ValueError) as e:

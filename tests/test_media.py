@@ -112,6 +112,19 @@ def test_voice_vector(spark):
     assert {got[k].status for k in ("bad_a_1.wav", "empty_a_1.wav", "nan_a_1.wav")} == {"unreadable"}
 
 
+def test_tuning():
+    """A sound a third of a semitone sharp has the notes that it has when tuned."""
+    rate = 16_000
+    t = np.arange(2 * rate) / rate
+    play = lambda off: sum(np.sin(2 * math.pi * f * 2 ** (off / 12) * t) for f in (440, 554.365, 659.255))
+    found = [voice.tuning(acoustics.power(play(off), 2048, 100), rate, 2048) for off in (0, 0.33, -0.25)]
+    assert found == pytest.approx([0, 0.33, -0.25], abs=0.05)
+    tuned, sharp = (voice.features(play(off))["features"] for off in (0, 0.33))
+    assert [sharp[f"chroma_mean_{k}"] for k in range(1, 13)] == pytest.approx([tuned[f"chroma_mean_{k}"] for k in range(1, 13)], abs=0.15)
+    assert [sharp[f"tonnetz_mean_{k}"] for k in range(1, 7)] == pytest.approx([tuned[f"tonnetz_mean_{k}"] for k in range(1, 7)], abs=0.05)
+    assert voice.tuning(np.zeros((3, 1025)), rate, 2048) == 0
+
+
 def test_voice_kernels():
     rate = 16_000
     clicks = np.zeros(8 * rate)

@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 import numpy as np
 from pyspark.sql import functions as F
 
+from sparkmeld.functions.acoustics import resampled
 from sparkmeld.sources import files
 from sparkmeld.streaming import log
 
@@ -28,6 +29,19 @@ def test_sounds(spark, tmp_path):
     assert got["bad"].status.startswith("unreadable") and got["bad"].samples is None
 
 
+def test_resampled():
+    tone = lambda f, rate, seconds=0.25: np.sin(2 * np.pi * f * np.arange(int(seconds * rate)) / rate)
+    for own in (8_000, 22_050, 44_100, 48_000):
+        got = resampled(tone(1_000, own), own, 16_000)
+        want = tone(1_000, 16_000)
+        assert abs(len(got) - len(want)) <= 1
+        n = min(len(got), len(want))
+        assert np.abs(got[:n] - want[:n])[200:-200].max() < 2e-3  # the ends are next to silence
+    assert np.abs(resampled(tone(10_000, 44_100), 44_100, 16_000))[200:-200].max() < 1e-3  # nothing folds back
+    assert np.array_equal(resampled(tone(440, 16_000), 16_000, 16_000), tone(440, 16_000))
+    assert len(resampled(np.zeros(0), 44_100, 16_000)) == 0 and len(resampled(np.ones(1), 44_100, 16_000)) == 0
+
+
 def test_stream_is_batch(spark, tmp_path):
     start, rows = datetime(2024, 1, 1), []
     for i in range(90):
