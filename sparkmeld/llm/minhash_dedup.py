@@ -284,7 +284,8 @@ def _grouped(docs: DataFrame, key: str, threshold: float) -> DataFrame:
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its class, its near-duplicate component and whether it is the one that stays of it.
 
-    Null, empty and wordless texts are alone and stay; an empty table gives no rows; repeated rows share a class.
+    Null, empty and wordless texts are alone and stay; an empty table gives no rows; repeated rows share a class. The
+    number of links that were verified, which depends on the bands' pivots, is near_duplicates()' and not the query's.
     """
-    out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("n_links")
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
