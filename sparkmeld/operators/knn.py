@@ -1,4 +1,4 @@
-"""K nearest neighbours: distances of a block of queries to a block of training rows are one matrix, of which each query keeps its k nearest.
+"""K nearest neighbours: each query keeps its k nearest, of a matrix of all distances or, in few dimensions, of the leaves of a tree near it.
 
 Training rows within a counted bound are sent to the tasks once, and queries are answered where they lie, without a
 shuffle. Beyond it blocks of queries meet blocks of training rows, and the k nearest of every meeting go on: rows in
@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -17,9 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.exprs import WEIGHTS
+from .tree import POWERS, Tree
 
 #: Rows of a block of queries or training rows, and training rows that are sent to all tasks at most.
 BLOCK, BROADCAST_ROWS = 2_048, 131_072
+#: Training rows from which on, and dimensions up to which, a tree is faster than all distances.
+TREE_ROWS, TREE_DIMS = 1_024, 6
 
 
 def _power(p: float) -> Callable[[Sequence[np.ndarray]], np.ndarray]:
@@ -36,7 +40,31 @@ def nearest(x: np.ndarray, t: np.ndarray, ids: pa.Array, k: int, metric: str, sc
     `scale` divides a query's differences by its own deviations; `apart` gives groups of queries and training rows, and
     only rows of other groups count.
     """
-    order = np.asarray(pa.compute.rank(ids, sort_keys="ascending", tiebreaker="first")) if len(ids) else np.empty(0)
+    return Nearest(t, ids, k, metric, None if apart is None else apart[1]).ask(x, scale, None if apart is None else apart[0])
+
+
+class Nearest:
+    """Training rows that are asked in several blocks; see nearest()."""
+
+    def __init__(self, t: np.ndarray, ids: pa.Array, k: int, metric: str, groups: np.ndarray | None = None) -> None:
+        self.t, self.k, self.metric = t, k, metric
+        self.order = np.asarray(pa.compute.rank(ids, sort_keys="ascending", tiebreaker="first")).astype(np.int64) if len(ids) else np.empty(0, np.int64)
+        self.groups, names = (None, []) if groups is None else pd.factorize(groups, use_na_sentinel=False)
+        self.known = {None if pd.isna(g) else g: i for i, g in enumerate(names)}
+        self.tree = Tree(t, self.order, self.groups, k, metric, METRICS[metric]) if len(t) >= TREE_ROWS and 0 < t.shape[1] <= TREE_DIMS and metric in POWERS else None
+
+    def ask(self, x: np.ndarray, scale: np.ndarray | None = None, groups: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        mine = None
+        if groups is not None:
+            codes, names = pd.factorize(groups, use_na_sentinel=False)
+            mine = np.array([self.known.get(None if pd.isna(g) else g, -1) for g in names], np.int64)[codes]
+        if self.tree is None or scale is not None and not (np.isfinite(scale) & (scale > 0)).all():
+            return all_distances(x, self.t, self.order, self.k, self.metric, scale, None if groups is None else (mine, self.groups))
+        return self.tree.search(x, scale, mine)
+
+
+def all_distances(x: np.ndarray, t: np.ndarray, order: np.ndarray, k: int, metric: str, scale: np.ndarray | None = None, apart: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """nearest() by the distances of all pairs; `order` is the rows' place among ties."""
     q, r, d = [], [], []
     for lo in range(0, len(x), 256):
         part = x[lo : lo + 256]
@@ -82,9 +110,11 @@ def neighbours(queries: DataFrame, train: DataFrame, k: int, metric: str, dims:
     asked = queries.select("q", "x", *(["scale"] if scaled else []), *([F.col("g").cast("string").alias("g")] if grouped else []))
     known = train.select("t", "y", "x", *([F.col("g").cast("string").alias("g")] if grouped else []))
 
-    def solve(q: pa.StructArray, t: pa.StructArray) -> pa.RecordBatch:
-        apart = tuple(s.field("g").to_numpy(zero_copy_only=False) for s in (q, t)) if grouped else None
-        row, col, d = nearest(_matrix(q.field("x"), dims), _matrix(t.field("x"), dims), t.field("t"), k, metric, _matrix(q.field("scale"), dims) if scaled else None, apart)
+    def ready(t: pa.StructArray) -> Nearest:
+        return Nearest(_matrix(t.field("x"), dims), t.field("t"), k, metric, t.field("g").to_numpy(zero_copy_only=False) if grouped else None)
+
+    def solve(q: pa.StructArray, t: pa.StructArray, near: Nearest) -> pa.RecordBatch:
+        row, col, d = near.ask(_matrix(q.field("x"), dims), _matrix(q.field("scale"), dims) if scaled else None, q.field("g").to_numpy(zero_copy_only=False) if grouped else None)
         rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
         return pa.RecordBatch.from_arrays([q.field("q").take(pa.array(row)).cast(types["q"]), t.field("t").take(pa.array(col)).cast(types["t"]), t.field("y").take(pa.array(col)).cast(types["y"]), pa.array(d), pa.array(rank, pa.int32())], ["q", "t", "y", "d", "rank"])
 
@@ -93,9 +123,11 @@ def neighbours(queries: DataFrame, train: DataFrame, k: int, metric: str, dims:
         shared = queries.sparkSession.sparkContext.broadcast(rows[0].to_struct_array() if rows else None)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            near = None
             for batch in batches:
                 if shared.value is not None:
-                    yield solve(batch.to_struct_array(), shared.value)
+                    near = near or ready(shared.value)
+                    yield solve(batch.to_struct_array(), shared.value, near)
 
         return asked.mapInArrow(run, schema)
     n_queries = queries.count()
@@ -104,7 +136,8 @@ def neighbours(queries: DataFrame, train: DataFrame, k: int, metric: str, dims:
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                yield solve(batch.column(0)[i].values, batch.column(1)[i].values)
+                t = batch.column(1)[i].values
+                yield solve(batch.column(0)[i].values, t, ready(t))
 
     pairs = block(asked, "q", n_queries, asked.columns).crossJoin(block(known, "t", n, known.columns))
     found = pairs.mapInArrow(meet, schema).drop("rank")
@@ -134,14 +167,15 @@ def fold_scales(rows: DataFrame, fold: str, features: Sequence[str]) -> DataFram
     return both.select(fold, F.array(*mu).alias("mu"), F.array(*[F.when(s == 0, 1.0).otherwise(s) for s in sd]).alias("scale"))
 
 
-def across_folds(rows: DataFrame, key: str, label: str, fold: str, features: Sequence[str], k: int, metric: str) -> DataFrame:
-    """(q, rank, d, t, y, truth, fold): the k nearest of every row among the other folds, scaled by their statistics.
+def across_folds(rows: DataFrame, key: str, label: str, fold: str, features: Sequence[str], k: int, metric: str, asked: int | None = None) -> DataFrame:
+    """(q, rank, d, t, y, truth, fold): the k nearest of every row (of one fold, if `asked`) among the other folds, scaled by their statistics.
 
     A shift by the mean cancels in a difference, so a row needs no copy for each fold: it brings its fold's deviations.
     """
     points = rows.select(F.col(key).alias("q"), F.col(label).alias("truth"), F.col(fold).alias("g"), F.array(*features).alias("x"))
     scales = fold_scales(rows, fold, features).select(F.col(fold).alias("g"), "scale")
-    near = neighbours(points.join(scales, "g").select("q", "x", "scale", "g"), points.select(F.col("q").alias("t"), F.col("truth").alias("y"), "x", "g"), k, metric, len(features))
+    queries = points if asked is None else points.where(F.col("g") == asked)
+    near = neighbours(queries.join(scales, "g").select("q", "x", "scale", "g"), points.select(F.col("q").alias("t"), F.col("truth").alias("y"), "x", "g"), k, metric, len(features))
     return near.join(points.select("q", "truth", F.col("g").alias("fold")), "q")
 
 
