@@ -63,3 +63,13 @@ def test_wide_searches_are_split(monkeypatch):
     for name, value in (("CHUNK", 64), ("PAIRS", 100)):
         monkeypatch.setattr(tree, name, value)
     assert _same(x, t, pa.array(np.arange(1_500)), 5, "l2")
+
+
+def test_only_the_held_out_rows_are_asked(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, i % 3, int(i % 10 < 3), float(i * 37 % 101)) for i in range(200)], "id long, label int, fold int, f0 double")
+    asked, plain = [], knn.neighbours
+    monkeypatch.setattr(knn, "neighbours", lambda q, *rest: (asked.append(q.count()), plain(q, *rest))[1])
+    every = knn.across_folds(rows, "id", "label", "fold", ["f0"], 5, "l1")
+    held_out = knn.across_folds(rows, "id", "label", "fold", ["f0"], 5, "l1", asked=1)
+    assert asked == [200, 60]
+    assert sorted(held_out.collect()) == sorted(every.where("fold = 1").select(*held_out.columns).collect())
