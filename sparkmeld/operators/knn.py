@@ -58,9 +58,19 @@ class Nearest:
         if groups is not None:
             codes, names = pd.factorize(groups, use_na_sentinel=False)
             mine = np.array([self.known.get(None if pd.isna(g) else g, -1) for g in names], np.int64)[codes]
-        if self.tree is None or scale is not None and not (np.isfinite(scale) & (scale > 0)).all():
-            return all_distances(x, self.t, self.order, self.k, self.metric, scale, None if groups is None else (mine, self.groups))
-        return self.tree.search(x, scale, mine)
+        plain = lambda q: all_distances(x[q], self.t, self.order, self.k, self.metric, None if scale is None else scale[q], None if groups is None else (mine[q], self.groups))
+        if self.tree is None:
+            return plain(slice(None))
+        usable = np.ones(len(x), bool) if scale is None else (np.isfinite(scale) & (scale > 0)).all(1)
+        if usable.all():
+            return self.tree.search(x, scale, mine)
+        parts = []
+        for q, ask in ((np.flatnonzero(usable), lambda q: self.tree.search(x[q], scale[q], None if mine is None else mine[q])), (np.flatnonzero(~usable & ~np.isnan(scale).any(1)), plain)):
+            row, col, d = ask(q)
+            parts.append((q[row], col, d))  # a deviation that is no number leaves no distance
+        q, r, d = (np.concatenate(p) for p in zip(*parts, strict=True))
+        o = np.argsort(q, kind="stable")
+        return q[o], r[o], d[o]
 
 
 def all_distances(x: np.ndarray, t: np.ndarray, order: np.ndarray, k: int, metric: str, scale: np.ndarray | None = None, apart: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

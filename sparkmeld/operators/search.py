@@ -235,16 +235,18 @@ def neighbour_accuracy(x: np.ndarray, y: np.ndarray, fold: np.ndarray, k: int =
 
     Ties of distance go to the earlier row, ties of votes to the lesser class.
     """
-    scores = []
-    for part in np.unique(fold):
-        test = fold == part
-        mu, sd = x[~test].mean(0), x[~test].std(0)
-        z = (x - mu) / np.where(sd == 0, 1, sd)
-        row, col, d = knn.nearest(z[test], z[~test], pa.array(np.arange(int((~test).sum()))), k, "l1")
-        votes = np.zeros((int(test.sum()), int(y.max()) + 1))
-        np.add.at(votes, (row, y[~test][col]), 1 / np.maximum(d, 1e-12))
-        scores.append(float((votes.round(9).argmax(1) == y[test]).mean()))
-    return float(np.mean(scores))
+    parts, own = np.unique(fold, return_inverse=True)
+    scale = np.stack([x[own != i].std(0) if (own != i).any() else np.full(x.shape[1], np.nan) for i in range(len(parts))])
+    scale[scale == 0] = 1
+    row, col, d = knn.nearest(x, x, pa.array(np.arange(len(x))), k, "l1", scale[own], (own, own))
+    classes, hit = int(y.max()) + 1, np.empty(len(x))
+    step = max(1, SAMPLE_NUMBERS // classes)
+    for lo in range(0, len(x), step):
+        mine = slice(*np.searchsorted(row, (lo, lo + step)))
+        truth = y[lo : lo + step]
+        votes = np.bincount((row[mine] - lo) * classes + y[col[mine]], weights=1 / np.maximum(d[mine], 1e-12), minlength=len(truth) * classes).reshape(-1, classes)
+        hit[lo : lo + step] = votes.round(9).argmax(1) == truth
+    return float(np.mean([hit[own == i].mean() for i in range(len(parts))]))
 
 
 _SCORED = "no long, size int, features array<string>, accuracy double, perfect boolean"

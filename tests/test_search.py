@@ -130,3 +130,20 @@ def test_enclosing_circle_against_all_circles():
                 r = abs(a - m)
                 best = min(best, r) if (abs(c - m) <= r + 1e-9).all() else best
         assert shapes.enclosing_radius(p) == pytest.approx(best)
+
+
+def test_a_subset_compares_a_small_part_of_all_pairs(monkeypatch):
+    seen, plain = [0], search.knn.METRICS["l1"]
+
+    def counted(parts):
+        out = plain(parts)
+        seen[0] += out.size
+        return out
+
+    monkeypatch.setitem(search.knn.METRICS, "l1", counted)
+    rng = np.random.default_rng(6)
+    x, y, fold = rng.normal(size=(12_000, 2)), rng.integers(0, 4, 12_000), np.arange(12_000) % 5
+    found = search.neighbour_accuracy(x, y, fold)
+    assert seen[0] < 0.05 * 0.8 * len(x) ** 2  # all of them before
+    monkeypatch.setattr(search.knn, "TREE_ROWS", 1 << 30)
+    assert search.neighbour_accuracy(x, y, fold) == found
