@@ -82,24 +82,77 @@ def normalised(x: np.ndarray, norm: str) -> np.ndarray:
 
 
 def settle(x: np.ndarray, centroids: np.ndarray, iterations: int = 300) -> tuple[np.ndarray, float]:
-    """(cluster of each row, inertia) of Lloyd's iterations until no row moves; an empty cluster keeps its centroid."""
-    own = None
-    for _ in range(iterations):
-        d2 = ((x[:, None] - centroids[None]) ** 2).sum(2)
-        new = d2.argmin(1)
-        if own is not None and (new == own).all():
-            break
-        own = new
-        n = np.bincount(own, minlength=len(centroids))[:, None]
-        sums = np.stack([np.bincount(own, weights=v, minlength=len(centroids)) for v in x.T], axis=1)
-        centroids = np.where(n > 0, sums / np.maximum(n, 1), centroids)
-    return own, float(d2.min(1).sum())
+    """(cluster of each row, inertia) of Lloyd's iterations until no row moves; an empty cluster keeps its centroid.
+
+    A row is compared again only when centroids may have moved farther than its second nearest was behind the nearest.
+    What is left at the end is settled by sums and distances of all rows.
+    """
+    x = np.asfortranarray(x)  # columns are read one by one
+    own, near, sure = _compared(x, centroids)
+    whole = True  # the last comparison was of all rows
+    rows = np.arange(len(x))
+    moved, n, sums = rows, None, None
+    went = np.zeros(len(centroids))  # how far each cluster's margin has shrunk since the beginning
+    for _ in range(iterations - 1):
+        if sums is None or 8 * len(moved) > len(x):
+            n, sums = _summed(x, own, len(centroids))
+        new = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centroids)
+        steps = np.sqrt(((new - centroids) ** 2).sum(1))
+        others = np.array([np.delete(steps, k).max(initial=0.0) for k in range(len(steps))])
+        went, centroids = went + steps + others, new
+        rows = np.flatnonzero(~(sure > went.take(own)))
+        fresh, _, margin = _compared(x, centroids, rows)
+        at = np.flatnonzero(fresh != own[rows])
+        moved, was, now = rows[at], own[rows[at]], fresh[at]
+        own[rows], sure[rows] = fresh, margin + went.take(fresh)
+        whole = False
+        if not len(moved):  # sums without what adding and taking off has left
+            n, sums = _summed(x, own, len(centroids))
+            centroids = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centroids)
+            fresh, near, margin = _compared(x, centroids)
+            moved = np.flatnonzero(fresh != own)
+            own, sure, sums, whole = fresh, margin + went.take(fresh), None, True
+            if not len(moved):
+                break
+        elif 8 * len(moved) <= len(x):
+            (n_in, in_), (n_out, out) = _summed(x[moved], now, len(centroids)), _summed(x[moved], was, len(centroids))
+            n, sums = n + n_in - n_out, sums + in_ - out
+    if not whole:
+        near = ((x - centroids[own]) ** 2).sum(1)
+    return own, float(near.sum())
+
+
+def _summed(x: np.ndarray, own: np.ndarray, clusters: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number, sums) of the rows of each cluster."""
+    return np.bincount(own, minlength=clusters), np.stack([np.bincount(own, weights=v, minlength=clusters) for v in x.T], axis=1)
+
+
+def _compared(x: np.ndarray, centroids: np.ndarray, rows: np.ndarray | None = None, block: int = 4_096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(nearest centroid, squared distance, how much farther the second is, rounding left out) of all or some rows; ties to the lesser."""
+    size = len(x) if rows is None else len(rows)
+    own, near, margin = np.zeros(size, np.int64), np.empty(size), np.empty(size)
+    for lo in range(0, size, block):
+        part = [v[lo : lo + block] if rows is None else v.take(rows[lo : lo + block]) for v in x.T]
+        mine = own[lo : lo + block]
+        best, second = np.full(len(mine), np.inf), np.full(len(mine), np.inf)
+        for k, c in enumerate(centroids):
+            d2 = (part[0] - c[0]) ** 2
+            for v, w in zip(part[1:], c[1:], strict=True):
+                d2 += (v - w) ** 2
+            mine[d2 < best] = k
+            second = np.minimum(second, np.maximum(best, d2))
+            best = np.minimum(best, d2)
+        near[lo : lo + block] = best
+        far = np.sqrt(second)
+        with np.errstate(invalid="ignore"):
+            margin[lo : lo + block] = far - np.sqrt(best) - 1e-9 * far
+    return own, near, margin
 
 
 def purity(own: np.ndarray, y: np.ndarray, clusters: int, strict: bool = False) -> float:
     """Share of rows with the most frequent label of their cluster; strict: 0 with a cluster empty."""
-    counts = np.zeros((clusters, int(y.max()) + 1), int)
-    np.add.at(counts, (own, y), 1)
+    classes = int(y.max()) + 1
+    counts = np.bincount(own * classes + y, minlength=clusters * classes).reshape(clusters, classes)
     return 0.0 if strict and (counts.sum(1) == 0).any() else float(counts.max(1).sum() / len(y))
 
 
@@ -122,17 +175,21 @@ def cluster_subsets(df: DataFrame, features: Sequence[str], label: str, sizes: S
     x, (labels,) = sample(df, features, label)
     y = class_places(labels)
     clusters = int(y.max(initial=-1)) + 1
-    ready = {n: normalised(x, n) for n in norms}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready = {n: normalised(x, n) for n in norms}
+        members = [np.flatnonzero(y == k) for k in range(clusters)]
+        starts = {(n, p): np.stack([(z[rows] * w).mean(0) for rows in members]) for n, z in ready.items() for p, w in weights.items()}
         for batch in batches:
             out = []
             for no, picked in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 for norm, z in ready.items():
+                    done: dict[bytes, tuple[float, float]] = {}  # patterns that weigh these features alike have the same clusters
                     for pattern, w in weights.items():
-                        part = z[:, picked] * w[picked]
-                        own, inertia = settle(part, np.stack([part[y == k].mean(0) for k in range(clusters)]))
-                        out.append((no, len(picked), [names[i] for i in picked], norm, pattern, purity(own, y, clusters), inertia))
+                        if (alike := w[picked].tobytes()) not in done:
+                            own, inertia = settle(z[:, picked] * w[picked], starts[norm, pattern][:, picked])
+                            done[alike] = purity(own, y, clusters), inertia
+                        out.append((no, len(picked), [names[i] for i in picked], norm, pattern, *done[alike]))
             kinds = (pa.int64(), pa.int32(), pa.list_(pa.string()), pa.string(), pa.string(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["no", "size", "features", "norm", "pattern", "purity", "inertia"])
 

@@ -147,3 +147,36 @@ def test_a_subset_compares_a_small_part_of_all_pairs(monkeypatch):
     assert seen[0] < 0.05 * 0.8 * len(x) ** 2  # all of them before
     monkeypatch.setattr(search.knn, "TREE_ROWS", 1 << 30)
     assert search.neighbour_accuracy(x, y, fold) == found
+
+
+def _plain(x, centroids, iterations):
+    """Lloyd's iterations with all distances in each."""
+    own = None
+    for _ in range(iterations):
+        d2 = ((x[:, None] - centroids[None]) ** 2).sum(2)
+        new = d2.argmin(1)
+        if own is not None and (new == own).all():
+            break
+        own = new
+        centroids = np.stack([x[own == k].mean(0) if (own == k).any() else c for k, c in enumerate(centroids)])
+    return own, d2.min(1).sum()
+
+
+def test_settled_as_by_all_distances():
+    rng = np.random.default_rng(11)
+    for i in range(60):
+        n, k = int(rng.integers(1, 300)), int(rng.integers(1, 9))
+        x = rng.integers(0, 4, (n, 2)).astype(float) if i % 3 == 0 else rng.normal(size=(n, 3))
+        start = x[rng.integers(0, n, k)] + (5 * rng.normal(size=(k, x.shape[1])) if i % 2 else 0)  # some clusters empty
+        for iterations in (300, 1, 4):
+            own, inertia = search.settle(x, start, iterations)
+            want = _plain(x, start, iterations)
+            assert np.array_equal(own, want[0]) and inertia == pytest.approx(want[1])
+
+
+def test_few_rows_are_compared_again(monkeypatch):
+    seen, plain = [], search._compared
+    monkeypatch.setattr(search, "_compared", lambda x, c, rows=None: (seen.append(len(x) if rows is None else len(rows)), plain(x, c, rows))[1])
+    x = np.random.default_rng(12).normal(size=(20_000, 2))
+    search.settle(x, x[:8])
+    assert len(seen) > 30 and sum(seen) < 0.5 * len(seen) * len(x)  # all rows in every iteration before
