@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -49,9 +51,14 @@ def stratified_fold(df: DataFrame, label: str, order: str, folds: int, name: str
     return ranked(df, label, order, name).withColumn(name, F.pmod(F.col(name) - 1, F.lit(folds)))
 
 
+def digits(key: str, seed: int) -> Column:
+    """Fifteen hexadecimal digits that order rows at random: a hash of the key and the seed, the same in every run and engine."""
+    return F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")).cast("binary")), 1, 15)
+
+
 def shuffled(key: str, seed: int) -> Column:
-    """A number that orders rows at random: a hash of the key and the seed, the same in every run and engine."""
-    return F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")).cast("binary")), 1, 15), 16, 10).cast("long")
+    """digits() as a number."""
+    return F.conv(digits(key, seed), 16, 10).cast("long")
 
 
 def holdout(df: DataFrame, key: str, share: float, seed: int, label: str | None = None, name: str = "held_out") -> DataFrame:
@@ -65,6 +72,27 @@ def holdout(df: DataFrame, key: str, share: float, seed: int, label: str | None
     return rows.withColumn(name, F.col("_r") <= F.round(F.lit(share) * F.col("_all"))).drop("_h", "_r", "_all")
 
 
+def holdouts(df: DataFrame, key: str, share: float, seeds: Sequence[int], label: str, name: str = "held_out") -> DataFrame:
+    """df with an array of whether a row is in the held-out share of its label, as holdout() says, for each seed; in one plan for all. Keys do not repeat.
+
+    Hashes are spread evenly, so ranges of their first two digits are counted, and only the range that the share ends in is
+    sorted. They stay hexadecimal: digits of equal number sort as their numbers do.
+    """
+    hashes = [digits(key, s) for s in seeds]
+    long = df.select(F.col(label).alias("_l"), F.col(key).alias("_k"), F.posexplode(F.array(*hashes)).alias("_run", "_h")).withColumn("_part", F.substring("_h", 1, 2))
+    sizes = long.groupBy("_l", "_run", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    each = W.partitionBy("_l", "_run")  # a row a range, 256 at most
+    through = F.sum("_n").over(each.orderBy(F.asc_nulls_last("_part")).rowsBetween(W.unboundedPreceding, 0))
+    ends = sizes.withColumn("_before", through - F.col("_n")).withColumn("_left", F.round(F.lit(share) * F.sum("_n").over(each)) - F.col("_before")).where("_left between 1 and _n")
+    ends = ends.select(F.col("_l").alias("_label"), F.col("_run").alias("_r"), F.col("_part").alias("_p"), "_left")
+    edge = long.join(ends, F.col("_l").eqNullSafe(F.col("_label")) & (F.col("_run") == F.col("_r")) & (F.col("_part") == F.col("_p")))
+    last = edge.withColumn("_place", F.row_number().over(each.orderBy("_h", "_k"))).where("_place = _left")
+    cuts = last.groupBy(F.col("_l").alias("_label")).agg(F.map_from_entries(F.collect_list(F.struct("_run", F.struct("_h", "_k").alias("_at")))).alias("_cuts"))  # an entry a seed
+    rows = df.join(cuts, F.col(label).eqNullSafe(F.col("_label")), "left").drop("_label")
+    within = [F.coalesce(F.struct(h.alias("_h"), F.col(key).alias("_k")) <= F.try_element_at("_cuts", F.lit(i)), F.lit(False)) for i, h in enumerate(hashes)]
+    return rows.withColumn(name, F.array(*within)).drop("_cuts")
+
+
 def closest_to_centroid(df: DataFrame, label: str, dims: int, top: int) -> DataFrame:
     """(label, id, distance, rank) of the `top` rows nearest their class' mean of x."""
     from ..functions.exprs import l2

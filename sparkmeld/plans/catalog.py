@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..functions import spectrum
-from ..operators import bayes, kmeans, knn, metrics, model, scale, search, select
+from ..operators import bayes, kmeans, knn, metrics, model, repeated, scale, search, select
 from ..sources import files, media, records
 from ..streaming import log
 
@@ -425,13 +425,11 @@ _HOLD = "case when row_number() over (partition by label order by ('0x' || subst
 @query("repeated_holdout_knn", " union all ".join(f"select * from ({_cv_sql(_HOLD.format(seed=s))} select {s} as seed, round(accuracy, 6) as accuracy from a where part = 1)" for s in _SEEDS))
 def repeated_holdout_knn(spark, d):
     """Accuracy of five stratified hold-outs of 30 %, by seed."""
-    out = None
-    for seed in _SEEDS:
-        rows, names = _folded(spark, d, F.lit(0))
-        rows = files.written(select.holdout(rows, "vec_id", 0.3, seed, "label").withColumn("fold", F.col("held_out").cast("int")))
-        part = knn.grid(knn.across_folds(rows, "vec_id", "label", "fold", names, 5, "l1", asked=1), (5,), ("distance",)).select(F.lit(seed).alias("seed"), r6(F.col("accuracy"), "accuracy"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    names = [f"f{i}" for i in _DIMS]
+    rows = table(spark, d, "embeddings").select("vec_id", "label", *[F.get("embedding", F.lit(i)).cast("double").alias(n) for i, n in zip(_DIMS, names, strict=True)])
+    rows = files.written(select.holdouts(rows, "vec_id", 0.3, _SEEDS, "label"))
+    scores = repeated.repeated(rows, "vec_id", "label", "held_out", len(_SEEDS), names, 5, "l1")
+    return scores.select(F.element_at(F.array(*[F.lit(s) for s in _SEEDS]), F.col("run") + 1).alias("seed"), r6(F.col("accuracy"), "accuracy"))
 
 
 @query("repeated_holdout_summary", "with r as (" + ORACLE_SQL["repeated_holdout_knn"] + ") select round(avg(accuracy), 6) as mean, round(stddev_pop(accuracy), 6) as std, count(*) as n from r")
