@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.files import written
+
 
 def anova_f(long: DataFrame, label: str) -> DataFrame:
     """F by feature: mean square between classes over that within; 0 where undefined."""
@@ -85,10 +87,11 @@ def holdouts(df: DataFrame, key: str, share: float, seeds: Sequence[int], label:
     through = F.sum("_n").over(each.orderBy(F.asc_nulls_last("_part")).rowsBetween(W.unboundedPreceding, 0))
     ends = sizes.withColumn("_before", through - F.col("_n")).withColumn("_left", F.round(F.lit(share) * F.sum("_n").over(each)) - F.col("_before")).where("_left between 1 and _n")
     ends = ends.select(F.col("_l").alias("_label"), F.col("_run").alias("_r"), F.col("_part").alias("_p"), "_left")
+    ends = written(ends)  # its size is known from here on: rows are not dealt anew for a few labels
     edge = long.join(ends, F.col("_l").eqNullSafe(F.col("_label")) & (F.col("_run") == F.col("_r")) & (F.col("_part") == F.col("_p")))
     last = edge.withColumn("_place", F.row_number().over(each.orderBy("_h", "_k"))).where("_place = _left")
     cuts = last.groupBy(F.col("_l").alias("_label")).agg(F.map_from_entries(F.collect_list(F.struct("_run", F.struct("_h", "_k").alias("_at")))).alias("_cuts"))  # an entry a seed
-    rows = df.join(cuts, F.col(label).eqNullSafe(F.col("_label")), "left").drop("_label")
+    rows = df.join(written(cuts), F.col(label).eqNullSafe(F.col("_label")), "left").drop("_label")
     within = [F.coalesce(F.struct(h.alias("_h"), F.col(key).alias("_k")) <= F.try_element_at("_cuts", F.lit(i)), F.lit(False)) for i, h in enumerate(hashes)]
     return rows.withColumn(name, F.array(*within)).drop("_cuts")
 

@@ -28,6 +28,8 @@ def _table(spark, folder, kind):
         rows = [(i, None if i % 7 == 0 else v[:2] if i % 11 == 0 else v, None if i % 5 == 0 else c) for i, v, c in rows]
     if kind == "few":
         rows = [(i, v if i < 24 else None, c) for i, v, c in rows[:40]]
+    if kind == "no place":
+        rows = [(i, None, c) for i, _, c in rows[:60]]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
     con = duckdb.connect()
     con.sql(f"create view embeddings as select * from '{folder}/embeddings.parquet/*.parquet'")
@@ -35,7 +37,7 @@ def _table(spark, folder, kind):
 
 
 @pytest.mark.parametrize("bound", [knn.BROADCAST_ROWS, 30])
-@pytest.mark.parametrize("kind", ["copies", "nulls", "few"])
+@pytest.mark.parametrize("kind", ["copies", "nulls", "few", "no place"])
 def test_both_ways_give_the_sql(spark, tmp_path, monkeypatch, kind, bound):
     want = _table(spark, tmp_path, kind)
     monkeypatch.setattr(knn, "BROADCAST_ROWS", bound)
